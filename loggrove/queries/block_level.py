@@ -59,8 +59,8 @@ def block_metadata_by_order(spark, folder):
     return blocks.block_metadata(order_log(spark, folder))
 
 
-@query(f"""SELECT block_id, event_type, n FROM (SELECT block_id, event_type, count(*) AS n,
-  row_number() OVER (PARTITION BY block_id ORDER BY count(*) DESC, event_type) AS rn FROM {ORDER_LOG} GROUP BY ALL) WHERE rn = 1""")
+@query(f"""SELECT block_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY n DESC, event_type) AS rn
+  FROM (SELECT block_id, event_type, count(*) AS n FROM {ORDER_LOG} GROUP BY block_id, event_type)) WHERE rn = 1""")
 def dominant_event_type(spark, folder):
     return blocks.dominant_values(order_log(spark, folder), "event_type")
 
@@ -89,9 +89,9 @@ def dataset_time_range(spark, folder):
     return blocks.date_range(events_log(spark, folder))
 
 
-@query(f"SELECT block_id, hour_of_day, is_error, component_encoded, event_type_encoded, block_size, event_frequency, source_ip_encoded FROM ({features_sql(ORDER_LOG)})")
+@query(f"SELECT block_id, is_error, component_encoded, event_type_encoded, block_size, event_frequency, source_ip_encoded FROM ({features_sql(ORDER_LOG)})")
 def features_without_constant_columns(spark, folder):
-    """The order log never has a destination address, so that code is constant."""
+    """The order log has whole days and no destination address: two constant columns."""
     from loggrove.scratch import written
 
     features = written(blocks.block_features(order_log(spark, folder)), "features")
