@@ -23,5 +23,4 @@ def normalize_template(message: Column) -> Column:
     text = F.coalesce(message, F.lit(""))
     for pattern, placeholder in TEMPLATE_PATTERNS:
         text = F.regexp_replace(text, pattern, placeholder)
-    text = F.trim(text)
-    return F.when(text == "", F.lit(EMPTY_TEMPLATE)).otherwise(F.substring(text, 1, TEMPLATE_LENGTH))
+    return F.coalesce(F.nullif(F.substring(F.trim(text), 1, TEMPLATE_LENGTH), F.lit("")), F.lit(EMPTY_TEMPLATE))

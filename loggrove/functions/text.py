@@ -1,33 +1,41 @@
-"""Regex helpers that keep one regex evaluation per line."""
+"""Regex and white-space helpers that keep one regex evaluation per line."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 _MARK = "\x01"
+# --- fixed values: every character Unicode calls white space ----------------
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 
 
-def match_groups(line: Column, pattern: str, groups: int) -> tuple[Column, list[Column]]:
-    """(matched?, [group 1 … group n]) of an anchored pattern, evaluated once.
+def line_groups(line: Column, pattern: str, groups: int) -> Column:
+    """The groups of an anchored pattern as an array, from one regex evaluation.
 
     Asking regexp_extract for each group runs the pattern once per group. Here one
-    regexp_replace rewrites the line as its groups separated by a control
-    character and a split takes them apart. A line that does not match is left as
-    it was, and a line that already starts with the control character can not
-    match a pattern anchored to visible text, so the test below is exact. The last
-    group keeps any further control characters because the split is limited.
+    regexp_replace rewrites a matching line as its groups, each after a control
+    character, and a split takes them apart: element 0 is then empty and groups
+    follow. The split is limited, so the last group keeps any further control
+    characters. Put the result in a column of its own before using its elements.
     """
-    # `$1`…`$n` preceded by the mark, so a matched line always starts with it.
-    replacement = "".join(f"{_MARK}${i}" for i in range(1, groups + 1))
-    rewritten = F.regexp_replace(line, pattern, replacement)
-    matched = rewritten.startswith(_MARK) & ~line.startswith(_MARK)
-    parts = F.split(rewritten, _MARK, groups + 1)
-    return matched, [F.when(matched, F.get(parts, F.lit(i))) for i in range(1, groups + 1)]
+    rewritten = F.regexp_replace(line, pattern, "".join(f"{_MARK}${i}" for i in range(1, groups + 1)))
+    return F.split(rewritten, _MARK, groups + 1)
 
 
-def first_group(text: Column, pattern: str, group: int = 1) -> Column:
+def is_match(line: Column, parts: Column, groups: int) -> Column:
+    """Whether ``parts`` came from a matching line. A line that itself starts with the
+    control character can not match a pattern that begins with visible text."""
+    return (F.size(parts) == groups + 1) & (parts[0] == "") & ~line.startswith(_MARK)
+
+
+def group(matched: Column, parts: Column, number: int) -> Column:
+    return F.when(matched, F.get(parts, F.lit(number)))
+
+
+def first_group(text: Column, pattern: str, group_number: int = 1) -> Column:
     """The group of the first match, or null when there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(text, pattern, group_number), F.lit(""))
 
 
 def first_of(text: Column, patterns) -> Column:
@@ -37,4 +45,4 @@ def first_of(text: Column, patterns) -> Column:
 
 def strip_blanks(text: Column) -> Column:
     """Trim all Unicode white space, not only the space character."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(BLANKS))

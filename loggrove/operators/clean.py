@@ -17,7 +17,9 @@ ADDRESS_COLUMNS = ("source_ip", "destination_ip")
 def present(column: Column) -> Column:
     """Trimmed text, or null where it is null, empty or the text ``<NA>``."""
     text = strip_blanks(column)
-    return F.when(~text.isin(*MISSING_TEXT), text)
+    for missing in MISSING_TEXT:
+        text = F.nullif(text, F.lit(missing))
+    return text
 
 
 def known(column: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loggrove.functions.stats import count_if
+from loggrove.operators.vocab import lookup
 from loggrove.schema import ANOMALY, NORMAL
+from loggrove.scratch import written
 
 # --- fixed values: weak rules over audit events -----------------------------
 AUTH_ERROR = r"(?i)accessdenied|unauthorized"
@@ -53,11 +55,12 @@ def weak_labels(log: DataFrame, auth: Column | None = None, sensitive: Column |
         (auth if auth is not None else auth_error(F.col("raw_message"))).alias("auth"),
         (sensitive if sensitive is not None else is_sensitive(F.col("component"), F.col("event_type"))).alias("sensitive"),
     )
-    per_pair = rows.groupBy("block_id", "hour", "source_ip").agg(
+    per_pair = written(rows.groupBy("block_id", "hour", "source_ip").agg(
         count_if(F.col("auth")).alias("auth_errors"), count_if(F.col("sensitive")).alias("sensitive_actions"),
-        F.min("datetime").alias("first_time"))
+        F.min("datetime").alias("first_time")), "pairs")
     first_hour = per_pair.groupBy("source_ip").agg(F.min_by("hour", F.struct("first_time", "hour")).alias("first_hour"))
-    candidates = per_pair.where(F.col("sensitive_actions") > 0).join(first_hour, "source_ip")
+    first_hour = written(first_hour, "addresses")
+    candidates = lookup(per_pair.where(F.col("sensitive_actions") > 0), first_hour, ["source_ip"])
     fresh = candidates.where(F.col("hour") == F.col("first_hour")).groupBy("block_id").agg(
         F.sum("sensitive_actions").alias("new_address_actions"))
     blocks = per_pair.groupBy("block_id").agg(F.sum("auth_errors").alias("auth_errors"))

@@ -128,9 +128,9 @@ def labels_with_default(spark, folder):
 
 
 # Analyst verdicts: each signup or error event is a verdict on its user's block; some users are outside the log's hour blocks.
-FEEDBACK = """(SELECT 'django' AS source, 'user-' || (user_id * 2) AS block_id, CASE event_type WHEN 'error' THEN 'anomaly' ELSE 'normal' END AS verdict, ts AS at
+FEEDBACK = """(SELECT 'django' AS source, 'user-' || (user_id * 2) AS block_id, CASE event_type WHEN 'error' THEN 'anomaly' ELSE 'normal' END AS verdict, ts AS "at"
   FROM events WHERE event_type IN ('error', 'signup'))"""
-LATEST = f"""(SELECT source, block_id, arg_max(upper(verdict[1]) || verdict[2:], at) AS verdict, max(at) AS at FROM {FEEDBACK} GROUP BY source, block_id)"""
+LATEST = f"""(SELECT source, block_id, arg_max(upper(verdict[1]) || verdict[2:], "at") AS verdict, max("at") AS "at" FROM {FEEDBACK} GROUP BY source, block_id)"""
 
 
 def feedback(spark, folder):

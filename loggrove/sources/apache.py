@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from loggrove.functions.templates import normalize_template
-from loggrove.functions.text import first_group, match_groups
+from loggrove.functions.text import first_group, group, is_match, line_groups
 
 # --- fixed values: line layout and field patterns --------------------------
 LINE = r"(?s)^\[[A-Z][a-z]{2} ([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2} \d{4})\]\s+\[([a-z]+)\]\s*(.*)$"
@@ -27,12 +27,22 @@ def window_block_id(moment: Column, window_seconds: int = DEFAULT_WINDOW_SECONDS
     return F.concat(F.lit("win-"), F.date_format(window_start(moment, window_seconds), "yyyyMMdd'T'HHmmss"))
 
 
+def stages(line: Column) -> list[dict[str, Column]]:
+    parts = F.col("_groups")
+    stamp, message = (group(is_match(line, parts, 3), parts, i) for i in (1, 3))
+    return [
+        {"_groups": line_groups(line, LINE, 3)},
+        # try_to_timestamp: a day that does not exist (Feb 30) leaves the line without a date.
+        {"_moment": F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit(STAMP_FORMAT)),
+         "_client": first_group(message, CLIENT), "_body": F.regexp_replace(message, CLIENT, "")},
+    ]
+
+
 def columns(line: Column, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> dict[str, Column]:
-    matched, (stamp, level, message) = match_groups(line, LINE, 3)
-    # try_to_timestamp: a day that does not exist (Feb 30) leaves the line unparsed.
-    moment = F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit(STAMP_FORMAT))
-    client = first_group(message, CLIENT)
-    body = F.regexp_replace(message, CLIENT, "")
+    parts = F.col("_groups")
+    matched = is_match(line, parts, 3)
+    level, message = (group(matched, parts, i) for i in (2, 3))
+    moment, client, body = F.col("_moment"), F.col("_client"), F.col("_body")
     return {
         "date": F.date_format(moment, "yyyy-MM-dd"),
         "time": F.date_format(moment, "HH:mm:ss"),
@@ -45,5 +55,5 @@ def columns(line: Column, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> dict[
         "source_ip": client,
         "destination_ip": F.lit(None).cast("string"),
         "block_size": F.lit(None).cast("bigint"),
-        "raw_message": F.when(matched, message).otherwise(line),
+        "raw_message": F.coalesce(message, line),
     }

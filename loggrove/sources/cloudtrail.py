@@ -52,8 +52,12 @@ def identity(record: Column) -> Column:
     ).otherwise(named)
 
 
+def stages(record: Column) -> list[dict[str, Column]]:
+    return [{"_moment": F.try_to_timestamp(record["eventTime"], F.lit(EVENT_TIME_FORMAT))}]
+
+
 def columns(record: Column) -> dict[str, Column]:
-    moment = F.try_to_timestamp(record["eventTime"], F.lit(EVENT_TIME_FORMAT))
+    moment = F.col("_moment")
     parsed = moment.isNotNull()
     error = _text(record["errorCode"])
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from loggrove.functions.templates import normalize_template
-from loggrove.functions.text import match_groups
+from loggrove.functions.text import group, is_match, line_groups
 
 # --- fixed values: line layout and field patterns --------------------------
 LINE = (
@@ -22,10 +22,22 @@ def route(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "?", 1), ID_SEGMENT, "/<n>")
 
 
+def stages(line: Column) -> list[dict[str, Column]]:
+    parts = F.col("_groups")
+    method, path, status, detail = (group(is_match(line, parts, 11), parts, i) for i in (7, 8, 9, 11))
+    slow = F.when(F.lower(detail).contains("slow request"), F.lit("SLOW"))
+    return [
+        {"_groups": line_groups(line, LINE, 11)},
+        {"_event": F.concat_ws(" ", method, route(path), status, slow)},
+    ]
+
+
 def columns(line: Column) -> dict[str, Column]:
-    matched, (day, clock, level, component, user, ip, method, path, status, size, detail) = match_groups(line, LINE, 11)
-    event = F.concat_ws(" ", method, route(path), status,
-                        F.when(F.lower(detail).contains("slow request"), F.lit("SLOW")))
+    parts = F.col("_groups")
+    matched = is_match(line, parts, 11)
+    day, clock, level, component, user, ip = (group(matched, parts, i) for i in range(1, 7))
+    size = group(matched, parts, 10)
+    event = F.col("_event")
     event = F.when(F.length(event) > LONGEST_PLAIN_EVENT, normalize_template(event)).otherwise(event)
     return {
         "date": day,

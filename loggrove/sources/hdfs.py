@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from loggrove.functions.text import first_group, first_of, match_groups
+from loggrove.functions.text import first_group, first_of, group, is_match, line_groups
 
 # --- fixed values: line layout, taxonomy and field patterns ----------------
 LINE = r"(?s)^(\d{6})\s+(\d{6})\s+(\d+)\s+([A-Z]+)\s+([^:]+):\s+(.*)$"
@@ -49,9 +49,15 @@ def block_id(message: Column) -> Column:
     return first_group(message, BLOCK_ID, 0)
 
 
+def stages(line: Column) -> list[dict[str, Column]]:
+    return [{"_groups": line_groups(line, LINE, 6)}]
+
+
 def columns(line: Column) -> dict[str, Column]:
-    matched, (day, clock, pid, level, component, message) = match_groups(line, LINE, 6)
-    body = F.when(matched, message).otherwise(line)
+    parts = F.col("_groups")
+    matched = is_match(line, parts, 6)
+    day, clock, pid, level, component, message = (group(matched, parts, i) for i in range(1, 7))
+    body = F.coalesce(message, line)
     return {
         "date": F.date_format(F.try_to_timestamp(day, F.lit("yyMMdd")), "yyyy-MM-dd"),
         "time": F.regexp_replace(clock, r"^(\d\d)(\d\d)(\d\d)$", "$1:$2:$3"),

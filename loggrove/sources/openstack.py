@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from loggrove.functions.templates import normalize_template
-from loggrove.functions.text import first_group, match_groups
+from loggrove.functions.text import first_group, group, is_match, line_groups
 
 # --- fixed values: line layout and field patterns --------------------------
 LINE = (
@@ -22,8 +22,14 @@ def block_id(message: Column) -> Column:
     return first_group(message, INSTANCE)
 
 
+def stages(line: Column) -> list[dict[str, Column]]:
+    return [{"_groups": line_groups(line, LINE, 7)}]
+
+
 def columns(line: Column, fallback_to_request_id: bool = False) -> dict[str, Column]:
-    matched, (day, clock, pid, level, component, context, message) = match_groups(line, LINE, 7)
+    parts = F.col("_groups")
+    matched = is_match(line, parts, 7)
+    day, clock, pid, level, component, context, message = (group(matched, parts, i) for i in range(1, 8))
     block = block_id(message)
     if fallback_to_request_id:
         block = F.coalesce(block, first_group(F.trim(context), REQUEST))
@@ -38,5 +44,5 @@ def columns(line: Column, fallback_to_request_id: bool = False) -> dict[str, Col
         "source_ip": first_group(message, IP),
         "destination_ip": F.lit(None).cast("string"),
         "block_size": first_group(message, LENGTH).try_cast("bigint"),
-        "raw_message": F.when(matched, message).otherwise(line),
+        "raw_message": F.coalesce(message, line),
     }

@@ -16,6 +16,7 @@ from loggrove.sources.lines import read_lines
 class Source:
     name: str
     title: str
+    stages: Callable[[Column], list[dict[str, Column]]]  # helper columns, each computed once per line
     columns: Callable[..., dict[str, Column]]
     block_is: str
     label_kind: str
@@ -27,15 +28,15 @@ class Source:
 
 
 SOURCES: dict[str, Source] = {s.name: s for s in (
-    Source("hdfs", "HDFS", hdfs.columns, "first blk_ id in the message", "ground truth",
+    Source("hdfs", "HDFS", hdfs.stages, hdfs.columns, "first blk_ id in the message", "ground truth",
            protocol="in_sample", idle_timeout_seconds=43_663),
-    Source("openstack", "OpenStack (nova)", openstack.columns, "VM instance session", "by source file (session-level)",
+    Source("openstack", "OpenStack (nova)", openstack.stages, openstack.columns, "VM instance session", "by source file (session-level)",
            idle_timeout_seconds=3_600),
-    Source("apache", "Apache error log", apache.columns, "fixed 60-second time window", "INJECTED",
+    Source("apache", "Apache error log", apache.stages, apache.columns, "fixed 60-second time window", "INJECTED",
            dedupe=False, idle_timeout_seconds=120),
-    Source("cloudtrail", "Audit trail", cloudtrail.columns, "identity and hour", "WEAK rule-based",
+    Source("cloudtrail", "Audit trail", cloudtrail.stages, cloudtrail.columns, "identity and hour", "WEAK rule-based",
            idle_timeout_seconds=3_600, payload="record"),
-    Source("django", "Django", django.columns, "one user", "SYNTHETIC", idle_timeout_seconds=None),
+    Source("django", "Django", django.stages, django.columns, "one user", "SYNTHETIC", idle_timeout_seconds=None),
 )}
 
 
@@ -49,9 +50,12 @@ def parse(frame: DataFrame, source: str | Source, **options) -> DataFrame:
     """Structured columns from a frame of raw lines (or audit records), batch or
     streaming; every other column (arrival order, source tag) is carried along."""
     spec = get_source(source) if isinstance(source, str) else source
-    built = spec.columns(F.col(spec.payload), **{**spec.options, **options})
     kept = [c for c in frame.columns if c != spec.payload]
-    return frame.select(*kept, *[built[c].alias(c) for c in STRUCTURED_COLUMNS])
+    staged = frame
+    for helpers in spec.stages(F.col(spec.payload)):
+        staged = staged.withColumns(helpers)
+    built = spec.columns(F.col(spec.payload), **{**spec.options, **options})
+    return staged.select(*kept, *[built[c].alias(c) for c in STRUCTURED_COLUMNS])
 
 
 def read_source(spark: SparkSession, source: str, paths: str | list[str], **options) -> DataFrame:
