@@ -38,9 +38,14 @@ def first_group(text: Column, pattern: str, group_number: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group_number), F.lit(""))
 
 
-def first_of(text: Column, patterns) -> Column:
-    """The first pattern, in list order, that matches decides the value."""
-    return F.coalesce(*[first_group(text, p) for p in patterns])
+def first_of(name: str, text: Column, patterns) -> list[dict[str, Column]]:
+    """The group of the first pattern, in list order, that matches: helper columns to be
+    computed one after the other, so that a later pattern only runs where all earlier
+    ones failed and none runs twice. The result is '' where nothing matched."""
+    steps = [{name: F.regexp_extract(text, patterns[0], 1)}]
+    for pattern in patterns[1:]:
+        steps.append({name: F.when(F.col(name) == "", F.regexp_extract(text, pattern, 1)).otherwise(F.col(name))})
+    return steps
 
 
 def strip_blanks(text: Column) -> Column:

@@ -177,7 +177,7 @@ def _sampling_plan(sizes: dict[str, int], params: dict[str, ForestParams]) -> li
         needed = per_pass * rows
         # Rows are let through by hash: enough that `needed` of them remain beyond doubt.
         share = min(1.0, (needed + 10.0 * math.sqrt(needed) + 100.0) / n)
-        plan.append((model, p.seed, rows, per_pass, math.ceil(p.trees / per_pass), p.trees, int(share * (2**63 - 1)), needed))
+        plan.append((model, p.seed, rows, per_pass, math.ceil(p.trees / per_pass), p.trees, min(2**63 - 1, int(share * 2**63)), needed))
     return plan
 
 

@@ -1 +1,213 @@
+"""Forest training, search, comparison and upload scoring over whole tables.
 
+Random models have no SQL twin; each query reports whole-table counts or metrics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loggrove.operators import forest as forests, metrics, sampling, search
+from loggrove.operators.blocks import block_features
+from loggrove.operators.clean import known
+from loggrove.operators.forest import ForestParams
+from loggrove.operators.prefix import prefix_features
+from loggrove.operators.reconstruction import fit_reconstruction
+from loggrove.operators.retention import Normalizer, block_table, evaluate_policy
+from loggrove.operators.vocab import append_codes
+from loggrove.plans import early_warning, lineage, training, uploads, views
+from loggrove.queries import rendered
+from loggrove.queries.registry import query
+from loggrove.queries.scored import user_blocks
+from loggrove.schema import ENCODED_COLUMNS, PREFIX_LENGTHS, TRAINING_FEATURES
+from loggrove.scratch import written
+from loggrove.sources.registry import parse
+from loggrove.sources.tables import events_log, order_log
+
+EVENT_TYPES = ["view", "click", "purchase", "signup", "error"]
+VARIED = ForestParams(trees=50, rows_per_tree=0.2, feature_share=0.6, bootstrap=True, contamination=0.05,
+                      features=("event_frequency", "block_size", "event_type_encoded", "component_encoded"))
+
+
+def labeled_orders(spark, folder):
+    """Block features of the order log, labeled by their error lines."""
+    log = order_log(spark, folder)
+    errors = log.groupBy("block_id").agg(
+        F.when(F.count_if(F.col("log_level") == "ERROR") >= 2, "Anomaly").otherwise("Normal").alias("label"))
+    return written(block_features(log).join(errors, "block_id"), "labeled")
+
+
+def order_split(spark, folder):
+    return written(sampling.stratified_split(labeled_orders(spark, folder), 0.3), "split")
+
+
+@query()
+def forest_nodes_per_tree(spark, folder):
+    model = forests.fit(labeled_orders(spark, folder), ForestParams())
+    return model.nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("feature") < 0, F.col("rows"))).alias("rows"))
+
+
+@query()
+def forest_predictions(spark, folder):
+    rows = labeled_orders(spark, folder)
+    return forests.predict(rows, forests.train(rows, ForestParams())).select("block_id", "label", "predicted_label", "anomaly_score")
+
+
+@query()
+def forest_with_all_settings(spark, folder):
+    rows = labeled_orders(spark, folder)
+    return metrics.evaluate(forests.predict(rows, forests.train(rows, VARIED)), (), "label")
+
+
+@query()
+def forest_held_out_evaluation(spark, folder):
+    return training.train_and_test(order_split(spark, folder), ForestParams()).metrics()
+
+
+@query()
+def train_test_gap_of_forest(spark, folder):
+    return training.gap_report(order_split(spark, folder), VARIED)
+
+
+@query()
+def candidate_population_scores(spark, folder):
+    fitness = sampling.stratified_sample(labeled_orders(spark, folder), 4000)
+    candidates = [ForestParams(trees=50, rows_per_tree=0.05 * (i + 1), contamination=0.02 * (i + 1), features=TRAINING_FEATURES[: 3 + i % 4])
+                  for i in range(8)]
+    return search.score_candidates(written(fitness, "fitness"), candidates)
+
+
+@query()
+def candidate_scores_by_fold(spark, folder):
+    fitness = sampling.folds(sampling.stratified_sample(labeled_orders(spark, folder), 4000), 5)
+    candidates = [ForestParams(trees=50, contamination=c) for c in (0.02, 0.05, 0.1)]
+    return search.score_candidates(written(fitness, "fitness"), candidates, folds=5)
+
+
+@query()
+def searched_forest(spark, folder):
+    """A short population search, then the winner on the held-out side."""
+    split = order_split(spark, folder)
+    fitness = written(sampling.stratified_sample(sampling.side(split, "train"), 3000), "fitness")
+    best, _ = search.search_forest(fitness, population=8, generations=3, parents=4)
+    return training.train_and_test(split, best).metrics()
+
+
+@query()
+def versions_over_split_seeds(spark, folder):
+    versions = {"v1": ForestParams(), "v2": VARIED}
+    return training.compare_versions(labeled_orders(spark, folder), versions, [42, 1, 7])
+
+
+@query()
+def version_summary_over_seeds(spark, folder):
+    versions = {"v1": ForestParams(), "v2": VARIED}
+    return training.version_summary(training.compare_versions(labeled_orders(spark, folder), versions, [42, 1, 7]))
+
+
+@query()
+def reconstruction_detector(spark, folder):
+    """Forest and reconstruction error side by side on held-out rows."""
+    split = order_split(spark, folder)
+    train = sampling.side(split, "train")
+    model = forests.train(train, ForestParams())
+    both = written(fit_reconstruction(train, TRAINING_FEATURES).score(forests.score(split, model, name="forest")), "both")
+    return metrics.compare_detectors(sampling.side(both, "train"), sampling.side(both, "test"), ["forest", "reconstruction_error"],
+                                     F.col("label") == "Anomaly", 0.03)
+
+
+def early_models(spark, folder):
+    prefixes = prefix_features(events_log(spark, folder), PREFIX_LENGTHS)
+    labels = user_blocks(spark, folder).select("block_id", F.col("true_label").alias("label"))
+    return early_warning.train_early_warning(prefixes, labels, EVENT_TYPES)
+
+
+@query()
+def early_warning_models(spark, folder):
+    return early_models(spark, folder).report()
+
+
+@query()
+def early_warning_models_on_running_blocks(spark, folder):
+    return early_models(spark, folder).report("test", True)
+
+
+@query()
+def early_warning_best_k(spark, folder):
+    return early_models(spark, folder).best_k()
+
+
+@query()
+def searched_policy(spark, folder):
+    """A policy searched on the tuning half (scored by a forest refitted there), on the other half."""
+    split = written(sampling.stratified_split(labeled_orders(spark, folder), 0.5), "halves")
+    template = forests.fit(split, ForestParams())
+    tuned = forests.refit(template, sampling.side(split, "train"))
+    scored = written(forests.predict(split, tuned).withColumn("true_label", F.col("label")), "scored")
+    normalizer = Normalizer.fit(sampling.side(scored, "train"))
+    table = written(block_table(scored, normalizer, ("split",)), "table")
+    best, _ = search.search_policy(sampling.side(table, "train"), population=20, generations=6, parents=8)
+    return evaluate_policy(table, best, ["split"])
+
+
+@query()
+def policy_outcome_by_scoring_model(spark, folder):
+    """One policy under a forest fitted on the tuning half and one fitted on all blocks."""
+    split = written(sampling.stratified_split(labeled_orders(spark, folder), 0.5), "halves")
+    from loggrove.queries.retention import POLICY
+
+    outcomes = {}
+    for variant, rows in (("clean", sampling.side(split, "train")), ("deployed", split)):
+        scored = written(forests.predict(split, forests.train(rows, ForestParams())).withColumn("true_label", F.col("label")), "scored")
+        table = block_table(scored, Normalizer.fit(sampling.side(scored, "train")), ("split",))
+        outcomes[variant] = evaluate_policy(sampling.side(table, "test"), POLICY)
+    return views.policy_comparison(outcomes)
+
+
+def hdfs_model(spark, folder):
+    """A vocabulary and a forest trained on the rendered lines of the log."""
+    from loggrove.operators.clean import clean, recognized
+
+    structured = parse(rendered.hdfs_lines(spark, folder), "hdfs")
+    cleaned = written(clean(recognized(structured)), "cleaned")
+    vocab = written(append_codes(cleaned.select(*[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS])), "vocab")
+    features = written(block_features(cleaned, vocab), "features")
+    return structured, vocab, forests.train(features, ForestParams(contamination=0.1), vocab=vocab)
+
+
+@query()
+def uploaded_file_scored(spark, folder):
+    structured, vocab, model = hdfs_model(spark, folder)
+    return uploads.score_upload(structured, "hdfs", model, vocab, 1)
+
+
+@query()
+def blind_verification(spark, folder):
+    structured, vocab, model = hdfs_model(spark, folder)
+    predictions = uploads.score_upload(structured, "hdfs", model, vocab, 1).select("block_id", "predicted_label")
+    answers = structured.groupBy("block_id").agg(
+        F.when(F.count_if(F.col("log_level") == "ERROR") >= 10, "Anomaly").otherwise("Normal").alias("label"))
+    return uploads.verify_blind(predictions, answers)
+
+
+@query()
+def source_trained_end_to_end(spark, folder):
+    """Parse, clean, features, labels, baseline and searched candidate, promotion."""
+    result = training.train_source(labeled_orders(spark, folder), population=6, generations=2, parents=3, fitness_rows=2000)
+    out = None
+    for name in ("baseline", "candidate"):
+        one = result[name].metrics().withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("promoted", F.lit(result["decision"]["promoted"]))
+
+
+@query()
+def retrain_with_feedback(spark, folder):
+    """One adaptation cycle; the appended history row is the result."""
+    labeled = labeled_orders(spark, folder)
+    incumbent = forests.train(labeled, ForestParams())
+    verdicts = order_log(spark, folder).where("log_level = 'WARN'").select(
+        F.lit("orders").alias("source"), "block_id", F.lit("anomaly").alias("verdict"), F.col("datetime").alias("at"))
+    history = spark.createDataFrame([], lineage.HISTORY_SCHEMA)
+    done = training.retrain(spark, labeled, verdicts, incumbent, 0.5, history, population=6, generations=2, parents=3, fitness_rows=2000)
+    return done["history"].select("event", "promoted", "new_version", "current_value", "candidate_value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, functions as F
 
 from loggrove.functions.text import first_group, first_of, group, is_match, line_groups
@@ -50,14 +52,19 @@ def block_id(message: Column) -> Column:
 
 
 def stages(line: Column) -> list[dict[str, Column]]:
-    return [{"_groups": line_groups(line, LINE, 6)}]
+    parts, body = F.col("_groups"), F.col("_body")
+    sources, targets = first_of("_source", body, SOURCE_IP), first_of("_target", body, DESTINATION_IP)
+    return [
+        {"_groups": line_groups(line, LINE, 6)},
+        {"_body": F.coalesce(group(is_match(line, parts, 6), parts, 6), line)},
+        *[{**one, **other} for one, other in zip_longest(sources, targets, fillvalue={})],
+    ]
 
 
 def columns(line: Column) -> dict[str, Column]:
-    parts = F.col("_groups")
+    parts, body = F.col("_groups"), F.col("_body")
     matched = is_match(line, parts, 6)
-    day, clock, pid, level, component, message = (group(matched, parts, i) for i in range(1, 7))
-    body = F.coalesce(message, line)
+    day, clock, pid, level, component = (group(matched, parts, i) for i in range(1, 6))
     return {
         "date": F.date_format(F.try_to_timestamp(day, F.lit("yyMMdd")), "yyyy-MM-dd"),
         "time": F.regexp_replace(clock, r"^(\d\d)(\d\d)(\d\d)$", "$1:$2:$3"),
@@ -66,8 +73,8 @@ def columns(line: Column) -> dict[str, Column]:
         "component": component,
         "event_type": F.when(matched, classify(body)).otherwise(F.lit(OTHER)),
         "block_id": block_id(body),
-        "source_ip": first_of(body, SOURCE_IP),
-        "destination_ip": first_of(body, DESTINATION_IP),
+        "source_ip": F.nullif(F.col("_source"), F.lit("")),
+        "destination_ip": F.nullif(F.col("_target"), F.lit("")),
         "block_size": first_group(body, BLOCK_SIZE).try_cast("bigint"),
         "raw_message": body,
     }
