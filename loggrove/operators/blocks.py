@@ -98,12 +98,16 @@ def date_range(log: DataFrame) -> DataFrame:
     return log.agg(F.min("datetime").alias("first_time"), F.max("datetime").alias("last_time"))
 
 
-def constant_columns(frame: DataFrame, columns) -> list[str]:
-    """Columns that hold one value (or none): min equals max, nulls counted as a value."""
-    row = frame.agg(
+def constant_columns(frame: DataFrame, columns, by: str | None = None) -> list[str] | dict:
+    """Columns that hold one value (a null counts as a value), over all rows or, as a
+    dict, per value of a low-cardinality column. One aggregate."""
+    def constant(row) -> list[str]:
+        return [c for c in columns
+                if row[f"n_{c}"] == 0 or (row[f"lo_{c}"] == row[f"hi_{c}"] and row[f"n_{c}"] == row["_rows"])]
+
+    rows = frame.groupBy(*([by] if by else [])).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns],
         *[F.count(c).alias(f"n_{c}") for c in columns],
-    ).first()
-    return [c for c in columns
-            if row[f"n_{c}"] == 0 or (row[f"lo_{c}"] == row[f"hi_{c}"] and row[f"n_{c}"] == row["_rows"])]
+    ).collect()  # one row, or one per group
+    return {row[by]: constant(row) for row in rows} if by else constant(rows[0])

@@ -100,31 +100,41 @@ def _f1_at(tp: Column, flagged: Column, positives: Column) -> Column:
     return F.when(tp > 0, 2 * tp / (flagged + positives)).otherwise(F.lit(0.0))
 
 
-def cut_curve(frame: DataFrame, score: str, positive: Column) -> DataFrame:
-    """F1 of the rule ``score >= cut`` for every distinct score, from running counts."""
-    tied = frame.groupBy(F.col(score).alias("cut")).agg(
+def cut_curve(frame: DataFrame, score: str, positive: Column, by: list[str] = ()) -> DataFrame:
+    """F1 of the rule ``score >= cut`` for every distinct score (of each group), from
+    running counts."""
+    by = list(by)
+    tied = frame.groupBy(*by, F.col(score).alias("cut")).agg(
         count_if(positive).alias("pos"), F.count(F.lit(1)).alias("rows"))
-    curve = ranked(tied, [F.col("cut").desc()], totals={"tp": F.col("pos"), "alerts": F.col("rows")})
-    positives = tied.agg(F.sum("pos")).scalar()
-    return curve.select("cut", "tp", "alerts", _f1_at(F.col("tp"), F.col("alerts"), positives).alias("f1"))
+    curve = ranked(tied, [F.col("cut").desc()], within=tuple(by), totals={"tp": F.col("pos"), "alerts": F.col("rows")})
+    positives = tied.groupBy(*by).agg(F.sum("pos").alias("_positives"))  # one row per group
+    curve = curve.join(F.broadcast(positives), by) if by else curve.withColumn("_positives", positives.scalar())
+    return curve.select(*by, "cut", "tp", "alerts", _f1_at(F.col("tp"), F.col("alerts"), F.col("_positives")).alias("f1"))
 
 
-def tune_threshold(train: DataFrame, score: str, positive: Column, quantiles=ALERT_QUANTILES) -> DataFrame:
-    """The alert threshold with the best training F1 inside the allowed quantile range.
+def tune_threshold(train: DataFrame, score: str, positive: Column, quantiles=ALERT_QUANTILES, by: list[str] = ()) -> DataFrame:
+    """The alert threshold (of each group) with the best training F1 inside the allowed
+    quantile range.
 
     Alerts fire at ``score >= threshold``, so F1 only changes at observed scores and
     trying each of them is exact. Among equal F1 the highest threshold wins.
     """
-    low, high = exact_quantiles(train, score, quantiles)
-    curve = cut_curve(train, score, positive)
-    # F1 is constant between two neighbouring scores: a cut at `low` or `high` itself
-    # selects the same rows as the next observed score at or above it.
-    inside = curve.where((F.col("cut") >= low) & (F.col("cut") <= high))
-    above = curve.where(F.col("cut") >= high).agg(F.min_by(F.struct(F.lit(high).alias("cut"), "tp", "alerts", "f1"), "cut").alias("e"))
-    candidates = inside.unionByName(above.where(F.col("e").isNotNull()).select("e.*"))
-    return candidates.agg(F.max(F.struct("f1", "cut", "tp", "alerts")).alias("best")).select(
-        F.col("best.cut").alias("threshold"), F.col("best.f1").alias("train_f1"),
-        F.col("best.tp").alias("tp"), F.col("best.alerts").alias("alerts"))
+    by = list(by)
+    keys = by or ["_all"]
+    rows = train if by else train.withColumn("_all", F.lit(0))
+    curve = cut_curve(rows, score, positive, keys)
+    for share, name in zip(quantiles, ("_low", "_high")):
+        curve = curve.join(F.broadcast(grouped_quantile(rows, score, share, tuple(keys), name)), keys)
+    # A cut at the upper limit itself selects the same rows as the first score at or above it.
+    first_above = F.min(F.when(F.col("cut") >= F.col("_high"), F.struct("cut", "f1", "tp", "alerts")))
+    entry = F.struct("f1", "cut", "tp", "alerts")
+    best = curve.groupBy(*keys).agg(
+        F.max(F.when((F.col("cut") >= F.col("_low")) & (F.col("cut") <= F.col("_high")), entry)).alias("_inside"),
+        first_above.alias("_above"), F.max("_high").alias("_high"))
+    limit = F.struct(F.col("_above.f1").alias("f1"), F.col("_high").alias("cut"), F.col("_above.tp").alias("tp"), F.col("_above.alerts").alias("alerts"))
+    chosen = best.select(*by, F.greatest("_inside", F.when(F.col("_above").isNotNull(), limit)).alias("best"))
+    return chosen.select(*by, F.col("best.cut").alias("threshold"), F.col("best.f1").alias("train_f1"),
+                         F.col("best.tp").alias("tp"), F.col("best.alerts").alias("alerts"))
 
 
 def metrics_at(frame: DataFrame, score: str, positive: Column, thresholds: list[tuple[str, float]]) -> DataFrame:

@@ -60,17 +60,14 @@ def train_early_warning(prefixes: DataFrame, labels: DataFrame, event_types: lis
     rows = written(rows.join(split, "block_id"), "prefixes")
     train = sampling.side(rows, "train")
     inputs = model_columns(event_types)
-    ks = sorted(r["k"] for r in rows.select("k").distinct().collect())
-    dropped = {k: constant_columns(train.where(F.col("k") == k), inputs) for k in ks}
+    dropped = constant_columns(train, inputs, by="k")
+    ks = sorted(dropped)
     features = {k: [c for c in inputs if c not in dropped[k]] for k in ks}
     params = {str(k): ForestParams(trees=base.trees, rows_per_tree=base.rows_per_tree, feature_share=base.feature_share,
                                    bootstrap=base.bootstrap, features=tuple(features[k]), seed=base.seed) for k in ks}
     forest = forests.train(train, params, "k", vocab=vocab)
     scored = written(forests.score(rows, forest, "k"), "prefix_scores")
-    positive = F.col("label") == ANOMALY
-    thresholds = {}
-    for k in ks:
-        best = metrics.tune_threshold(sampling.side(scored, "train").where(F.col("k") == k), "score", positive).first()
-        thresholds[k] = float(best["threshold"])
+    tuned = metrics.tune_threshold(sampling.side(scored, "train"), "score", F.col("label") == ANOMALY, by=["k"])
+    thresholds = {row["k"]: float(row["threshold"]) for row in tuned.collect()}  # one row per k
     done = judged(scored, thresholds)
     return EarlyWarning(forest, thresholds, features, dropped, sampling.side(done, "train"), sampling.side(done, "test"))

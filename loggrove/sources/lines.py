@@ -31,16 +31,19 @@ def read_lines(spark: SparkSession, paths: str | list[str], source: str | None =
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same shape from a folder that receives files."""
-    reader = spark.readStream.format("text")
+    """The same shape from a folder that receives files.
+
+    A stream has no generated row ids, so a delivered file is read as one text and its
+    lines are numbered as they are taken apart: deliveries should be small files.
+    """
+    reader = spark.readStream.format("text").option("wholetext", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"(\r\n|\n|\r)\z", "")
     return reader.load(path).select(
-        F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
-        .alias(ARRIVAL_CHUNK),
-        F.monotonically_increasing_id().alias(ARRIVAL_SEQ),
-        F.make_valid_utf8("value").alias("value"),
-    )
+        F.col("_metadata.file_path").alias(ARRIVAL_CHUNK),
+        F.posexplode(F.split(text, r"\r\n|\n|\r")).alias(ARRIVAL_SEQ, "value"),
+    ).withColumn(ARRIVAL_SEQ, F.col(ARRIVAL_SEQ).cast("long"))
 
 
 def topic_for(source: str) -> str:

@@ -55,10 +55,10 @@ def parse(frame: DataFrame, source: str | Source, **options) -> DataFrame:
     for helpers in spec.stages(F.col(spec.payload)):
         staged = staged.withColumns(helpers)
     built = spec.columns(F.col(spec.payload), **{**spec.options, **options})
+    parsed = staged.select(*kept, *[built[c].alias(c) for c in STRUCTURED_COLUMNS])
     # A generator with one element: later filters on parsed columns stay above it, where
     # otherwise they would be pushed down with a second copy of every pattern they use.
-    row = F.struct(*[built[c].alias(c) for c in STRUCTURED_COLUMNS])
-    return staged.select(*kept, F.inline(F.array(row)))
+    return parsed.select(*kept, F.inline(F.array(F.struct(*STRUCTURED_COLUMNS))))
 
 
 def read_source(spark: SparkSession, source: str, paths: str | list[str], **options) -> DataFrame:
