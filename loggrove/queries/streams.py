@@ -40,8 +40,11 @@ def event_stream(spark, folder, block):
         F.lit(0).cast("long").alias("pid"), "log_level", "component", "event_type", "block_id", "source_ip", "destination_ip", "block_size",
         F.concat("raw_message", F.lit(" #"), ARRIVAL_SEQ).alias("raw_message"))
     path = scratch_path(spark, "stream-in")
-    rows.repartitionByRange(FILES, ARRIVAL_SEQ).write.parquet(path)
-    # One file per batch; files are named by range, so they are taken in arrival order.
+    last = rows.agg(F.max(ARRIVAL_SEQ)).first()[0]
+    for number in range(FILES):
+        # Deliveries follow each other: a file stream takes the oldest file first.
+        part = rows.where(F.floor(F.col(ARRIVAL_SEQ) * FILES / F.lit(last + 1)) == number)
+        part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
     return drop_invalid(coerce(stream))
 

@@ -7,10 +7,10 @@ emits plain rows; scoring and decisions are ordinary columns downstream.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loggrove.operators.clean import coerce, drop_invalid, recognized, seconds_of
@@ -42,7 +42,9 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("first_seconds", T.LongType()), T.StructField("last_seconds", T.LongType()),
     T.StructField("reason", T.StringType()),
 ])
-_FIELDS = [f.name for f in OUTPUT_SCHEMA]
+# What the operator itself emits: the fields above as one JSON text, so a row costs the
+# Python side three values whatever its kind.
+EMITTED_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "block_id", "payload")])
 
 TOTALS_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("t_min", T.LongType()), T.StructField("t_max", T.LongType()),
@@ -50,6 +52,7 @@ TOTALS_SCHEMA = T.StructType([
     T.StructField("is_error", T.IntegerType()), T.StructField("size", T.DoubleType()),
     T.StructField("first_component", T.IntegerType()), T.StructField("first_event_type", T.IntegerType()),
 ])
+_TOTALS = [f.name for f in TOTALS_SCHEMA]
 COUNT_KEY = T.StructType([T.StructField("column", T.StringType()), T.StructField("value", T.StringType())])
 COUNT_VALUE = T.StructType([T.StructField("n", T.LongType()), T.StructField("code", T.IntegerType())])
 
@@ -61,7 +64,7 @@ def _dominant(counts: dict, column: str) -> int:
 
 class BlockProcessor(StatefulProcessor):
     """Folds events; see the module text. ``timeout`` None means only the end of the
-    stream closes a block."""
+    stream closes a block. A closed block keeps a tombstone (n = -1) in its totals."""
 
     def __init__(self, ks: list[int], timeout: int | None, lateness: int, dedupe: bool, tombstone: int | None = None):
         self.ks, self.timeout, self.lateness, self.dedupe, self.tombstone = sorted(ks), timeout, lateness, dedupe, tombstone
@@ -71,65 +74,59 @@ class BlockProcessor(StatefulProcessor):
         self.totals = handle.getValueState("totals", TOTALS_SCHEMA)
         self.counts = handle.getMapState("counts", COUNT_KEY, COUNT_VALUE)
         self.seen = handle.getMapState("seen", "row string", "yes boolean")
-        self.closed = handle.getValueState("closed", "at long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        block = key[0]
-        batch = pd.concat(list(rows), ignore_index=True)
-        if self.closed.exists():
-            yield _rows([{"kind": "counts", "block_id": block, "accepted": 0, "duplicates": 0, "late": len(batch)}])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        block, state = key[0], self._load()
+        events = sorted(rows, key=lambda r: (getattr(r, ARRIVAL_CHUNK, ""), r[ARRIVAL_SEQ]))
+        if state["n"] < 0:
+            yield _row("counts", block, accepted=0, duplicates=0, late=len(events))
             return
-        order = [c for c in (ARRIVAL_CHUNK, ARRIVAL_SEQ) if c in batch.columns]
-        state, out, duplicates, before = self._load(), [], 0, None
-        known = {}          # counts touched in this batch, or all of them while the prefix is open
-        if state["n"] and state["n"] < self.ks[-1]:
-            known = {tuple(k): tuple(v) for k, v in self.counts.iterator()}  # at most k entries per column
-        before = state["last"]
-        for event in batch.sort_values(order, kind="stable").itertuples(index=False):
+        before, duplicates, fresh = state["last"], 0, set()
+        stored = state["n"] > 0   # a new block has nothing to look up
+        # Counts touched by this batch; all of them (at most k per column) while the prefix is open.
+        known = {tuple(k): tuple(v) for k, v in self.counts.iterator()} if 0 < state["n"] < self.ks[-1] else {}
+        for event in events:
             if self.dedupe:
-                if self.seen.containsKey((event.row_key,)):
+                if event.row_key in fresh or (stored and self.seen.containsKey((event.row_key,))):
                     duplicates += 1
                     continue
-                self.seen.updateValue((event.row_key,), (True,))
-            self._fold(state, known, event)
+                fresh.add(event.row_key)
+            self._fold(state, known, event, stored)
             if state["n"] in self.ks:
-                out.append(self._snapshot(block, state, known, int(event.seconds)))
-        accepted = len(batch) - duplicates
-        if accepted:
+                yield self._snapshot(block, state, known, int(event.seconds))
+        if len(events) > duplicates:
+            for row_key in fresh:
+                self.seen.updateValue((row_key,), (True,))
             for entry, value in known.items():
                 self.counts.updateValue(entry, value)
-            self.totals.update(tuple(state[f.name] for f in TOTALS_SCHEMA))
+            self.totals.update(tuple(state[name] for name in _TOTALS))
             self._restart_timer(before, state["last"])
-        out.append({"kind": "counts", "block_id": block, "accepted": accepted, "duplicates": duplicates, "late": 0})
-        yield _rows(out)
+        yield _row("counts", block, accepted=len(events) - duplicates, duplicates=duplicates, late=0)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():      # the tombstone's own timer
-            self.closed.clear()
-            return
-        if not self.totals.exists():
-            return
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
+        if state["n"] <= 0:           # the tombstone's own timer, or nothing left
+            self.totals.clear()
+            return
         counts = {tuple(k): tuple(v) for k, v in self.counts.iterator()}
-        final = final_row(key[0], state, {c: _dominant(counts, c) for c in ENCODED_COLUMNS}, "timeout")
-        for variable in (self.totals, self.counts, self.seen):
-            variable.clear()
-        self.closed.update((state["last"],))
+        self.counts.clear()
+        if self.dedupe:
+            self.seen.clear()
+        self.totals.update(tuple({**dict.fromkeys(_TOTALS), "n": -1, "last": state["last"]}[name] for name in _TOTALS))
         if self.tombstone is not None:
             self.handle.registerTimer((state["last"] + self.tombstone - self.lateness) * 1000)
-        yield _rows([final])
+        yield _row("final", key[0], **final_fields(state, {c: _dominant(counts, c) for c in ENCODED_COLUMNS}, "timeout"))
 
     def close(self) -> None:
         pass
 
     def _load(self) -> dict:
-        stored = self.totals.get() if self.totals.exists() else None
-        names = [f.name for f in TOTALS_SCHEMA]
+        stored = self.totals.get()
         if stored is None:
-            return {**dict.fromkeys(names), "n": 0, "warn": 0, "error": 0, "is_error": 0, "size": 0.0}
-        return dict(zip(names, stored))
+            return {**dict.fromkeys(_TOTALS), "n": 0, "warn": 0, "error": 0, "is_error": 0, "size": 0.0}
+        return dict(zip(_TOTALS, stored))
 
-    def _fold(self, state: dict, known: dict, event) -> None:
+    def _fold(self, state: dict, known: dict, event, stored: bool) -> None:
         seconds, level = int(event.seconds), event.log_level.upper()
         if state["n"] == 0:
             state["first_component"], state["first_event_type"] = int(event.component_encoded), int(event.event_type_encoded)
@@ -141,23 +138,22 @@ class BlockProcessor(StatefulProcessor):
         state["is_error"] = max(state["is_error"], int(level == "ERROR"))
         state["size"] = max(state["size"], float(event.block_size))
         for column in ENCODED_COLUMNS:
-            entry = (column, getattr(event, column))
+            entry = (column, event[column])
             if entry not in known:
-                found = self.counts.getValue(entry) if self.counts.containsKey(entry) else None
-                known[entry] = (0, int(getattr(event, f"{column}_encoded"))) if found is None else tuple(found)
+                found = self.counts.getValue(entry) if stored else None
+                known[entry] = (0, int(event[f"{column}_encoded"])) if found is None else tuple(found)
             known[entry] = (known[entry][0] + 1, known[entry][1])
 
-    def _snapshot(self, block: str, state: dict, known: dict, seconds: int) -> dict:
+    def _snapshot(self, block: str, state: dict, known: dict, seconds: int) -> Row:
         types = {value: n for (column, value), (n, _) in known.items() if column == "event_type"}
-        return {
-            "kind": "snapshot", "block_id": block, "k": state["n"], "event_seconds": seconds, "n_events": state["n"],
-            "elapsed_seconds": state["t_max"] - state["t_min"], "distinct_event_types": len(types),
-            "distinct_components": sum(column == "component" for column, _ in known),
-            "warn_count": state["warn"], "error_count": state["error"], "block_size_max": state["size"],
-            "first_component_encoded": state["first_component"], "first_event_type_encoded": state["first_event_type"],
-            "dominant_component_encoded": _dominant(known, "component"),
-            "dominant_event_type_encoded": _dominant(known, "event_type"), "type_counts": types,
-        }
+        return _row(
+            "snapshot", block, k=state["n"], event_seconds=seconds, n_events=state["n"],
+            elapsed_seconds=state["t_max"] - state["t_min"], distinct_event_types=len(types),
+            distinct_components=sum(column == "component" for column, _ in known),
+            warn_count=state["warn"], error_count=state["error"], block_size_max=state["size"],
+            first_component_encoded=state["first_component"], first_event_type_encoded=state["first_event_type"],
+            dominant_component_encoded=_dominant(known, "component"),
+            dominant_event_type_encoded=_dominant(known, "event_type"), type_counts=types)
 
     def _restart_timer(self, before: int | None, last: int) -> None:
         if self.timeout is None or before == last:
@@ -172,22 +168,16 @@ class BlockProcessor(StatefulProcessor):
         return (last - self.lateness) * 1000 + 1
 
 
-def final_row(block: str, state: dict, dominant: dict[str, int], reason: str) -> dict:
+def final_fields(state: dict, dominant: dict[str, int], reason: str) -> dict:
     return {
-        "kind": "final", "block_id": block, "hour_of_day": (state["t_min"] % 86_400) // 3_600, "is_error": state["is_error"],
+        "hour_of_day": (state["t_min"] % 86_400) // 3_600, "is_error": state["is_error"],
         **{f"{c}_encoded": code for c, code in dominant.items()}, "block_size": state["size"], "event_frequency": state["n"],
         "first_seconds": state["t_min"], "last_seconds": state["t_max"], "event_seconds": state["last"], "reason": reason,
     }
 
 
-def _rows(records: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame([[r.get(name) for name in _FIELDS] for r in records], columns=_FIELDS, dtype=object)
-    for field in OUTPUT_SCHEMA:
-        if isinstance(field.dataType, (T.LongType, T.IntegerType)):
-            frame[field.name] = frame[field.name].astype("Int64" if isinstance(field.dataType, T.LongType) else "Int32")
-        elif isinstance(field.dataType, T.DoubleType):
-            frame[field.name] = frame[field.name].astype("Float64")
-    return frame
+def _row(kind: str, block: str, **fields) -> Row:
+    return Row(kind=kind, block_id=block, payload=json.dumps(fields))
 
 
 def encoded_events(lines: DataFrame, source: str | Source, vocab: DataFrame, **options) -> DataFrame:
@@ -221,8 +211,10 @@ def block_stream(events: DataFrame, source: str | Source, ks, lateness_seconds:
     spec = get_source(source) if isinstance(source, str) else source
     timeout = spec.idle_timeout_seconds if timeout_seconds == "source" else timeout_seconds
     delay = (timeout or 0) + lateness_seconds
-    return events.withWatermark("ts", f"{delay} seconds").groupBy("block_id").transformWithStateInPandas(
-        BlockProcessor(list(ks), timeout, lateness_seconds, spec.dedupe, tombstone_seconds), OUTPUT_SCHEMA, "Append", "EventTime")
+    emitted = events.withWatermark("ts", f"{delay} seconds").groupBy("block_id").transformWithState(
+        BlockProcessor(list(ks), timeout, lateness_seconds, spec.dedupe, tombstone_seconds), EMITTED_SCHEMA, "Append", "EventTime")
+    inner = T.StructType([f for f in OUTPUT_SCHEMA if f.name not in ("kind", "block_id")])
+    return emitted.withColumn("_p", F.from_json("payload", inner)).select("kind", "block_id", "_p.*")
 
 
 def open_blocks(spark, checkpoint: str) -> DataFrame:
@@ -230,7 +222,7 @@ def open_blocks(spark, checkpoint: str) -> DataFrame:
     def state(name: str) -> DataFrame:
         return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
 
-    totals = state("totals").select(F.col("key.block_id").alias("block_id"), "value.*")
+    totals = state("totals").select(F.col("key.block_id").alias("block_id"), "value.*").where("n > 0")
     counts = state("counts").select(
         F.col("key.block_id").alias("block_id"), F.col("user_map_key.column").alias("column"),
         F.col("user_map_value.n").alias("n"), F.col("user_map_value.code").alias("code"))
