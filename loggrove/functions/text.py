@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _MARK = "\x01"
 # --- fixed values: every character Unicode calls white space ----------------
@@ -51,3 +51,15 @@ def first_of(name: str, text: Column, patterns) -> list[dict[str, Column]]:
 def strip_blanks(text: Column) -> Column:
     """Trim all Unicode white space, not only the space character."""
     return F.trim(text, F.lit(BLANKS))
+
+
+def fenced(frame: DataFrame, columns) -> DataFrame:
+    """The same frame, with ``columns`` computed once and before any later filter.
+
+    The optimizer pushes a filter below the projection that computes its columns by
+    copying their expressions, so every pattern or parse would run twice. It does not
+    copy through a generator, and a generator over a one-element array changes nothing.
+    """
+    columns = list(columns)
+    rest = [c for c in frame.columns if c not in columns]
+    return frame.select(*rest, F.inline(F.array(F.struct(*columns))))

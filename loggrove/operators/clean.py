@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loggrove.functions.stats import count_if
-from loggrove.functions.text import strip_blanks
+from loggrove.functions.text import fenced, strip_blanks
 from loggrove.schema import ARRIVAL_CHUNK, ARRIVAL_SEQ, STRUCTURED_COLUMNS, UNKNOWN, require_columns
 
 # --- fixed values ----------------------------------------------------------
@@ -53,7 +53,7 @@ def coerce(frame: DataFrame) -> DataFrame:
         **{c: present(F.col(c)) for c in TEXT_COLUMNS},
         **{c: known(F.col(c)) for c in ADDRESS_COLUMNS},
     }
-    return frame.withColumns(replaced)
+    return fenced(frame.withColumns(replaced), replaced)
 
 
 def drop_invalid(frame: DataFrame) -> DataFrame:

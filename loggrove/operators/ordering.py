@@ -55,7 +55,10 @@ def ranked(frame: DataFrame, order: list, within: tuple[str, ...] = (), totals:
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_base"),
         *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_base_{name}") for name in totals],
     )
-    joined = parts.join(F.broadcast(starts), [_PART, *within], "inner")
+    # Null-safe: rows of a null group are numbered like any other group.
+    renamed = starts.withColumnsRenamed({c: f"_of{c}" for c in (_PART, *within)})
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in (_PART, *within)]
+    joined = parts.join(F.broadcast(renamed), same, "inner").drop(*[f"_of{c}" for c in (_PART, *within)])
     out = joined.withColumn(position, (F.col(_LOCAL) + F.col("_base")).cast("long"))
     if totals:
         local = Window.partitionBy(_PART, *within).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, 0)
@@ -120,7 +123,9 @@ def grouped_quantile(frame: DataFrame, column: str, probability: float, within:
         F.count(F.lit(1)).alias("_times"))
     running = ranked(counts, ["_value"], within=within, totals={"_upto": F.col("_times")})
     sizes = counts.groupBy(*within).agg(F.sum("_times").alias("_size"))  # one row per group
-    placed = running.join(F.broadcast(sizes), list(within)).withColumn("_place", F.lit(probability) * (F.col("_size") - 1))
+    renamed = sizes.withColumnsRenamed({c: f"_of{c}" for c in within})
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in within]
+    placed = running.join(F.broadcast(renamed), same).withColumn("_place", F.lit(probability) * (F.col("_size") - 1))
     covers = lambda rank: (rank >= F.col("_upto") - F.col("_times")) & (rank < F.col("_upto"))
     ends = placed.groupBy(*within).agg(
         F.max(F.when(covers(F.floor("_place")), F.col("_value"))).alias("_low"),

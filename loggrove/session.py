@@ -15,6 +15,9 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The Java VM never compiles a method above 8,000 bytecodes. A stage whose generated
+    # method is larger (many patterns per line) runs much faster operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loggrove.functions.text import fenced
 from loggrove.schema import STRUCTURED_COLUMNS
 from loggrove.sources import apache, cloudtrail, django, hdfs, openstack
 from loggrove.sources.lines import read_lines
@@ -55,10 +56,7 @@ def parse(frame: DataFrame, source: str | Source, **options) -> DataFrame:
     for helpers in spec.stages(F.col(spec.payload)):
         staged = staged.withColumns(helpers)
     built = spec.columns(F.col(spec.payload), **{**spec.options, **options})
-    parsed = staged.select(*kept, *[built[c].alias(c) for c in STRUCTURED_COLUMNS])
-    # A generator with one element: later filters on parsed columns stay above it, where
-    # otherwise they would be pushed down with a second copy of every pattern they use.
-    return parsed.select(*kept, F.inline(F.array(F.struct(*STRUCTURED_COLUMNS))))
+    return fenced(staged.select(*kept, *[built[c].alias(c) for c in STRUCTURED_COLUMNS]), STRUCTURED_COLUMNS)
 
 
 def read_source(spark: SparkSession, source: str, paths: str | list[str], **options) -> DataFrame:

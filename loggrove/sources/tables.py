@@ -7,8 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loggrove.schema import ARRIVAL_SEQ
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread an input of fewer pieces than cores (a file that can not be split, such as
+    one row group or one .gz) over the cores. Larger inputs stay as they are scanned."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if 2 * frame.rdd.getNumPartitions() <= cores else frame
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _k() -> Column:
