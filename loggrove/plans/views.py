@@ -127,3 +127,8 @@ def policy_comparison(outcomes: dict[str, DataFrame], measures=("storage_saved_p
         one = outcome.select(F.lit(variant).alias("variant"), pairs.alias("_p")).select("variant", "_p.*")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("measure").pivot("variant", list(outcomes)).agg(F.first("value"))
+
+
+def list_feedback(verdicts: DataFrame, source: str, limit: int = 500) -> DataFrame:
+    """One source's latest verdicts, newest first."""
+    return verdicts.where(F.col("source") == source).orderBy(F.col("at").desc(), "block_id").limit(limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loggrove.operators import audit, labels, sampling
+from loggrove.plans.views import list_feedback
 from loggrove.queries import rendered
 from loggrove.queries.registry import query
 from loggrove.queries.scored import ORDER_BLOCKS, USER_BLOCKS, order_blocks, user_blocks
@@ -164,6 +165,11 @@ def feedback_listing_counts(spark, folder):
     return labels.latest_verdicts(feedback(spark, folder)).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT * FROM {LATEST} WHERE source = 'django' ORDER BY "at" DESC, block_id LIMIT 500""")
+def feedback_listing(spark, folder):
+    return list_feedback(labels.latest_verdicts(feedback(spark, folder)), "django")
+
+
 FAULTY = "(SELECT DISTINCT 'user-' || user_id AS block_id FROM events WHERE event_type = 'error' AND value > 300)"
 
 

@@ -211,3 +211,26 @@ def retrain_with_feedback(spark, folder):
     history = spark.createDataFrame([], lineage.HISTORY_SCHEMA)
     done = training.retrain(spark, labeled, verdicts, incumbent, 0.5, history, population=6, generations=2, parents=3, fitness_rows=2000)
     return done["history"].select("event", "promoted", "new_version", "current_value", "candidate_value")
+
+
+@query()
+def source_report(spark, folder):
+    """The Django chain from raw lines to early warning, as one long table."""
+    from loggrove.plans.source_report import source_report as report
+
+    labels = user_blocks(spark, folder).select("block_id", F.col("true_label").alias("label"))
+    structured = parse(rendered.django_lines(spark, folder), "django")
+    return report(structured, "django", labels, 6, 2, 3, 12, 3, 5, 3)
+
+
+@query()
+def model_refitted_on_late_blocks(spark, folder):
+    """The same settings fitted again on the later half of the data, scored on it."""
+    from loggrove.operators.blocks import block_metadata
+
+    labeled = labeled_orders(spark, folder)
+    seen = block_metadata(order_log(spark, folder)).select("block_id", "first_seen")
+    halves = written(sampling.time_halves(labeled.join(seen, "block_id")), "halves")
+    first = forests.train(halves.where("half = 'early'"), ForestParams(contamination=0.05))
+    late = halves.where("half = 'late'")
+    return metrics.evaluate(forests.predict(late, forests.refit(first, late)), (), "label")

@@ -147,3 +147,24 @@ def lines_in_file_order(spark, folder):
     rows = read_lines(spark, path).withColumn("number", F.col("value").cast("long"))
     return rows.withColumn("before", F.lag("number").over(order)).groupBy("arrival_chunk").agg(
         F.count("*").alias("lines"), F.count_if(F.col("before") > F.col("number")).alias("inversions")).select("lines", "inversions")
+
+
+@query("""SELECT source, event_type, count(*) AS lines FROM (SELECT 'hdfs' AS source, event_type FROM (""" + rendered.HDFS_SQL + """)
+  UNION ALL SELECT 'django', event_type FROM (""" + rendered.DJANGO_SQL + """)) WHERE source = 'django' GROUP BY ALL""")
+def stored_tables_by_source(spark, folder):
+    """Structured rows stored per source, one source read back."""
+    from loggrove.sources import sinks
+
+    root = scratch_path(spark, "store")
+    for name, make in (("hdfs", rendered.hdfs_lines), ("django", rendered.django_lines)):
+        sinks.write_table(parse(make(spark, folder), name), root, "structured", name)
+    return sinks.read_table(spark, root, "structured", "django").groupBy("source", "event_type").agg(F.count("*").alias("lines"))
+
+
+@query("""SELECT 'user-' || user_id AS key, count(*) AS messages FROM events GROUP BY ALL""")
+def messages_keyed_by_block(spark, folder):
+    from loggrove.sources import sinks
+    from loggrove.sources.tables import events_log
+
+    return sinks.messages(events_log(spark, folder)).where(F.get_json_object("value", "$.raw_message").isNotNull()).groupBy("key").agg(
+        F.count("*").alias("messages"))

@@ -186,8 +186,10 @@ def encoded_events(lines: DataFrame, source: str | Source, vocab: DataFrame, **o
     The vocabulary is only read: a value it lacks gets the next free code of its column.
     """
     spec = get_source(source) if isinstance(source, str) else source
-    events = drop_invalid(coerce(recognized(parse(lines, spec, **options))))
-    return code_events(events, vocab)
+    parsed = parse(lines, spec, **options).observe(
+        "input", F.count(F.lit(1)).alias("lines_received"),
+        F.count_if(F.col("date").isNull() | F.col("block_id").isNull()).alias("lines_unparsed"))
+    return code_events(drop_invalid(coerce(recognized(parsed))), vocab)
 
 
 def code_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -200,6 +202,8 @@ def code_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
         codes = vocab.where(F.col("column") == column).select(F.col("value").alias(column), F.col("code").alias(f"{column}_encoded"))
         out = lookup(out, codes, [column]).withColumn(
             f"{column}_encoded", F.coalesce(f"{column}_encoded", F.lit(free.get(column, 0))).cast("int"))
+    out = out.observe("unseen", *[
+        F.count_if(F.col(f"{c}_encoded") == free.get(c, 0)).alias(f"unseen_{c}") for c in ENCODED_COLUMNS])
     kept = [c for c in (ARRIVAL_CHUNK, ARRIVAL_SEQ) if c in out.columns]
     return out.select(*kept, "block_id", "ts", "seconds", "log_level", "block_size", "row_key", *ENCODED_COLUMNS,
                       *[f"{c}_encoded" for c in ENCODED_COLUMNS])

@@ -165,3 +165,14 @@ def best_k(trade_off: DataFrame | None, default: int = 20) -> int:
     """The prefix length a report chose, or the default."""
     row = trade_off.where("is_best").select("k").first() if trade_off is not None else None
     return int(row["k"]) if row else default
+
+
+def input_counts(query) -> dict[str, int]:
+    """What a (finished) stream read: lines, unparsed lines and values the vocabulary
+    lacked, summed over its batches from the engine's own observed metrics."""
+    totals: dict[str, int] = {}
+    for progress in query.recentProgress:
+        for row in progress.observedMetrics.values():
+            for name, value in row.asDict().items():
+                totals[name] = totals.get(name, 0) + int(value or 0)
+    return totals

@@ -12,6 +12,7 @@ from loggrove.scratch import written
 from loggrove.sources.lines import read_lines, stream_lines
 from loggrove.sources.registry import parse
 from loggrove.streaming import blocks as stream_blocks
+from loggrove.streaming.jobs import input_counts
 
 
 def line(second, block, text="Receiving block {} src: /10.0.0.1:1 dest: /10.0.0.2:2", level="INFO"):
@@ -36,6 +37,7 @@ class Run:
         query = stream_blocks.block_stream(events, "hdfs", ks, timeout_seconds=timeout).writeStream.format("memory").queryName(name).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
+        self.input = input_counts(query)
         self.out = spark.table(name)
         self.open = stream_blocks.open_blocks(spark, checkpoint)
 
@@ -59,6 +61,7 @@ def test_parity_with_batch(spark, tmp_path):
     expected = prefix_features(run.batch, (2, 3, 5), run.vocab).where("total_events >= k").select(columns).collect()
     assert snapshots == {key(r) for r in expected}
     assert (run.count("accepted"), run.count("duplicates"), run.count("late")) == (13, 1, 0)
+    assert (run.input["lines_received"], run.input["lines_unparsed"], run.input["unseen_component"]) == (15, 1, 0)
 
 
 def test_snapshot_is_taken_mid_batch(spark, tmp_path):
