@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,10 +20,10 @@ REQUIRED = {
     # The Java VM never compiles a method above 8,000 bytecodes. A stage whose generated
     # method is larger (many patterns per line) runs much faster operator by operator.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The stateful operator keeps several values per key, which the default store cannot.
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "loggrove", **extra: str) -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
@@ -32,7 +34,6 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LOGGROVE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for key, value in {**REQUIRED, **extra}.items():
         builder = builder.config(key, value)
