@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loggrove.llm.links import components
 from loggrove.llm.registry import query, table
-from loggrove.llm.textcols import shingle_hashes, splitmix, word_hashes
+from loggrove.llm.textcols import shingle_hashes, slices, splitmix, word_hashes
 from loggrove.scratch import written
 
 TREES, FIRST = 32, 4
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``k1``, ``k2`` (the set's name), ``signature`` per row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, k1, k2, made = [], [], [], []
             for members in _sets(batch.column("text"), size):
                 n.append(len(members))
@@ -222,7 +222,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -
     needed = written(nodes.join(ids, "node").select("node", "doc_id", "k1", "k2"), "needed")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             k1, k2, sets = [], [], []
             for members in _sets(batch.column("text"), size):
                 a, b = _keys(members)

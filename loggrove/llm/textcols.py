@@ -37,6 +37,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: str = "text", size: int = 4 * SEGMENT):
+    """The batches in runs of rows whose texts have about ``size`` bytes together; a longer text is a run of its own."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+        start, rows = 0, batch.num_rows
+        while start < rows:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+            yield batch.slice(start, min(end, rows) - start)
+            start = min(end, rows)
+
+
 def _table(members: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(members)] = True

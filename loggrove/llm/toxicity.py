@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loggrove.llm.registry import query, table
-from loggrove.llm.textcols import LOWER, _table, cut_segments, hash_runs, splitmix, text_bytes, word_starts
+from loggrove.llm.textcols import LOWER, _table, cut_segments, hash_runs, slices, splitmix, text_bytes, word_starts
 
 TRAIN_ROWS = 20_000  # labelled documents the machine is fitted on at most
 PLACES = 1 << 20
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
         F.broadcast(chosen.withColumnRenamed("doc_id", "_label_id")), F.col("_id") == F.col("_label_id"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             places, offsets = terms(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +172,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     def run(batches):
         fitted = Machine(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores = fitted.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -188,7 +188,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     def run(batches):
         fitted = Machine(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             scores = fitted.scores(batch.column(at))
             yield batch.filter(pa.array(scores < 0.5))
 
