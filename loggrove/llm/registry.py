@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("exact", "mixing", "near", "decontam", "secrets", "urls", "toxicity")
+_MODULES = ("exact", "mixing", "near", "decontam", "repeats", "secrets", "urls", "toxicity")
 
 
 def query(sql: str | None = None):
