@@ -61,6 +61,10 @@ def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarra
     return keys & (PLACES - 1), np.searchsorted(keys >> 20, np.arange(len(offsets)))
 
 
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(index, values, n).astype(float)  # without any index the counts would be integers
+
+
 class Machine:
     """Fitted numbers: ``linear`` and ``factors`` of the ``known`` places, in their order."""
 
@@ -75,9 +79,9 @@ class Machine:
     def raw(self, places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         rows, at = np.repeat(np.arange(n), np.diff(offsets)), np.searchsorted(self.known, places)
-        out = self.bias + np.bincount(rows, self.linear[at], n)
+        out = self.bias + _sums(rows, self.linear[at], n)
         for v in self.factors.T:
-            out += 0.5 * (np.bincount(rows, v[at], n) ** 2 - np.bincount(rows, v[at] ** 2, n))
+            out += 0.5 * (_sums(rows, v[at], n) ** 2 - _sums(rows, v[at] ** 2, n))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -118,11 +122,11 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[chosen]
             distinct, inverse = np.unique(places, return_inverse=True)
             v = fitted.factors[places]
-            sums = np.stack([np.bincount(owner, v[:, f], len(chosen)) for f in range(FACTORS)], axis=1)
-            pull = np.bincount(inverse, error[owner], len(distinct)) + SHRINK * fitted.linear[distinct]
+            sums = np.stack([_sums(owner, v[:, f], len(chosen)) for f in range(FACTORS)], axis=1)
+            pull = _sums(inverse, error[owner], len(distinct)) + SHRINK * fitted.linear[distinct]
             of_linear[distinct] += pull ** 2
             fitted.linear[distinct] -= STEP * pull / np.sqrt(of_linear[distinct])
-            bend = np.stack([np.bincount(inverse, error[owner] * (sums[owner, f] - v[:, f]), len(distinct)) for f in range(FACTORS)], axis=1)
+            bend = np.stack([_sums(inverse, error[owner] * (sums[owner, f] - v[:, f]), len(distinct)) for f in range(FACTORS)], axis=1)
             bend += SHRINK * fitted.factors[distinct]
             of_factors[distinct] += bend ** 2
             fitted.factors[distinct] -= 0.1 * STEP * bend / np.sqrt(of_factors[distinct])
