@@ -59,25 +59,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         F.when(F.col("source_size") > 0, target / F.col("source_size").cast("double")).otherwise(F.lit(0.0)).alias("rate"), offset.alias("offset"))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """All rows and columns of ``docs`` but the text, with ``size`` (words), ``source_size``,
-    ``target`` and ``copies``.
+def with_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of ``sized`` (with ``doc_id``, ``source`` and ``size`` in words) and ``source_size``, ``target``, ``copies``.
 
     * A null text or one of blanks alone has size 0; it moves no sum but is emitted like the rest.
     * A null source is a source of its own, last in order, apart from the empty name.
     * Sources of size 0 have target 0 and are not taken; an empty table gives an empty result.
     * Repeated rows are separate documents. Null ids come last among equal sizes.
-    * The columns named here are replaced if ``docs`` has them.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
     order = [F.col("size"), F.col("doc_id").isNull(), F.col("doc_id")]
-    placed = ranked(sized, order, within=("source",), position="rank")
-    sums = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, seed)
+    placed = ranked(sized, order, within=("source",), position="_rank")
+    sums = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, seed)
     renamed = sums.withColumnRenamed("source", "_source")
     # One row per source; the optimizer broadcasts it if its size allows.
     joined = placed.join(renamed, placed["source"].eqNullSafe(renamed["_source"]), "left")
     upto = lambda rank: F.floor(rank.cast("double") * F.col("rate") + F.col("offset"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (upto(F.col("rank")) - upto(F.col("rank") - 1)).alias("copies"))
+    copies = upto(F.col("_rank")) - upto(F.col("_rank") - 1)
+    return joined.withColumn("copies", copies).drop("_rank", "_source", "rate", "offset")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with all columns and ``copy`` from 1 on.
+
+    See ``with_copies``. Columns of ``docs`` keep their names and values; its ``copy``, if any, is replaced.
+    """
+    packed = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken = with_copies(packed, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return taken.select("row.*", "_copy").withColumn("copy", F.col("_copy")).drop("_copy")
 
 
 SQL = r"""
@@ -99,5 +107,6 @@ SELECT doc_id, size, source_size, target, CAST(floor(n * rate + u) - floor((n -
 
 @query(SQL)
 def op4_source_mix(spark, folder):
-    mixed = copies(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = table(spark, folder, "documents")
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    return with_copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
