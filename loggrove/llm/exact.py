@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loggrove.llm.registry import query, table
 from loggrove.scratch import written
@@ -58,8 +58,8 @@ def identities(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...]
         normalised(F.col(text_column)).alias("_norm"))
     cut = staged.withColumn("_blocks", _blocks(F.col("_norm"), size))
     for attempt in range(seed, seed + 64):
-        per_block = F.transform("_blocks", lambda b, s=attempt: F.struct(
-            *[d.alias(n) for d, n in zip(digest(b, s), ("h1", "h2"))]))
+        per_block = F.transform("_blocks", lambda b: F.struct(
+            *[d.alias(n) for d, n in zip(digest(b, attempt), ("h1", "h2"))]))
         rows = written(cut.select(
             F.monotonically_increasing_id().alias("_row"), *keep, "n_points", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
             F.size("_blocks").cast("long").alias("n_blocks"), per_block.alias("_digests")), "rows")
@@ -131,8 +131,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     joined = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_kept"]) & (tagged["_sha"] == kept["_kept_sha"]))
     single = joined.where("_copies = 1").select(*docs.columns)
     # Repeated rows of one id: few, so ordering them costs little.
-    from pyspark.sql import Window
-
     order = Window.partitionBy("_kept", "_kept_sha").orderBy(F.length("text").desc(), "text")
     repeated = joined.where("_copies > 1").withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
     return single.unionByName(repeated)
