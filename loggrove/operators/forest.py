@@ -2,8 +2,8 @@
 
 Fitting: every tree gets its own small random sample of rows, drawn by hash so the
 result does not depend on partitioning; all trees of all models are then grown in
-one grouped job. Scoring: the node table, whose size is checked, is broadcast and
-rows are scored in Arrow batches.
+one grouped job. Scoring: the node table is sent to the tasks in passes of bounded
+size and rows are scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,9 @@ DEFAULT_TREES = 100
 DEFAULT_ROWS = 256
 DEFAULT_CUT = 0.5
 
-LARGEST_TREE_SAMPLE = 131_072   # rows one tree is grown from in one task
+SHARE_OF = 131_072              # a share of the rows is a share of so many at most
 ROWS_PER_PASS = 2_000_000       # sampled rows ordered by one task
-LARGEST_FOREST = 16_000_000     # nodes that are broadcast
+PASS_NODES = 4_000_000          # nodes that are sent to the tasks at a time, 36 bytes each
 
 NODE_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
@@ -41,20 +42,18 @@ NODE_SCHEMA = T.StructType([
 @dataclass(frozen=True)
 class ForestParams:
     trees: int = DEFAULT_TREES
-    rows_per_tree: int | float = DEFAULT_ROWS   # a count, or a share of the training rows
+    rows_per_tree: int | float = DEFAULT_ROWS   # a count, or a share of the training rows, of ``share_of`` rows at most
     feature_share: float = 1.0
     bootstrap: bool = False
     contamination: float | None = None          # None: the fixed cut
     features: tuple[str, ...] = TRAINING_FEATURES
     seed: int = SEED
+    share_of: int = SHARE_OF                    # a tree is grown in one task, and more rows do not make it a better one
 
     def sample_rows(self, n: int) -> int:
-        rows = min(self.rows_per_tree, n) if isinstance(self.rows_per_tree, int) else int(self.rows_per_tree * n)
-        rows = max(1, rows)
-        if rows > LARGEST_TREE_SAMPLE:
-            raise ValueError(
-                f"{rows} rows per tree do not fit one task; give rows_per_tree as a count of at most {LARGEST_TREE_SAMPLE}")
-        return rows
+        if isinstance(self.rows_per_tree, int):
+            return max(1, min(self.rows_per_tree, n))
+        return max(1, int(self.rows_per_tree * min(n, self.share_of)))
 
 
 def average_path(rows) -> np.ndarray:
@@ -258,40 +257,68 @@ def mean_paths(flat: dict[str, np.ndarray], values: np.ndarray, depth: int, batc
     return out
 
 
+def _path_scale(sample: int) -> float:
+    return float(average_path(np.array([sample]))[0]) or 1.0
+
+
 def scores_from_paths(paths: np.ndarray, sample: int) -> np.ndarray:
-    scale = float(average_path(np.array([sample]))[0]) or 1.0
-    return np.power(2.0, -paths / scale)
+    return np.power(2.0, -paths / _path_scale(sample))
 
 
 def _depth(sample: int) -> int:
     return math.ceil(math.log2(max(sample, 2)))
 
 
-def score(frame: DataFrame, forest: Forest, model_col: str | None = None, name: str = "score") -> DataFrame:
-    """Add the raw score in (0, 1]; higher is more anomalous."""
-    if forest.nodes.count() > LARGEST_FOREST:
-        raise ValueError("the forest is too large to broadcast; grow it from fewer rows per tree")
-    table = forest.nodes.toPandas()
-    models = {m: (pack(part), forest.samples[m], forest.params[m].features) for m, part in table.groupby("model")}
-    shared = frame.sparkSession.sparkContext.broadcast(models)
+def _tree_passes(forest: Forest, most: int) -> list[tuple[int, int]]:
+    """Ranges of tree numbers, each of at most about ``most`` nodes over all models."""
+    per_tree = sum(2 * rows for rows in forest.samples.values())  # a tree has under twice as many nodes as rows
+    trees, step = max(p.trees for p in forest.params.values()), max(1, most // max(per_tree, 1))
+    return [(at, min(at + step, trees)) for at in range(0, trees, step)]
+
+
+def score(frame: DataFrame, forest: Forest, model_col: str | None = None, name: str = "score", pass_nodes: int = PASS_NODES) -> DataFrame:
+    """Add the raw score in (0, 1]; higher is more anomalous.
+
+    The nodes are sent to the tasks in passes of at most ``pass_nodes``; each pass adds the path
+    lengths of its trees.
+    """
     names = sorted({c for p in forest.params.values() for c in p.features})
     only = next(iter(forest.params))
+    model = F.col(model_col).cast("string") if model_col else F.lit(only)
+    values = [F.col(c).cast("double") for c in names]
+    passes = _tree_passes(forest, pass_nodes)
+    out = frame
+    for number, (first, end) in enumerate(passes):
+        out = out.withColumn(f"_paths_{number}", _path_sums(frame.sparkSession, forest, names, first, end)(model, *values))
+    total = reduce(Column.__add__, [F.col(f"_paths_{n}") for n in range(len(passes))])
+    known = F.create_map(*[x for m, p in forest.params.items() for x in (F.lit(m), F.struct(
+        F.lit(float(p.trees)).alias("trees"), F.lit(_path_scale(forest.samples[m])).alias("scale")))])
+    of = F.try_element_at(known, model)
+    return out.withColumn(name, F.pow(F.lit(2.0), -(total / of["trees"]) / of["scale"])).drop(*[f"_paths_{n}" for n in range(len(passes))])
+
+
+def _path_sums(spark: SparkSession, forest: Forest, names: list[str], first: int, end: int):
+    """A function of (model, values): summed path lengths in the trees from ``first`` to before ``end``."""
+    table = forest.nodes.where((F.col("tree") >= first) & (F.col("tree") < end)).toPandas()
+    models = {m: (pack(part), forest.samples[m], forest.params[m].features) for m, part in table.groupby("model")}
+    shared = spark.sparkContext.broadcast(models)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         fitted = shared.value
         for model, *columns in batches:
             values = np.column_stack([np.asarray(c, dtype=float) for c in columns]) if len(model) else np.empty((0, len(names)))
-            out, keys = np.full(len(values), np.nan), model.to_numpy()
+            out, keys = np.zeros(len(values)), model.to_numpy()
             for chosen in pd.unique(keys):
-                flat, sample, features = fitted[chosen]
                 mask = keys == chosen
+                if chosen not in fitted:  # none of its trees is in this pass
+                    continue
+                flat, sample, features = fitted[chosen]
                 own = values[mask][:, [names.index(c) for c in features]]
-                out[mask] = scores_from_paths(mean_paths(flat, own, _depth(sample)), sample)
+                out[mask] = mean_paths(flat, own, _depth(sample)) * len(flat["roots"])
             yield pd.Series(out)
 
-    model = F.col(model_col).cast("string") if model_col else F.lit(only)
-    return frame.withColumn(name, run(model, *[F.col(c).cast("double") for c in names]))
+    return run
 
 
 def with_cuts(forest: Forest, scored_train: DataFrame, model_col: str | None = None, score_col: str = "score") -> Forest:

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, types as T
 
-# --- common log schema, in order ------------------------------------------
-STRUCTURED_COLUMNS = (
-    "date", "time", "pid", "log_level", "component", "event_type",
-    "block_id", "source_ip", "destination_ip", "block_size", "raw_message",
-)
+# --- fixed values: the common log schema, in order ---------------------------
 STRUCTURED_SCHEMA = T.StructType([
     T.StructField("date", T.StringType()),
     T.StructField("time", T.StringType()),
@@ -22,6 +18,7 @@ STRUCTURED_SCHEMA = T.StructType([
     T.StructField("block_size", T.LongType()),
     T.StructField("raw_message", T.StringType()),
 ])
+STRUCTURED_COLUMNS = tuple(STRUCTURED_SCHEMA.names)
 
 # Arrival order is always two explicit columns. A chunk is a slice of the input
 # that sorts before the next slice and holds a bounded number of rows, so an
@@ -30,7 +27,7 @@ STRUCTURED_SCHEMA = T.StructType([
 ARRIVAL_CHUNK, ARRIVAL_SEQ = "arrival_chunk", "arrival_seq"
 DEFAULT_CHUNK_ROWS = 1_000_000
 
-# --- encoded categories and features --------------------------------------
+# --- fixed values: encoded categories and features -----------------------------
 ENCODED_COLUMNS = ("component", "event_type", "source_ip", "destination_ip")
 UNKNOWN = "UNKNOWN"
 FEATURE_COLUMNS = (

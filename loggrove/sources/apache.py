@@ -23,7 +23,7 @@ def window_start(moment: Column, window_seconds: int) -> Column:
 
 def window_block_id(moment: Column, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> Column:
     if window_seconds <= 0:
-        raise ValueError("window_seconds must be positive")
+        raise ValueError(f"a window lasts at least one second, not {window_seconds}")
     return F.concat(F.lit("win-"), F.date_format(window_start(moment, window_seconds), "yyyyMMdd'T'HHmmss"))
 
 

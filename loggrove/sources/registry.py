@@ -29,15 +29,15 @@ class Source:
 
 
 SOURCES: dict[str, Source] = {s.name: s for s in (
-    Source("hdfs", "HDFS", hdfs.stages, hdfs.columns, "first blk_ id in the message", "ground truth",
+    Source("hdfs", "HDFS", hdfs.stages, hdfs.columns, "HDFS block named first", "published labels",
            protocol="in_sample", idle_timeout_seconds=43_663),
-    Source("openstack", "OpenStack (nova)", openstack.stages, openstack.columns, "VM instance session", "by source file (session-level)",
+    Source("openstack", "OpenStack (nova)", openstack.stages, openstack.columns, "life of one instance", "label of the delivered file",
            idle_timeout_seconds=3_600),
-    Source("apache", "Apache error log", apache.stages, apache.columns, "fixed 60-second time window", "INJECTED",
+    Source("apache", "Apache error log", apache.stages, apache.columns, "minute of the clock", "injected faults",
            dedupe=False, idle_timeout_seconds=120),
-    Source("cloudtrail", "Audit trail", cloudtrail.stages, cloudtrail.columns, "identity and hour", "WEAK rule-based",
+    Source("cloudtrail", "Audit trail", cloudtrail.stages, cloudtrail.columns, "hour of one identity", "weak rules",
            idle_timeout_seconds=3_600, payload="record"),
-    Source("django", "Django", django.stages, django.columns, "one user", "SYNTHETIC", idle_timeout_seconds=None),
+    Source("django", "Django", django.stages, django.columns, "all lines of a user", "synthetic", idle_timeout_seconds=None),
 )}
 
 

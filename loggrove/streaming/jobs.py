@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from loggrove.functions.stats import ratio
 from loggrove.operators import forest as forests
@@ -52,9 +54,10 @@ def early_alerts(rows: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
 def decisions(rows: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
     """Verdict, importance, tier and kept lines of every finished block."""
     finals = rows.where(F.col("kind") == "final")
-    judged = forests.predict(finals, scorer.deployed).withColumnsRenamed({"anomaly_score": "verdict_score"})
-    stored = forests.predict(judged.drop("predicted_label"), scorer.storage).select("block_id", "anomaly_score")
-    base = judged.join(stored, "block_id").withColumn("true_label", F.lit(None).cast("string"))
+    # Both models score the same rows: one pass, no join.
+    judged = forests.predict(finals, scorer.deployed).withColumnsRenamed({"anomaly_score": "verdict_score", "predicted_label": "verdict"})
+    base = forests.predict(judged, scorer.storage).drop("predicted_label").withColumnsRenamed({"verdict": "predicted_label"}).withColumn(
+        "true_label", F.lit(None).cast("string"))
     table = block_table(base, scorer.normalizer, ("predicted_label", "verdict_score", "reason", "event_frequency",
                                                   "first_seconds", "last_seconds", "event_seconds"))
     return decide(table, scorer.policy).select(
@@ -73,17 +76,34 @@ def block_alerts(decided: DataFrame, run_id: str) -> DataFrame:
         F.col("reason").alias("finalize_reason"))
 
 
+def _folder(out: str, name: str, run_id: str) -> str:
+    return f"{out}/{name}/run={run_id}"
+
+
+def earlier_alerts(spark: SparkSession, out: str, run_id: str, epoch: int) -> DataFrame:
+    """Ids that the run's earlier batches have written."""
+    try:
+        written = spark.read.parquet(_folder(out, "alerts", run_id))
+    except AnalysisException:  # nothing has been written yet
+        return spark.createDataFrame([], "alert_id string")
+    return written.where(F.col("epoch") < epoch).select("alert_id")
+
+
 def write_outputs(rows: DataFrame, scorer: Scorer, run_id: str, out: str, epoch: int) -> None:
-    """Write one batch's alerts, decisions and counts. Every batch owns its folder, so a
-    repeated batch replaces what it wrote before."""
+    """Write one batch's alerts, decisions and counts. Every batch of every run owns its folder,
+    so a repeated batch replaces what it wrote before and runs never touch each other's rows.
+    A block's early warning is written once: later batches leave out what earlier ones have told."""
+    spark = rows.sparkSession
     rows = rows.persist()
     try:
         decided = decisions(rows, scorer, run_id).persist()
-        alerts = early_alerts(rows, scorer, run_id).unionByName(block_alerts(decided, run_id))
+        early = early_alerts(rows, scorer, run_id).join(earlier_alerts(spark, out, run_id, epoch), "alert_id", "left_anti")
+        alerts = early.unionByName(block_alerts(decided, run_id))
         counted = rows.where(F.col("kind") == "counts").agg(
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("accepted", "duplicates", "late")], F.current_timestamp().alias("at"))
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("accepted", "duplicates", "late")], F.current_timestamp().alias("at")).withColumn(
+            "run_id", F.lit(run_id))
         for name, frame in (("alerts", alerts), ("decisions", decided), ("counts", counted)):
-            frame.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
+            frame.write.mode("overwrite").parquet(f"{_folder(out, name, run_id)}/epoch={epoch}")
         decided.unpersist()
     finally:
         rows.unpersist()
@@ -104,14 +124,10 @@ def flush(spark: SparkSession, scorer: Scorer, run_id: str, out: str, checkpoint
     write_outputs(open_blocks(spark, checkpoint), scorer, run_id, out, FLUSH_EPOCH)
 
 
-def read_outputs(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The written tables. An alert id counts once: the earliest k wins."""
-    tables = {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
-    alerts = tables["alerts"].drop("epoch")
-    order = F.struct(F.coalesce("k", F.lit(0)), "event_time")
-    tables["alerts"] = alerts.groupBy("alert_id").agg(F.min_by(F.struct(*[c for c in alerts.columns if c != "alert_id"]), order).alias("_a")).select(
-        "alert_id", "_a.*")
-    return tables
+def read_outputs(spark: SparkSession, out: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """The written tables of one run or of all."""
+    tables = {name: spark.read.parquet(f"{out}/{name}").drop("epoch", "run") for name in TABLES}
+    return {name: frame.where(F.col("run_id") == run_id) if run_id else frame for name, frame in tables.items()}
 
 
 def with_leads(decided: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -140,8 +156,7 @@ def run_status(alerts: DataFrame, decided: DataFrame, counts: DataFrame | None =
         "early_warning_alerts": F.coalesce("early_warning_alerts", F.lit(0)), "block_anomaly_alerts": F.coalesce("block_anomaly_alerts", F.lit(0)),
         "storage_saved_pct": 100.0 * (1 - ratio(F.col("lines_kept"), F.col("lines_seen"), 1.0))})
     if counts is not None:
-        for name in ("accepted", "duplicates", "late"):
-            out = out.withColumn(name, counts.agg(F.sum(name)).scalar())
+        out = out.join(counts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("accepted", "duplicates", "late")]), "run_id", "left")
     return out
 
 
@@ -167,12 +182,37 @@ def best_k(trade_off: DataFrame | None, default: int = 20) -> int:
     return int(row["k"]) if row else default
 
 
-def input_counts(query) -> dict[str, int]:
-    """What a (finished) stream read: lines, unparsed lines and values the vocabulary
-    lacked, summed over its batches from the engine's own observed metrics."""
-    totals: dict[str, int] = {}
-    for progress in query.recentProgress:
-        for row in progress.observedMetrics.values():
+class InputCounts(StreamingQueryListener):
+    """What streams read: lines, unparsed lines and values the vocabulary lacked, from the engine's
+    observed metrics of every batch. Register it with ``spark.streams.addListener`` before the
+    start; a query's own progress list forgets all but its newest batches."""
+
+    def __init__(self) -> None:
+        self._batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found: dict[str, int] = {}
+        for row in event.progress.observedMetrics.values():
             for name, value in row.asDict().items():
-                totals[name] = totals.get(name, 0) + int(value or 0)
-    return totals
+                found[name] = found.get(name, 0) + int(value or 0)
+        # A batch that is run again replaces its counts; one without input reports none.
+        if found:
+            self._batches[str(event.progress.id), event.progress.batchId] = found
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def totals(self, query) -> dict[str, int]:
+        """Sums over all batches of one query."""
+        out: dict[str, int] = {}
+        for (of, _), found in self._batches.items():
+            if of == str(query.id):
+                for name, value in found.items():
+                    out[name] = out.get(name, 0) + value
+        return out

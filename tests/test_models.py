@@ -65,8 +65,6 @@ def test_every_tree_gets_its_rows(spark, blocks):
     model = forests.fit(blocks, ForestParams(trees=7, rows_per_tree=0.3))
     leaves = model.nodes.where("feature < 0").groupBy("tree").agg(F.sum("rows").alias("n")).collect()
     assert sorted(r["tree"] for r in leaves) == list(range(7)) and {r["n"] for r in leaves} == {120}
-    with pytest.raises(ValueError, match="rows per tree"):
-        ForestParams(rows_per_tree=0.9).sample_rows(10**9)
 
 
 def test_bootstrap_repeats_rows():
@@ -173,3 +171,19 @@ def test_retrain_applies_feedback_and_appends_history(spark, blocks):
     assert done["applied"] == 3 and done["incumbent_f1"] != 0.1 and done["history"].count() == 1
     row = done["history"].first()
     assert row["promoted"] == (done["candidate_f1"] > done["incumbent_f1"])
+
+
+def test_a_share_of_many_rows_is_a_share_of_a_bounded_sample():
+    params = ForestParams(rows_per_tree=0.5, share_of=1000)
+    assert params.sample_rows(100) == 50 and params.sample_rows(10**9) == 500
+    assert ForestParams(rows_per_tree=1.0).sample_rows(10**9) == forests.SHARE_OF
+
+
+def test_scores_do_not_depend_on_the_number_of_passes(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("block_id"), *[
+        (F.xxhash64("id", F.lit(c)) % 50).cast("double").alias(c) for c in ("a", "b")])
+    forest = forests.fit(rows, ForestParams(trees=7, rows_per_tree=0.2, share_of=100, features=("a", "b")))
+    once, often = (forests.score(rows, forest, pass_nodes=n) for n in (10**6, 90))
+    assert len(forests._tree_passes(forest, 90)) > 2
+    pairs = once.join(often.select("block_id", F.col("score").alias("again")), "block_id")
+    assert pairs.where(F.abs(F.col("score") - F.col("again")) > 1e-12).isEmpty() and pairs.count() == 300

@@ -12,7 +12,7 @@ from loggrove.scratch import written
 from loggrove.sources.lines import read_lines, stream_lines
 from loggrove.sources.registry import parse
 from loggrove.streaming import blocks as stream_blocks
-from loggrove.streaming.jobs import input_counts
+from loggrove.streaming import jobs
 
 
 def line(second, block, text="Receiving block {} src: /10.0.0.1:1 dest: /10.0.0.2:2", level="INFO"):
@@ -34,10 +34,14 @@ class Run:
         self.vocab = written(append_codes(self.batch.select(*[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS])), "vocab")
         events = stream_blocks.encoded_events(stream_lines(spark, source, 1), "hdfs", self.vocab)
         name = "run_" + folder.name.replace("-", "_")
+        listener = jobs.InputCounts()
+        spark.streams.addListener(listener)
         query = stream_blocks.block_stream(events, "hdfs", ks, timeout_seconds=timeout).writeStream.format("memory").queryName(name).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-        self.input = input_counts(query)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # the last batch's progress comes after the end
+        spark.streams.removeListener(listener)
+        self.input = listener.totals(query)
         self.out = spark.table(name)
         self.open = stream_blocks.open_blocks(spark, checkpoint)
 
@@ -105,3 +109,64 @@ def test_unseen_values_get_the_next_code(spark, text, code):
     frame = spark.createDataFrame([(0, line(0, "blk_1", text))], "arrival_seq long, value string")
     row = stream_blocks.encoded_events(frame, "hdfs", vocab).first()
     assert row["event_type_encoded"] == code and row["component_encoded"] == 0 and row["source_ip_encoded"] == 0
+
+
+SNAPSHOT = {"kind": "snapshot", "n_events": 3, "elapsed_seconds": 1, "distinct_event_types": 1, "distinct_components": 1, "warn_count": 0,
+            "error_count": 0, "block_size_max": 0.0, "first_component_encoded": 0, "first_event_type_encoded": 0,
+            "dominant_component_encoded": 0, "dominant_event_type_encoded": 0, "event_seconds": 100}
+FINAL = {"kind": "final", "hour_of_day": 1, "is_error": 0, "component_encoded": 0, "event_type_encoded": 0, "block_size": 1.0, "event_frequency": 4,
+         "source_ip_encoded": 0, "destination_ip_encoded": 0, "first_seconds": 1, "last_seconds": 9, "event_seconds": 9, "reason": "timeout"}
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    from loggrove.operators import forest as forests
+    from loggrove.operators.forest import ForestParams
+    from loggrove.operators.prefix import model_columns
+    from loggrove.operators.retention import Normalizer, Policy
+
+    rows = spark.range(200).select(F.col("id").cast("string").alias("block_id"), *[
+        (F.xxhash64("id", F.lit(c)) % 50).cast("double").alias(c) for c in (*FEATURE_COLUMNS, *model_columns(["a"]))])
+    early = {k: ForestParams(trees=5, features=tuple(PREFIX_FIXED_COLUMNS)) for k in ("3", "5")}
+    both = rows.withColumn("k", F.explode(F.array(F.lit("3"), F.lit("5"))))
+    deployed = forests.train(rows, ForestParams(trees=5, contamination=0.1))
+    return jobs.Scorer(deployed, forests.train(both, early, "k"), {3: 0.0, 5: 0.0}, ["a"], deployed, Policy(0.6, 0.3, 0.1, 0.5, 0.25, 0.2),
+                       Normalizer(0.0, 1.0, 0.0, 3.0, [0.0, 1.0]))
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame([{**dict.fromkeys(stream_blocks.OUTPUT_SCHEMA.names), **r} for r in rows], stream_blocks.OUTPUT_SCHEMA)
+
+
+def test_runs_keep_apart_and_a_block_is_warned_of_once(spark, tmp_path, models):
+    out = str(tmp_path / "out")
+    three, five = ({**SNAPSHOT, "block_id": "b", "k": k} for k in (3, 5))
+    counts = {"kind": "counts", "block_id": "b", "accepted": 3, "duplicates": 1, "late": 0}
+    jobs.write_outputs(batch(spark, three, counts), models, "one", out, 0)
+    jobs.write_outputs(batch(spark, five, counts), models, "one", out, 1)
+    jobs.write_outputs(batch(spark, five, counts), models, "one", out, 1)  # a repeated batch
+    jobs.write_outputs(batch(spark, three, {**FINAL, "block_id": "b"}, {**counts, "accepted": 9}), models, "two", out, 0)
+    tables = jobs.read_outputs(spark, out)
+    early = tables["alerts"].where("type = 'early_warning'").select("run_id", "block_id", "k").collect()
+    assert sorted(tuple(r) for r in early) == [("one", "b", 3), ("two", "b", 3)]
+    assert tables["decisions"].select("run_id", "block_id").collect() == [("two", "b")]
+    totals = {r["run_id"]: r["accepted"] for r in tables["counts"].groupBy("run_id").agg(F.sum("accepted").alias("accepted")).collect()}
+    assert totals == {"one": 6, "two": 9}
+    status = jobs.run_status(tables["alerts"], tables["decisions"], tables["counts"]).collect()
+    assert [(r["run_id"], r["accepted"]) for r in status] == [("two", 9)]
+    assert jobs.read_outputs(spark, out, "one")["decisions"].count() == 0
+
+
+def test_input_counts_outlast_the_progress_list(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(110):
+        (source / f"{i}.txt").write_text(f"line {i}\n")
+    listener = jobs.InputCounts()
+    spark.streams.addListener(listener)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source)).observe("input", F.count(F.lit(1)).alias("lines_received"))
+    query = lines.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(listener)
+    assert listener.totals(query) == {"lines_received": 110}
