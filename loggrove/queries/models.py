@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loggrove.operators import forest as forests, metrics, sampling, search
 from loggrove.operators.blocks import block_features
 from loggrove.operators.clean import known
-from loggrove.operators.forest import ForestParams
+from loggrove.operators.forest import DEFAULT_ROWS, DEFAULT_TREES, ForestParams
 from loggrove.operators.prefix import prefix_features
 from loggrove.operators.reconstruction import fit_reconstruction
 from loggrove.operators.retention import Normalizer, block_table, evaluate_policy
@@ -47,6 +47,13 @@ def forest_nodes_per_tree(spark, folder):
     return model.nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("feature") < 0, F.col("rows"))).alias("rows"))
 
 
+@query(f"""SELECT CAST(t AS INTEGER) AS tree, least({DEFAULT_ROWS}, (SELECT count(DISTINCT l_orderkey) FROM lineitem)) AS rows
+  FROM range({DEFAULT_TREES}) AS r(t)""")
+def forest_rows_per_tree(spark, folder):
+    """Every tree is there, and its leaves share out the rows it was grown from."""
+    return forest_nodes_per_tree(spark, folder).select("tree", "rows")
+
+
 @query()
 def forest_predictions(spark, folder):
     rows = labeled_orders(spark, folder)

@@ -103,14 +103,29 @@ def syslog_envelopes(spark, folder):
     return rows.select(F.col("arrival_seq").alias("event_id"), syslog_message(line).alias("message"))
 
 
-@query()
+def template_sql(text: str) -> str:
+    """The template of a text. The look-behind of the path pattern is a captured blank here, and the
+    look-ahead after a number's end can never fail, so it is left out."""
+    out = f"coalesce({text}, '')"
+    for pattern, placeholder in (
+        (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
+        (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "<ip>"),
+        (r"(^|\s)(?:[a-zA-Z]+://)?[\w.\p{L}\p{N}-]*(?:/[^\s\"'',;)\]]*)+", r"\1<path>"),
+        (r"\b(?:0x)?[0-9a-fA-F]*\d[0-9a-fA-F]*\b", "<n>"),
+        (r"\s+", " "),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{placeholder}', 'g')"
+    return f"coalesce(nullif(substr(trim({out}), 1, 120), ''), '<empty>')"
+
+
+@query(f"SELECT {template_sql('url')} AS template, count(*) AS pages FROM pages GROUP BY 1")
 def url_templates(spark, folder):
     """How many pages share an address template."""
     pages = read_table(spark, folder, "pages")
     return pages.groupBy(normalize_template(F.col("url")).alias("template")).agg(F.count("*").alias("pages"))
 
 
-@query()
+@query(f"SELECT role, {template_sql('text')} AS template, count(*) AS turns FROM conversations GROUP BY 1, 2")
 def message_templates(spark, folder):
     """Templates of the whole message text of every conversation turn."""
     turns = read_table(spark, folder, "conversations")
@@ -136,17 +151,17 @@ def sources_united(spark, folder):
     return per_type.groupBy("source").agg(F.sum("n").alias("lines"), F.sum("b").alias("with_block"), F.count("*").alias("event_types"))
 
 
-@query()
+@query("SELECT count(*) AS lines, CAST(0 AS BIGINT) AS inversions FROM events")
 def lines_in_file_order(spark, folder):
-    """Arrival order survives a write and a scan: inversions of the event number, per file."""
+    """Arrival order survives a write and a scan: inversions of the event number inside the files."""
     path = scratch_path(spark, "ordered")
     rendered.events(spark, folder).orderBy("arrival_seq").select(F.col("arrival_seq").cast("string").alias("value")).write.text(path)
     from pyspark.sql import Window
 
     order = Window.partitionBy("arrival_chunk").orderBy("arrival_seq")
     rows = read_lines(spark, path).withColumn("number", F.col("value").cast("long"))
-    return rows.withColumn("before", F.lag("number").over(order)).groupBy("arrival_chunk").agg(
-        F.count("*").alias("lines"), F.count_if(F.col("before") > F.col("number")).alias("inversions")).select("lines", "inversions")
+    return rows.withColumn("before", F.lag("number").over(order)).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("before") > F.col("number")).alias("inversions"))
 
 
 @query("""SELECT source, event_type, count(*) AS lines FROM (SELECT 'hdfs' AS source, event_type FROM (""" + rendered.HDFS_SQL + """)
