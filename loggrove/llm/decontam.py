@@ -35,15 +35,16 @@ _DIGIT = _table(b"0123456789")
 _WORD = _table(bytes(range(128, 256)) + b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'")
 _UPPER = _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _POINT = _table(b".,")
+_STOP = _table(b".!?;:\n")
 _UNCUT = _WORD | _POINT
 PLAIN, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _HOLDERS = splitmix(np.arange(4, dtype=np.uint64) + np.uint64(77))
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words and numbers, their kinds, and each row's offset in them."""
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of lower-cased words and numbers, their kinds, whether a stop stands before, and each row's offset in them."""
     data, offsets = text_bytes(column)
-    hashes, kinds, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int64)]
+    hashes, kinds, stopped, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
     for start, end in cut_segments(data, offsets, _UNCUT):
         piece = data[start:end]
         edges = offsets[np.searchsorted(offsets, start):np.searchsorted(offsets, end)] - start
@@ -68,10 +69,12 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         wide = np.append(latin[1:], False)[starts]
         second = np.minimum(starts + 1 + wide, len(piece) - 1)
         capital = (_UPPER[piece[starts]] | wide) & (lengths > 1 + wide) & ~_UPPER[piece[second]] & ~np.append(latin[1:], False)[second]
+        stops = np.cumsum(_STOP[piece] & ~inner)[starts]
+        stopped.append(np.concatenate([[True], stops[1:] != stops[:-1]]))
         hashes.append(hash_runs(lowered, word, starts))
         kinds.append(np.where(digit[starts], NUMBER, np.where(capital, NAME, PLAIN)).astype(np.int8))
         places.append(starts + start)
-    return np.concatenate(hashes), np.concatenate(kinds), np.searchsorted(np.concatenate(places), offsets)
+    return np.concatenate(hashes), np.concatenate(kinds), np.concatenate(stopped), np.searchsorted(np.concatenate(places), offsets)
 
 
 _UNIT_HASHES = np.sort(_tokens(pa.array([UNITS]))[0])
@@ -79,17 +82,16 @@ _UNIT_HASHES = np.sort(_tokens(pa.array([UNITS]))[0])
 
 def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template words, the words that stand there, their kinds, and each row's offset."""
-    values, kinds, offsets = _tokens(column)
+    values, kinds, stopped, offsets = _tokens(column)
     first = np.zeros(len(values) + 1, bool)
     first[offsets] = True
     first = first[:-1]
     before = np.concatenate([[PLAIN], kinds[:-1]]) if len(kinds) else kinds
     after_number = (before == NUMBER) & ~first & (kinds == PLAIN)
     kinds[after_number & np.isin(values, _UNIT_HASHES)] = UNIT
-    kept = ~((kinds == NAME) & (before == NAME) & ~first)
-    at = np.flatnonzero(kept)
-    if len(at):
-        values = np.add.reduceat(splitmix(values), at)
+    kept = ~((kinds == NAME) & (before == NAME) & ~first & ~stopped)
+    # Of a run of capitalised words the last one names it; the first may only begin a sentence.
+    values = values[np.append(np.flatnonzero(kept)[1:] - 1, len(values) - 1)] if len(values) else values
     offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
     kinds = kinds[kept]
     return np.where(kinds == PLAIN, values, _HOLDERS[kinds]), values, kinds, offsets
@@ -137,7 +139,8 @@ class Block:
         return window, self.item[found], self.at[found]
 
     def agreement(self, item: int, pairs: list[tuple[int, int]], values: np.ndarray, begin: int) -> tuple[int, float]:
-        """How many slots of the item were met, and the share of them that a one-to-one renaming explains."""
+        """How many slots of the item were met; and of those whose number or name repeats in the item, or whose name
+        stands for several of the item's, the share that a one-to-one renaming explains (1 without such slots)."""
         own = int(self.offsets[item])
         end = int(self.offsets[item + 1]) - own
         met = {(q, p) for q0, p0 in pairs for q, p in zip(range(q0, min(q0 + WINDOW, end)), range(p0, p0 + WINDOW)) if self.kinds[own + q] != PLAIN}
@@ -145,14 +148,22 @@ class Block:
         for q, p in met:
             key = (int(self.kinds[own + q]), int(self.values[own + q]), int(values[begin + p]))
             votes[key] = votes.get(key, 0) + 1
-        taken_item, taken_here, agreed = set(), set(), 0
+        here_for: dict[tuple, set] = {}
+        times: dict[tuple, int] = {}
+        for (kind, value, here), n in votes.items():
+            times[kind, value] = times.get((kind, value), 0) + n
+            here_for.setdefault((kind, here), set()).add(value)
+        asked = agreed = 0
+        taken_item, taken_here = set(), set()
         for (kind, value, here), n in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-            # Two different units or numbers may become equal; two names that become one are another text.
-            if (kind, value) not in taken_item and not (kind == NAME and here in taken_here):
+            # Two numbers may become equal; two names that become one are another text.
+            fits = (kind, value) not in taken_item and not (kind == NAME and here in taken_here)
+            if fits:
                 taken_item.add((kind, value))
                 taken_here |= {here} if kind == NAME else set()
-                agreed += n
-        return len(met), agreed / len(met) if met else 1.0
+            if kind != UNIT and times[kind, value] > 1 or kind == NAME and len(here_for[kind, here]) > 1:
+                asked, agreed = asked + n, agreed + n * fits
+        return len(met), agreed / asked if asked else 1.0
 
 
 def _found(block: Block, column: pa.Array) -> list[tuple]:
