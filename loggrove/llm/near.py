@@ -19,6 +19,7 @@ Documents of equal sets are one node, found before anything is paired.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +27,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from loggrove.llm.links import components
 from loggrove.llm.registry import query, table
-from loggrove.llm.textcols import shingle_hashes, slices, splitmix, word_hashes
+from loggrove.llm.textcols import shingle_hashes, slices, splitmix, text_bytes, word_hashes
 from loggrove.scratch import written
 
 TREES, FIRST = 32, 4
 HASHES = TREES * FIRST
 DEPTHS = (4, 8, 16, 32)
 REGION = 128
-# Of 64 signature bits, two sets of similarity 0.8 share 57.6 on average and under 42 with a chance of 2e-8.
-LEAST_BITS = 42
+# Of 64 signature bits, two sets of similarity 0.8 differ in 6.4 on average and in over 22 with a chance of 2e-8.
+# Of the low bytes of 256 further minima they differ in 51 on average and in over 90 with a chance of 4e-9.
+MOST_COARSE, MOST_FINE, FINE = 22, 90, 256
 SIMILARITY = 80
 
 _RANDOM = np.random.default_rng(20240611)
-_FACTORS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
+# The first HASHES functions make signatures, the others fine sketches.
+_FACTORS = _RANDOM.integers(0, 2**63, HASHES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RANDOM.integers(0, 2**63, HASHES + FINE, dtype=np.uint64)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,13 +57,15 @@ def _keys(members: np.ndarray) -> tuple[np.int64, np.int64]:
     return (splitmix(members).sum(dtype=np.uint64).view(np.int64), splitmix(members ^ _SECOND).sum(dtype=np.uint64).view(np.int64))
 
 
-def _signature(members: np.ndarray) -> bytes:
-    lowest = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def _minima(members: np.ndarray, of: slice) -> np.ndarray:
+    """The top 16 bits of the minimum of each of some hash functions."""
+    factors, terms = _FACTORS[of], _TERMS[of]
+    lowest = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(members), 2048):
-        hashed = np.multiply.outer(_FACTORS, members[at:at + 2048])
-        hashed += _TERMS[:, None]
+        hashed = np.multiply.outer(factors, members[at:at + 2048])
+        hashed += terms[:, None]
         np.minimum(lowest, hashed.min(axis=1), out=lowest)
-    return (lowest >> np.uint64(48)).astype("<u2").tobytes()
+    return (lowest >> np.uint64(48)).astype("<u2")
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -74,7 +79,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 a, b = _keys(members)
                 k1.append(a)
                 k2.append(b)
-                made.append(_signature(members) if len(members) else None)
+                made.append(_minima(members, slice(HASHES)).tobytes() if len(members) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(k1, np.int64)), pa.array(np.array(k2, np.int64)),
                  pa.array(made, pa.binary())], ["doc_id", "n", "k1", "k2", "signature"])
@@ -83,70 +88,95 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         run, "doc_id long, n long, k1 long, k2 long, signature binary")
 
 
-def _orders(nodes: DataFrame, depth: int, deeper: int | None = None) -> DataFrame:
-    """Each node once per tree: ``key`` names its first ``depth`` values there, ``next`` its first ``deeper``."""
+def _distance(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many bits or bytes sketches (their last axis) differ, and the most that a link may."""
+    if x.shape[-1] == FINE:
+        return (x != y).sum(axis=-1, dtype=np.int16), MOST_FINE
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16), MOST_COARSE
 
-    def named(values: np.ndarray, depth: int) -> np.ndarray:
-        trees = np.arange(TREES, dtype=np.uint64)
-        key = splitmix(values + trees)
-        for further in range(1, depth // FIRST):
-            key = splitmix(key * np.uint64(31) + np.roll(values, -further, axis=1))
-        return key.view(np.int64)
+
+def _keys_at(values: np.ndarray, rows: np.ndarray, trees: np.ndarray, depth: int) -> np.ndarray:
+    """Names of the first ``depth`` values of some rows' signatures in some trees' orders."""
+    key = splitmix(values[rows, trees] + trees.astype(np.uint64))
+    for further in range(1, depth // FIRST):
+        key = splitmix(key * np.uint64(31) + values[rows, (trees + further) % TREES])
+    return key.view(np.int64)
+
+
+def _tree_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures as minima, and as one 64-bit value of four minima per tree."""
+    raw = text_bytes(batch.column("signature"))[0].view("<u2").reshape(batch.num_rows, HASHES)
+    return raw, np.ascontiguousarray(raw).view("<u8")
+
+
+def _orders(nodes: DataFrame) -> DataFrame:
+    """Each node once per tree: ``key`` names its first values there."""
 
     def run(batches):
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(m, HASHES)
-            values = np.ascontiguousarray(raw).view("<u8")
-            sketch = np.packbits((raw[:, ::2] & 1).astype(np.uint8), axis=1).view("<i8").reshape(m)
-            columns = [pa.array(named(values, depth).reshape(-1)), pa.array(np.repeat(batch.column("node").to_numpy(), TREES)),
-                       pa.array(np.repeat(batch.column("n").to_numpy(), TREES)), pa.array(np.repeat(sketch, TREES)),
-                       pa.array(np.repeat(batch.column("comp").to_numpy(), TREES))]
-            names = ["key", "node", "n", "sketch", "comp"]
-            if deeper:
-                columns.append(pa.array(named(values, deeper).reshape(-1)))
-                names.append("next")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "key long, node long, n long, sketch long, comp long" + (", next long" if deeper else "")
-    return nodes.select("node", "n", "signature", "comp").mapInArrow(run, schema)
+            raw, values = _tree_values(batch)
+            rows, trees = np.repeat(np.arange(m), TREES), np.tile(np.arange(TREES), m)
+            sketch = np.repeat(np.packbits((raw[:, ::2] & 1).astype(np.uint8), axis=1), TREES, axis=0)
+            sketches = pa.Array.from_buffers(pa.binary(), len(sketch), [
+                None, pa.py_buffer((np.arange(len(sketch) + 1) * sketch.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())])
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_keys_at(values, rows, trees, DEPTHS[0])), pa.array(trees.astype(np.int32)), batch.column("node").take(taken),
+                 batch.column("n").take(taken), sketches, batch.column("comp").take(taken)], ["key", "tree", "node", "n", "sketch", "comp"])
+
+    return nodes.select("node", "n", "signature", "comp").mapInArrow(run, ROW)
+
+
+def _deepened(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with keys of ``depth`` values in their trees."""
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if m:
+                _, values = _tree_values(batch)
+                keys = _keys_at(values, np.arange(m), batch.column("tree").to_numpy().astype(np.int64), depth)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), *[batch.column(c) for c in ("tree", "node", "n", "sketch", "comp")]], ["key", "tree", "node", "n", "sketch", "comp"])
+
+    return rows.drop("key").join(nodes.select("node", "signature"), "node").select("tree", "node", "n", "sketch", "comp", "signature").mapInArrow(run, ROW)
+
+
+ROW = "key long, tree int, node long, n long, sketch binary, comp long"
 
 
 def _regions(nodes: DataFrame, limit: int) -> DataFrame:
     """Rows (key, node, n, sketch, comp) whose keys name regions of at most about ``limit`` nodes."""
-    rows, found = _orders(nodes, DEPTHS[0]), []
-    for depth, deeper in zip(DEPTHS, (*DEPTHS[1:], None)):
+    rows, found = _orders(nodes), []
+    for deeper in (*DEPTHS[1:], None):
         heavy = written(rows.groupBy("key").count().where(F.col("count") > limit), "heavy-regions")
         if heavy.isEmpty():
-            found.append(rows.select("key", "node", "n", "sketch", "comp"))
+            found.append(rows)
             break
-        found.append(rows.join(heavy, "key", "left_anti").select("key", "node", "n", "sketch", "comp"))
+        found.append(rows.join(heavy, "key", "left_anti"))
         if deeper:
-            # What is deep in a tree's order is sorted out again only for nodes of heavy regions.
-            rows = written(_orders(nodes, depth, deeper).join(heavy, "key", "left_semi").select(
-                F.col("next").alias("key"), "node", "n", "sketch", "comp"), "deeper-rows")
+            rows = written(_deepened(rows.join(heavy, "key", "left_semi"), nodes, deeper), "deeper-rows")
         else:
             chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / limit))
-            found.append(rows.join(heavy, "key").select(F.xxhash64("key", chunk).alias("key"), "node", "n", "sketch", "comp"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            found.append(rows.join(heavy, "key").withColumn("key", F.xxhash64("key", chunk)).drop("count"))
+    return reduce(DataFrame.unionByName, [f.select("key", "node", "n", "sketch", "comp") for f in found])
 
 
 def _possible(n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Which pairs of a region can be links, by their number of equal bits; 0 where they can't."""
-    equal = 64 - np.bitwise_count(sketch[:, None] ^ sketch[None, :]).astype(np.int16)
+    """Which pairs of a region can be links: the more their sketches agree, the larger; 0 where they can't."""
+    distance, most = _distance(sketch[:, None], sketch[None, :])
+    equal = most + 1 - distance
     sizes = 100 * np.minimum(n[:, None], n[None, :]) >= SIMILARITY * np.maximum(n[:, None], n[None, :])
-    equal[~sizes | (equal < LEAST_BITS)] = 0
+    equal[~sizes | (equal < 0)] = 0
     np.fill_diagonal(equal, 0)
     return equal
 
 
 def _sparse(equal: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of most equal bits, and a star around the node with most possible links."""
+    """A spanning forest of most agreement, and a star around the node with most possible links."""
     m = len(equal)
     hub = int((equal > 0).sum(axis=1).argmax())
     pairs = [(hub, int(i)) for i in np.flatnonzero(equal[hub])]
@@ -178,11 +208,11 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
 
     def resolve(parts):
         key, node, n, sketch, comp = parts
-        sketch = sketch.view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(key)))
         twos = starts[sizes == 2]
-        fits = (64 - np.bitwise_count(sketch[twos] ^ sketch[twos + 1]) >= LEAST_BITS) & (
+        distance, most = _distance(sketch[twos], sketch[twos + 1])
+        fits = (distance <= most) & (
             100 * np.minimum(n[twos], n[twos + 1]) >= SIMILARITY * np.maximum(n[twos], n[twos + 1]))
         if across:
             fits &= comp[twos] != comp[twos + 1]
@@ -203,7 +233,8 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch.column(c).to_numpy() for c in ("key", "node", "n", "sketch", "comp")]
+            parts = [batch.column(c).to_numpy() for c in ("key", "node", "n", "comp")]
+            parts.insert(3, text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1))
             if kept is not None:
                 parts = [np.concatenate(x) for x in zip(kept, parts)]
             last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last region may go on in the next batch
@@ -216,27 +247,36 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those pairs whose full sets have 100 * intersection >= 80 * union."""
+def _member_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node``, its full set (``members``) and fine ``sketch``, of every node in ``pairs``."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = written(nodes.join(ids, "node").select("node", "doc_id", "k1", "k2"), "needed")
 
     def run(batches):
         for batch in slices(batches):
-            k1, k2, sets = [], [], []
+            k1, k2, sets, sketches = [], [], [], []
             for members in _sets(batch.column("text"), size):
                 a, b = _keys(members)
                 k1.append(a)
                 k2.append(b)
                 sets.append(members.view(np.int64))
+                sketches.append((_minima(members, slice(HASHES, None)) & 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(k1, np.int64)), pa.array(np.array(k2, np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["k1", "k2", "members"])
+                [pa.array(np.array(k1, np.int64)), pa.array(np.array(k2, np.int64)), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["k1", "k2", "members", "sketch"])
 
     asked = needed.select(F.col("doc_id").alias("_asked")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi")
-    sets = texts.select("text").mapInArrow(run, "k1 long, k2 long, members array<long>")
+    # One plan at every size: the asked ids grow with the input, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi")
+    sets = texts.select("text").mapInArrow(run, "k1 long, k2 long, members array<long>, sketch binary")
     # Rows that repeat an id can give a set twice; one of them is enough.
-    sets = written(sets.join(needed, ["k1", "k2"]).groupBy("node").agg(F.first("members").alias("members")), "sets")
+    return written(sets.join(needed, ["k1", "k2"]).groupBy("node").agg(
+        F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs whose full sets have 100 * intersection >= 80 * union."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -263,18 +303,24 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
     nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     first = written(_proposals(_regions(nodes.withColumn("comp", F.col("node")), limit), across=False), "proposals")
-    links = written(_confirmed(first, nodes, docs, size), "confirmed")
+    sets = _member_sets(first, nodes, docs, size)  # of all nodes that have a possible link at all
+    links = written(_confirmed(first, sets), "confirmed")
     labels = components(links)
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     again = nodes.join(active, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     again = written(again, "active")
-    second = written(_proposals(_regions(again, limit), across=True).join(first, ["a", "b"], "left_anti"), "second-proposals")
+    regions = written(_regions(again, limit).drop("sketch"), "regions")
+    # Only regions of several components are left, and finer sketches tell more pairs that can't be links.
+    torn = regions.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    regions = regions.join(torn, "key", "left_semi").join(sets.select("node", "sketch"), "node")
+    second = written(_proposals(regions, across=True).join(first, ["a", "b"], "left_anti"), "second-proposals")
     if not second.isEmpty():
-        more = written(_confirmed(second, nodes, docs, size), "confirmed")
+        more = written(_confirmed(second, sets), "confirmed")
         if not more.isEmpty():
             labels = components(links.union(more))
     joined = nodes.select("node", "k1", "k2", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = joined.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    # Written, so that the join's large parts can be split at run time.
+    smallest = written(joined.groupBy("comp").agg(F.min("doc_id").alias("component")), "smallest")
     named = joined.join(smallest, "comp").select("k1", "k2", "component")
     out = made.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
