@@ -2,9 +2,9 @@
 
 Pages are sorted by id. Shards are ranges of that order of about SHARD_BYTES of payload, cut by
 the exact running sum of payload bytes, so they are the same at every run and on every
-cluster. One task writes a shard's records in order, each as a gzip member of its own, and goes
-on to the next file when a file reaches FILE_BYTES compressed. Headers, record ids and digests
-are made anew from the payload.
+cluster. Headers, record ids and digests are made anew from the payload, and each record is
+compressed as a gzip member of its own before it travels to its shard. One task writes a shard's
+members in order and goes on to the next file when a file reaches FILE_BYTES compressed.
 
 Files are written under temporary names. What a task has written is known only through the
 manifest row it returns, and Spark takes the rows of one attempt of each task; so what a lost
@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loggrove.llm.registry import query, table
+from loggrove.llm.textcols import slices
 from loggrove.operators.ordering import ranked
 from loggrove.scratch import scratch_path, written
 
@@ -35,6 +36,7 @@ FILE_BYTES = 8 << 20  # compressed bytes at which a file is full
 LEAST_REVISIT = 1000  # payloads of fewer bytes are always stored
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date; a fixed one keeps files the same at each run
 LEVEL = 6
+MOST_READERS = 10_000  # tasks that read files at once
 NO_ID = -(1 << 63)  # stands for a null id, first in order
 
 # Names of the format.
@@ -112,13 +114,12 @@ class _Shard:
         self.system, self.folder = _filesystem(folder)
         self.shard, self.limit, self.number, self.rows, self.out = shard, limit, 0, [], None
 
-    def add(self, data: bytes) -> None:
-        member = _member(data)
+    def add(self, member: bytes) -> None:
         if self.out is None:
             self.name = f"pages-{self.shard:08d}-{self.number:05d}.warc.gz"
             self.temporary = f"_temporary/{uuid.uuid4().hex}-{self.name}"
             self.system.create_dir(f"{self.folder}/_temporary", recursive=True)
-            self.out, self.size, self.records, self.digest = self.system.open_output_stream(f"{self.folder}/{self.temporary}"), 0, 0, hashlib.sha256()
+            self.out, self.size, self.records, self.digest = self.system.open_output_stream(f"{self.folder}/{self.temporary}", compression=None), 0, 0, hashlib.sha256()
             self._put(_member(_file_head(self.name)))
         self._put(member)
         self.records += 1
@@ -136,6 +137,12 @@ class _Shard:
             self.rows.append((self.name, self.temporary, self.records, self.size, self.digest.hexdigest()))
             self.number, self.out = self.number + 1, None
 
+    def listed(self) -> pa.RecordBatch:
+        """Manifest rows of the shard's files, which are closed."""
+        self.close()
+        columns = zip(*self.rows)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "temporary", "records", "bytes", "sha256"])
+
 
 MANIFEST = "name string, temporary string, records long, bytes long, sha256 string"
 
@@ -157,41 +164,37 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     keyed = staged.withColumn("sha", F.sha2("payload", 256))
     choices = decided(keyed.select("page", "sha", F.octet_length("payload").cast("long").alias("bytes")))
     joined = keyed.join(choices, ["page", "sha"]).select("shard", "page", "sha", "url", "payload", "leader")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, before, turn = None, None, 0
-        for frame in frames:
-            done = []
-            for shard, page, sha, url, payload, leader in zip(*(frame[c] for c in ("shard", "page", "sha", "url", "payload", "leader"))):
+    # Equal rows of one id meet here without a further shuffle.
+    turned = joined.withColumn("turn", F.row_number().over(Window.partitionBy("page", "sha").orderBy("url")) - 1)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload"):
+            members = []
+            for page, sha, turn, url, payload, leader in zip(*(batch.column(c).to_pylist() for c in ("page", "sha", "turn", "url", "payload", "leader"))):
+                members.append(_member(record(page, sha, turn, url, payload, None if leader == page and not turn else leader)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("shard", "page", "sha", "turn")), pa.array(members, pa.binary())], ["shard", "page", "sha", "turn", "member"])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            for shard, member in zip(batch.column("shard").to_pylist(), batch.column("member").to_pylist()):
                 if at is None or at.shard != shard:
                     if at is not None:
-                        at.close()
-                        done += at.rows
-                    at = _Shard(folder, int(shard), file_bytes)
-                turn = turn + 1 if before == (page, sha) else 0
-                before = (page, sha)
-                of = None if pd.isna(leader) or (leader == page and not turn) else int(leader)
-                at.add(record(int(page), sha, turn, url, bytes(payload), of))
-            if done:
-                yield pd.DataFrame(done, columns=["name", "temporary", "records", "bytes", "sha256"])
+                        yield at.listed()
+                    at = _Shard(folder, shard, file_bytes)
+                at.add(member)
         if at is not None:
-            at.close()
-            yield pd.DataFrame(at.rows, columns=["name", "temporary", "records", "bytes", "sha256"])
+            yield at.listed()
 
-    # Leader ids are read as strings, so that large ones are not rounded where some are null.
-    ready = joined.withColumn("leader", F.col("leader").cast("string")).repartition("shard").sortWithinPartitions("shard", "page", "sha", "url")
-    manifest = written(ready.mapInPandas(_numbered(run), MANIFEST), "manifest")
+    # Records travel to their shard compressed.
+    members = turned.mapInArrow(compress, "shard long, page long, sha string, turn int, member binary")
+    ready = members.repartition("shard").sortWithinPartitions("shard", "page", "sha", "turn").select("shard", "member")
+    manifest = written(ready.mapInArrow(store, MANIFEST), "manifest")
     _commit(spark, manifest, folder)
     return manifest.drop("temporary")
 
 
-def _numbered(run):
-    def with_numbers(frames):
-        return run(f.assign(leader=f["leader"].map(lambda x: None if x is None else int(x)).astype(object)) for f in frames)
-
-    return with_numbers
-
-
 def _commit(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
     """Give the listed files their names, then write the manifest. Both can be repeated."""
 
@@ -241,6 +244,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     revisit has no payload, and gives those of its headers.
     """
     listed = spark.read.schema("name string, records long, bytes long, sha256 string").json(f"{folder}/_manifest")
+    tasks = min(max(1, listed.count()), MOST_READERS)  # the list is small, what it lists is not
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _filesystem(folder)
@@ -248,7 +252,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
         for frame in frames:
             for name, records in zip(frame["name"], frame["records"]):
                 rows, held, seen = [], 0, 0
-                with system.open_input_stream(f"{root}/{name}") as stream:
+                with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for headers, block in _records(stream):
                         if headers["WARC-Type"] == "warcinfo":
                             continue
@@ -271,7 +275,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return listed.repartition(F.col("name")).mapInPandas(run, RECORD)
+    return listed.repartition(tasks, "name").mapInPandas(run, RECORD)
 
 
 SQL = r"""
