@@ -156,12 +156,14 @@ def _regions(nodes: DataFrame, limit: int) -> DataFrame:
         if heavy.isEmpty():
             found.append(rows)
             break
-        found.append(rows.join(heavy, "key", "left_anti"))
+        marked = rows.join(heavy, "key", "left")
+        found.append(marked.where("count IS NULL"))
+        crowded = marked.where("count IS NOT NULL")
         if deeper:
-            rows = written(_deepened(rows.join(heavy, "key", "left_semi"), nodes, deeper), "deeper-rows")
+            rows = written(_deepened(crowded.drop("count"), nodes, deeper), "deeper-rows")
         else:
             chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / limit))
-            found.append(rows.join(heavy, "key").withColumn("key", F.xxhash64("key", chunk)).drop("count"))
+            found.append(crowded.withColumn("key", F.xxhash64("key", chunk)))
     return reduce(DataFrame.unionByName, [f.select("key", "node", "n", "sketch", "comp") for f in found])
 
 
