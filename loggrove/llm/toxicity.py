@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loggrove.llm.registry import query, table
 from loggrove.llm.textcols import LOWER, _table, cut_segments, hash_runs, slices, splitmix, text_bytes, word_starts
+from loggrove.scratch import written
 
 TRAIN_ROWS = 20_000  # labelled documents the machine is fitted on at most
 PLACES = 1 << 20
@@ -88,29 +89,52 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(*terms(column, self.wanted)), -30, 30)))
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _telling(sample: DataFrame) -> np.ndarray:
     """Places whose documents' labels differ from the others' by more than chance allows."""
-    if not len(rows) or labels.min() == labels.max():
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not rows or toxic in (0, rows):
         return np.zeros(0, np.int64)
-    share = labels.mean()
-    seen = np.bincount(np.concatenate(rows), minlength=PLACES).astype(float)
-    toxic = np.bincount(np.concatenate(rows), np.repeat(labels, [len(r) for r in rows]), PLACES)
-    part = lambda n, expected: n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9))
-    return np.flatnonzero(2 * (part(toxic, seen * share) + part(seen - toxic, seen * (1 - share))) >= TELLING)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("places")
+            places = lists.flatten().to_numpy()
+            owners = np.repeat(batch.column("toxic").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            distinct, inverse = np.unique(places, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(distinct.astype(np.int32)), pa.array(np.bincount(inverse, minlength=len(distinct))),
+                 pa.array(np.bincount(inverse[owners > 0], minlength=len(distinct)))], ["place", "seen", "toxic"])
+
+    counted = sample.select("toxic", "places").mapInArrow(run, "place int, seen long, toxic long").groupBy("place").agg(
+        F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    share = toxic / rows
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    clean = F.col("seen") - F.col("toxic")
+    ratio = 2 * (part(F.col("toxic"), F.col("seen") * share) + part(clean, F.col("seen") * (1 - share)))
+    return np.array(sorted(r["place"] for r in counted.where(ratio >= TELLING).select("place").collect()), np.int64)  # of 2^20 places
+
+
+def _only(sample: DataFrame, known: np.ndarray) -> DataFrame:
+    """The documents of ``sample`` with those of their places that are ``known``."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("places")
+            places = lists.flatten().to_numpy()
+            kept = np.isin(places, known)
+            offsets = np.concatenate([[0], np.cumsum(kept)])[lists.offsets.to_numpy()]
+            own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places[kept], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), own], ["doc_id", "toxic", "places"])
+
+    return sample.mapInArrow(run, "doc_id long, toxic int, places array<int>")
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss of a bounded list of documents' places."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray) -> Machine:
+    """AdaGrad on the logistic loss of a bounded list of documents' known places."""
     random = np.random.default_rng(SEED)
     share = (labels.sum() + 1) / (len(labels) + 2)
-    alone = _telling(rows, labels)
-    wanted = np.zeros(PLACES, bool)
-    wanted[alone] = True
-    beside = np.array([wanted[r].any() for r in rows], bool)
-    wanted[_telling([r for r, b in zip(rows, beside) if b], labels[beside])] = True
-    known = np.flatnonzero(wanted)
     fitted = Machine(float(np.log(share / (1 - share))), known, np.zeros(len(known)), random.normal(0, 0.01, (len(known), FACTORS)))
-    rows = [np.searchsorted(known, r[wanted[r]]) for r in rows]
+    rows = [np.searchsorted(known, r) for r in rows]
     of_linear, of_factors, of_bias = np.ones(len(known)), np.ones((len(known), FACTORS)), 1.0
     for _ in range(EPOCHS if len(known) else 0):
         order = random.permutation(len(rows))
@@ -151,10 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
                 [batch.column("_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), lists], ["doc_id", "toxic", "places"])
 
     sized = sample.select("_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places array<int>")
-    # Bounded by ``rows`` documents' distinct terms, 2^20 each at most. Sorted, so that reruns see one order.
-    table_ = sized.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("places").alias("places")).toArrow().sort_by("doc_id")
-    lists = [np.asarray(x.values, np.int64) for x in table_["places"]]
-    return fit_machine(lists, table_["toxic"].to_numpy().astype(float))
+    # Counted where it lies: only the places that tell something come to the driver.
+    table_ = written(sized.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("places").alias("places")), "toxicity-sample")
+    alone = _telling(table_)
+    beside = _telling(table_.join(_only(table_, alone).where(F.size("places") > 0).select("doc_id"), "doc_id", "left_semi")) if len(alone) else alone
+    known = np.union1d(alone, beside)
+    # Sorted, so that reruns see one order.
+    rows_ = _only(table_, known).toArrow().sort_by("doc_id")
+    lists = [np.asarray(x.values, np.int64) for x in rows_["places"]]
+    return fit_machine(lists, rows_["toxic"].to_numpy().astype(float), known)
 
 
 def held_out(doc_id: Column) -> Column:
