@@ -110,9 +110,10 @@ def exact_groups(docs: DataFrame, text_column: str = "text", id_column: str = "d
     """
     source = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = identities(source, "_text", ("_id",), size, digest)
-    groups = rows.groupBy("n_blocks", "name").agg(
+    # Written, so that the join's large parts can be split at run time.
+    groups = written(rows.groupBy("n_blocks", "name").agg(
         F.min(F.struct((-F.col("n_points")).alias("length"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("best"),
-        F.count(F.lit(1)).alias("group_size"))
+        F.count(F.lit(1)).alias("group_size")), "groups")
     return rows.join(groups, ["n_blocks", "name"]).select(
         F.col("_id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
         F.col("_id").eqNullSafe(F.col("best.id")).alias("kept"), "text_sha256")
