@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loggrove.llm.registry import query, table
 from loggrove.operators.ordering import ranked
+from loggrove.scratch import written
 
 WEIGHTS = (5, 2, 1)  # repeating over the sources by code point, null last
 MOST = 3  # a target stops at so many times its source's size
@@ -108,5 +109,5 @@ SELECT doc_id, size, source_size, target, CAST(floor(n * rate + u) - floor((n -
 @query(SQL)
 def op4_source_mix(spark, folder):
     docs = table(spark, folder, "documents")
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")  # texts are read once
     return with_copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
