@@ -3,9 +3,8 @@
 A document's set is its distinct word shingles. 128 minima of random hash functions make its
 signature, which is read in 32 orders (trees): order t begins with the minima 4t to 4t+3 and goes
 on with those of the following trees. Documents that share the first four values of an order
-form a region. Where a region holds more than REGION documents, its depth grows: 8, 16, 32
-values, and at the greatest depth it is dealt into chunks that differ from tree to tree. Two sets
-of similarity 0.8 share four values of at least one order but for a chance of 5e-8.
+form a region. Two sets of similarity 0.8 share four values of at least one order but for a chance
+of 5e-8.
 
 Within a region, neighbours are not paired with each other in full. Signature bits and set sizes
 say which pairs can be links; a spanning forest over them and a star around the best-connected
@@ -13,6 +12,11 @@ document are proposed. All proposals are confirmed on full sets. Then a second p
 every possible pair in a region whose documents are still in different components and that
 was not tried before, so no possible link between different components is left untried.
 
+A region of more than REGION documents is crowded. In the first pass its depth grows, 8, 16, 32
+values, and at the greatest depth it is dealt into chunks: that joins most of what belongs
+together, and misses some. In the second pass all members of crowded regions go through an exact
+join instead: sets that overlap enough share one of their rarest shingles.
+
 Documents of equal sets are one node, found before anything is paired.
 """
 
@@ -34,6 +38,8 @@ TREES, FIRST = 32, 4
 HASHES = TREES * FIRST
 DEPTHS = (4, 8, 16, 32)
 REGION = 128
+GROUP = 1024  # a shingle of more members than about this is dealt into blocks, and every two blocks meet
+BUCKETS = 1 << 20  # shingles are counted in so many buckets; the counts only order them
 # Of 64 signature bits, two sets of similarity 0.8 differ in 6.4 on average and in over 22 with a chance of 2e-8.
 # Of the low bytes of 256 further minima they differ in 51 on average and in over 90 with a chance of 4e-9.
 MOST_COARSE, MOST_FINE, FINE = 22, 90, 256
@@ -109,6 +115,17 @@ def _tree_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.ascontiguousarray(raw).view("<u8")
 
 
+def _coarse(raw: np.ndarray) -> np.ndarray:
+    """64 bits of each signature, packed."""
+    return np.packbits((raw[:, ::2] & 1).astype(np.uint8), axis=1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [
+        None, pa.py_buffer((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _orders(nodes: DataFrame) -> DataFrame:
     """Each node once per tree: ``key`` names its first values there."""
 
@@ -119,9 +136,7 @@ def _orders(nodes: DataFrame) -> DataFrame:
                 continue
             raw, values = _tree_values(batch)
             rows, trees = np.repeat(np.arange(m), TREES), np.tile(np.arange(TREES), m)
-            sketch = np.repeat(np.packbits((raw[:, ::2] & 1).astype(np.uint8), axis=1), TREES, axis=0)
-            sketches = pa.Array.from_buffers(pa.binary(), len(sketch), [
-                None, pa.py_buffer((np.arange(len(sketch) + 1) * sketch.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(sketch.tobytes())])
+            sketches = _binary(np.repeat(_coarse(raw), TREES, axis=0))
             taken = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_keys_at(values, rows, trees, DEPTHS[0])), pa.array(trees.astype(np.int32)), batch.column("node").take(taken),
@@ -148,23 +163,27 @@ def _deepened(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
 ROW = "key long, tree int, node long, n long, sketch binary, comp long"
 
 
-def _regions(nodes: DataFrame, limit: int) -> DataFrame:
-    """Rows (key, node, n, sketch, comp) whose keys name regions of at most about ``limit`` nodes."""
-    rows, found = _orders(nodes), []
-    for deeper in (*DEPTHS[1:], None):
+def _regions(nodes: DataFrame, limit: int, deeper: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (key, node, n, sketch, comp) whose keys name regions of at most about ``limit`` nodes, those of crowded
+    regions ``deeper`` or not at all; and the ``node`` of all members of crowded regions, or None."""
+    rows, found, members = _orders(nodes), [], None
+    for depth in (*DEPTHS[1:], None):
         heavy = written(rows.groupBy("key").count().where(F.col("count") > limit), "heavy-regions")
         if heavy.isEmpty():
             found.append(rows)
             break
         marked = rows.join(heavy, "key", "left")
         found.append(marked.where("count IS NULL"))
+        if not deeper:
+            break
         crowded = marked.where("count IS NOT NULL")
-        if deeper:
-            rows = written(_deepened(crowded.drop("count"), nodes, deeper), "deeper-rows")
+        if depth:
+            rows = written(_deepened(crowded.drop("count"), nodes, depth), "deeper-rows")
+            members = written(rows.select("node").distinct(), "crowded") if members is None else members
         else:
             chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / limit))
             found.append(crowded.withColumn("key", F.xxhash64("key", chunk)))
-    return reduce(DataFrame.unionByName, [f.select("key", "node", "n", "sketch", "comp") for f in found])
+    return reduce(DataFrame.unionByName, [f.select("key", "node", "n", "sketch", "comp") for f in found]), members
 
 
 def _possible(n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -249,9 +268,127 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _member_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``node``, its full set (``members``) and fine ``sketch``, of every node in ``pairs``."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _bucket_counts(members: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each bucket."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_buckets(batch.column("members").flatten().to_numpy()), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "times"])
+
+    counted = members.select("members").mapInArrow(run, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)  # BUCKETS rows at most
+    out[counted["bucket"].to_numpy()] = counted["times"].to_numpy()
+    return out
+
+
+def _buckets(members: np.ndarray) -> np.ndarray:
+    return (members.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """Each set once per shingle of its longer prefix: ``key``, ``node``, ``n``, ``sketch``, ``comp``, ``short``.
+
+    Shingles are ordered by their buckets' counts and names. Sets x and y, y no larger, of similarity 0.8
+    have 4 (x + y) / 9 shingles in common, at least 8 y / 9 and 0.8 x; so the first x - 0.8 x + 1 of x and the first
+    y - 8 y / 9 + 1 of y (``short``) share one. What stands alone in its bucket is met nowhere else.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+
+    def run(batches):
+        times = shared.value
+        for batch in batches:
+            keys, shorts, taken = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+            if not batch.num_rows:
+                continue
+            lists = batch.column("members")
+            sketches = _coarse(_tree_values(batch)[0])
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(batch.num_rows):
+                members = flat[offsets[i]:offsets[i + 1]]
+                n, often = len(members), times[_buckets(members)]
+                first = np.lexsort((members, often))[:n - (4 * n + 4) // 5 + 1]
+                short = np.arange(len(first)) < n - (8 * n + 8) // 9 + 1
+                met = often[first] > 1
+                keys.append(members[first][met])
+                shorts.append(short[met])
+                taken.append(np.full(int(met.sum()), i))
+            rows = np.concatenate(taken)
+            node, n, comp = (batch.column(c).take(pa.array(rows)) for c in ("node", "n", "comp"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), node, n, _binary(sketches[rows]), comp, pa.array(np.concatenate(shorts))],
+                ["key", "node", "n", "sketch", "comp", "short"])
+
+    return sets.select("node", "n", "signature", "comp", "members").mapInArrow(run, "key long, node long, n long, sketch binary, comp long, short boolean")
+
+
+def _met_in_crowds(sets: DataFrame, group: int = GROUP) -> DataFrame:
+    """All pairs (a < b) of sets in different components that can be links, by the shingles of their prefixes."""
+    rows = written(_prefixes(sets), "prefixes")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("short").alias("any"))
+    heavy = written(often.where(F.col("times") > group).withColumn("torn", F.col("any") & (F.col("low") < F.col("high"))).select("key", "times", "torn"), "heavy-shingles")
+    if not heavy.isEmpty():
+        marked = rows.join(heavy, "key", "left")
+        blocks = F.ceil(F.col("times") / group)
+        mine = F.pmod(F.xxhash64("node", "key"), blocks)
+        # Every two blocks meet under a key of their own.
+        meetings = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
+        dealt = marked.where("torn").withColumn("key", F.explode(meetings))
+        columns = ("key", "node", "n", "sketch", "comp", "short")
+        rows = marked.where("torn IS NULL").select(*columns).unionByName(dealt.select(*columns))
+
+    def of_group(node, n, sketch, comp, short):
+        other = np.flatnonzero(short)
+        out = []
+        for at in range(0, len(node), 256):  # bounds the distances kept at a time
+            mine = np.arange(at, min(at + 256, len(node)))
+            distance, most = _distance(sketch[mine][:, None], sketch[other][None, :])
+            fits = (distance <= most) & (comp[mine][:, None] != comp[other][None, :]) & (n[other][None, :] <= n[mine][:, None])
+            fits &= 100 * n[other][None, :] >= SIMILARITY * n[mine][:, None]
+            x, y = np.nonzero(fits)
+            out.append((node[mine[x]], node[other[y]]))
+        x, y = (np.concatenate(z) for z in zip(*out))
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def resolve(parts):
+        key, rest = parts[0], parts[1:]
+        if not len(key):
+            return None
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        comp, short = rest[3], rest[4]
+        torn = (np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)) & np.logical_or.reduceat(short, starts)
+        ends = np.append(starts[1:], len(key))
+        found = [of_group(*[x[start:end] for x in rest]) for start, end in zip(starts[torn], ends[torn])]
+        if not found:
+            return None
+        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "comp", "short")]
+            parts.insert(3, text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1))
+            if kept is not None:
+                parts = [np.concatenate(x) for x in zip(kept, parts)]
+            last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last shingle may go on in the next batch
+            kept = [x[last:] for x in parts]
+            found = resolve([x[:last] for x in parts])
+            if found is not None:
+                yield found
+        found = resolve(kept) if kept is not None else None
+        if found is not None:
+            yield found
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _member_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node``, its full set (``members``) and fine ``sketch``, of every ``node`` in ``ids``."""
     needed = written(nodes.join(ids, "node").select("node", "doc_id", "k1", "k2"), "needed")
 
     def run(batches):
@@ -304,18 +441,25 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    first = written(_proposals(_regions(nodes.withColumn("comp", F.col("node")), limit), across=False), "proposals")
-    sets = _member_sets(first, nodes, docs, size)  # of all nodes that have a possible link at all
+    regions, crowded = _regions(nodes.withColumn("comp", F.col("node")), limit, deeper=True)
+    first = written(_proposals(regions, across=False), "proposals")
+    active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    # Of all nodes that have a possible link at all.
+    sets = _member_sets(active if crowded is None else active.union(crowded).distinct(), nodes, docs, size)
     links = written(_confirmed(first, sets), "confirmed")
     labels = components(links)
-    active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     again = nodes.join(active, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     again = written(again, "active")
-    regions = written(_regions(again, limit).drop("sketch"), "regions")
+    regions = written(_regions(again, limit, deeper=False)[0].drop("sketch"), "regions")
     # Only regions of several components are left, and finer sketches tell more pairs that can't be links.
     torn = regions.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     regions = regions.join(torn, "key", "left_semi").join(sets.select("node", "sketch"), "node")
-    second = written(_proposals(regions, across=True).join(first, ["a", "b"], "left_anti"), "second-proposals")
+    untried = _proposals(regions, across=True)
+    if crowded is not None:
+        known = nodes.select("node", "n", "signature").join(crowded, "node").join(labels, "node", "left")
+        met = _met_in_crowds(known.withColumn("comp", F.coalesce("comp", "node")).join(sets.select("node", "members"), "node"))
+        untried = untried.union(met).distinct()
+    second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
     if not second.isEmpty():
         more = written(_confirmed(second, sets), "confirmed")
         if not more.isEmpty():

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from common import crowded, documents, near_components, rows
+from common import crowded, documents, near_components, rows, shingle_set
 from loggrove.llm import near
 
 
@@ -62,3 +63,35 @@ def test_long_text(spark):
     long = " ".join(f"w{i % 5000}" for i in range(200_000))
     docs = documents(spark, [long, long + " end", "short text of a few words"])
     assert rows(near.near_components(docs, size=2), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_a_pair_in_a_crowd_with_a_common_passage(spark):
+    """Thousands of sets share 85% of their shingles, and some pairs of them are at 0.8."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(851)]
+    own = lambda n: [f"o{rng.getrandbits(60)}" for _ in range(n)]
+    texts, pairs = [], 20
+    for _ in range(1500):
+        texts.append(" ".join(passage + own(150)))
+    for _ in range(pairs):
+        shared = own(42)
+        texts += [" ".join(passage + shared + own(106)), " ".join(passage + shared + own(106))]
+    found = {r["doc_id"]: r["component_id"] for r in near.near_components(documents(spark, texts), size=2).collect()}
+    first = 1501
+    assert all(found[first + 2 * i] == found[first + 2 * i + 1] == first + 2 * i for i in range(pairs))
+    assert all(found[i] == i for i in range(1, first))
+
+
+@pytest.mark.parametrize("group", [8, 1024])
+def test_crowds_are_joined_exactly(spark, group):
+    """All pairs between components that are at 0.8 are met, also where a shingle's members are dealt into blocks."""
+    texts = [t for t in corpus() if t]
+    size = 2
+    made = near.signatures(documents(spark, texts), size).where("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    nodes = made.withColumn("node", F.col("doc_id")).withColumn("comp", F.col("doc_id"))
+    sets = near._member_sets(nodes.select("node"), nodes, documents(spark, texts), size)
+    met = {tuple(r) for r in near._met_in_crowds(nodes.join(sets.select("node", "members"), "node"), group).collect()}
+    plain = {r["node"]: shingle_set(texts[r["node"] - 1], size) for r in nodes.select("node").collect()}
+    wanted = {(a, b) for a in plain for b in plain if a < b and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
+    assert len(wanted) > 100 and wanted <= met
