@@ -64,14 +64,14 @@ def _keys(members: np.ndarray) -> tuple[np.int64, np.int64]:
 
 
 def _minima(members: np.ndarray, of: slice) -> np.ndarray:
-    """The top 16 bits of the minimum of each of some hash functions."""
+    """16 bits of the minimum of each of some hash functions, scrambled: minima of large sets all begin with zeros."""
     factors, terms = _FACTORS[of], _TERMS[of]
     lowest = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(members), 2048):
         hashed = np.multiply.outer(factors, members[at:at + 2048])
         hashed += terms[:, None]
         np.minimum(lowest, hashed.min(axis=1), out=lowest)
-    return (lowest >> np.uint64(48)).astype("<u2")
+    return (splitmix(lowest) >> np.uint64(48)).astype("<u2")
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:

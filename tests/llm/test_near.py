@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,23 @@ def test_crowds_are_joined_exactly(spark, group):
     plain = {r["node"]: shingle_set(texts[r["node"] - 1], size) for r in nodes.select("node").collect()}
     wanted = {(a, b) for a in plain for b in plain if a < b and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
     assert len(wanted) > 100 and wanted <= met
+
+
+def test_signatures_of_very_large_sets_differ():
+    """Unrelated sets agree by chance only, however large; near copies agree in proportion to their similarity."""
+    rng = np.random.default_rng(3)
+    one, other = (rng.integers(0, 2**64, 600_000, dtype=np.uint64) for _ in range(2))
+    copy = np.concatenate([one[:540_000], rng.integers(0, 2**64, 60_000, dtype=np.uint64)])
+    for of in (slice(near.HASHES), slice(near.HASHES, None)):
+        a, b, c = (near._minima(x, of) for x in (one, other, copy))
+        assert (a == b).mean() < 0.05 and 0.7 < (a == c).mean() < 0.92
+        assert len(np.unique(a)) > 0.9 * len(a)
+
+
+def test_near_copies_among_many_long_texts(spark):
+    """Sets of over 2^16 shingles, more of them than a region may hold: only the planted copies are linked."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(150_000)) for _ in range(20)]
+    texts += [t + " and some more" for t in texts[:6]]
+    found = {r["doc_id"]: r["component_id"] for r in near.near_components(documents(spark, texts), size=2, limit=4).collect()}
+    assert found == {i: i if i <= 20 else i - 20 for i in range(1, 27)}
