@@ -15,6 +15,7 @@ and all documents are read against it. A document's matches are settled where it
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -138,20 +139,26 @@ class Block:
         found = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         return window, self.item[found], self.at[found]
 
-    def agreement(self, item: int, pairs: list[tuple[int, int]], values: np.ndarray, begin: int) -> tuple[int, float]:
-        """How many slots of the item were met; and of those whose number or name repeats in the item, or whose name
+    def agreement(self, item: int, pairs: list[tuple[int, int]], line: int, values: np.ndarray, begin: int) -> tuple[int, float]:
+        """Of windows paired along a line: how many slots of the item were met; and of those whose number or name repeats in the item, or whose name
         stands for several of the item's, the share that a one-to-one renaming explains (1 without such slots)."""
         own = int(self.offsets[item])
         end = int(self.offsets[item + 1]) - own
-        met = {(q, p) for q0, p0 in pairs for q, p in zip(range(q0, min(q0 + WINDOW, end)), range(p0, p0 + WINDOW)) if self.kinds[own + q] != PLAIN}
+        met: dict[int, int] = {}  # each word has one partner, the one nearest to the line
+        for q0, p0 in pairs:
+            for q, p in zip(range(q0, min(q0 + WINDOW, end)), range(p0, p0 + WINDOW)):
+                if self.kinds[own + q] != PLAIN and (q not in met or abs(p - q - line) < abs(met[q] - q - line)):
+                    met[q] = p
+        times: dict[tuple, int] = {}
+        for q in range(end):
+            key = (int(self.kinds[own + q]), int(self.values[own + q]))
+            times[key] = times.get(key, 0) + 1
         votes: dict[tuple, int] = {}
-        for q, p in met:
+        for q, p in met.items():
             key = (int(self.kinds[own + q]), int(self.values[own + q]), int(values[begin + p]))
             votes[key] = votes.get(key, 0) + 1
         here_for: dict[tuple, set] = {}
-        times: dict[tuple, int] = {}
-        for (kind, value, here), n in votes.items():
-            times[kind, value] = times.get((kind, value), 0) + n
+        for kind, value, here in votes:
             here_for.setdefault((kind, here), set()).add(value)
         asked = agreed = 0
         taken_item, taken_here = set(), set()
@@ -166,6 +173,24 @@ class Block:
         return len(met), agreed / asked if asked else 1.0
 
 
+def _partners(at: np.ndarray, here: np.ndarray, line: int) -> list[tuple[int, int]]:
+    """One place in the document for each window of an item: the nearest to the line, as far as these rise together."""
+    order = np.lexsort((np.abs(here - at - line), at))
+    at, here = at[order], here[order]
+    nearest = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, here = at[nearest], here[nearest]
+    ends, tails, before = [], [], np.full(len(at), -1)  # the longest rising run
+    for i, place in enumerate(here.tolist()):
+        k = bisect_left(ends, place)
+        before[i] = tails[k - 1] if k else -1
+        ends[k:k + 1], tails[k:k + 1] = [place], [i]
+    kept, i = [], tails[-1]
+    while i >= 0:
+        kept.append((int(at[i]), int(here[i])))
+        i = before[i]
+    return kept[::-1]
+
+
 def _found(block: Block, column: pa.Array) -> list[tuple]:
     """(row, item number, windows found, similarity, slots, agreement) of what is reported."""
     template, values, kinds, offsets = templates(column)
@@ -191,7 +216,7 @@ def _found(block: Block, column: pa.Array) -> list[tuple]:
             on = begin + np.flatnonzero(np.abs(here[begin:end] - at[begin:end] - line) <= room)
             distinct = len(np.unique(at[on]))
             if distinct >= SIMILARITY * size:
-                slots, agreed = block.agreement(i, [(int(at[x]), int(here[x])) for x in on], values, int(offsets[r]))
+                slots, agreed = block.agreement(i, _partners(at[on], here[on], int(line)), int(line), values, int(offsets[r]))
                 if agreed >= CONSISTENCY:
                     out.append((r, i, distinct, distinct / size, slots, agreed))
                     break

@@ -72,3 +72,13 @@ def test_long_text(spark):
     long = "word " * 700_000
     docs = documents(spark, [long + QUESTION, long])
     assert found(docs, items(spark, [QUESTION])) == [(1, 1)]
+
+
+APPLES = "Anna bought 3 red apples. Ben bought 4 red apples. Carla bought 5 red apples. David bought 6 red apples. Emma bought 7 red apples."
+
+
+def test_copies_of_items_that_repeat_a_template(spark):
+    pears = "Paul has 2 green pears and Paul has 3 green pears and Paul has 4 green pears and Rita has 5 green pears"
+    docs = documents(spark, [APPLES, f"Some words before. {APPLES} And some after.", pears, pears.replace("Paul", "Otto").replace("Rita", "Vera"),
+                             "Paul has 2 green pears and Otto has 3 green pears and Rita has 4 green pears and Paul has 5 green pears"])
+    assert found(docs, items(spark, [APPLES, pears])) == [(1, 1), (2, 1), (3, 2), (4, 2)]
