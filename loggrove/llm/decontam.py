@@ -8,6 +8,9 @@ document is reported for an item if at least 0.8 of the item's windows lie along
 repeats a number or name, the document must repeat what stands there, and different ones must stay
 different. A window with fewer than two ordinary words is compared as written.
 
+Capitals decide what is a name, so windows of five lower-cased words as written are looked up as
+well: a document is also reported if 0.8 of those lie along one line, whatever its capitals.
+
 The benchmark is taken in blocks of a bounded number of windows; each block is sent to the tasks
 and all documents are read against it. A document's matches are settled where it is read.
 """
@@ -81,9 +84,8 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 _UNIT_HASHES = np.sort(_tokens(pa.array([UNITS]))[0])
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words, the words that stand there, their kinds, and each row's offset."""
-    values, kinds, stopped, offsets = _tokens(column)
+def templates(values: np.ndarray, kinds: np.ndarray, stopped: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of tokens, the words that stand there, their kinds, and each row's offset."""
     first = np.zeros(len(values) + 1, bool)
     first[offsets] = True
     first = first[:-1]
@@ -109,26 +111,23 @@ def windows(template: np.ndarray, values: np.ndarray, kinds: np.ndarray, offsets
     return np.where(few, written, hashed), places
 
 
-class Block:
-    """The windows and words of some benchmark items, as sorted arrays."""
+class Index:
+    """Windows of some items, sorted by their hashes."""
 
-    def __init__(self, ids: list, column: pa.Array):
-        template, self.values, self.kinds, self.offsets = templates(column)
-        hashed, self.places = windows(template, self.values, self.kinds, self.offsets)
+    def __init__(self, hashed: np.ndarray, places: np.ndarray):
         order = np.argsort(hashed, kind="stable")
-        self.ids, self.hashed = ids, hashed[order]
-        self.item = np.repeat(np.arange(len(ids)), np.diff(self.places))[order]
-        self.at = order - self.places[self.item]
-        self.sizes = np.diff(self.places)
+        self.hashed = hashed[order]
+        self.item = np.repeat(np.arange(len(places) - 1), np.diff(places))[order]
+        self.at = order - places[self.item]
+        self.sizes = np.diff(places)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.hashed >> np.uint64(42)] = True
 
     @classmethod
-    def of(cls, arrays: dict) -> Block:
-        """The block again from its arrays, which are what is sent to the tasks."""
-        block = cls.__new__(cls)
-        block.__dict__.update(arrays)
-        return block
+    def of(cls, arrays: dict) -> Index:
+        index = cls.__new__(cls)
+        index.__dict__.update(arrays)
+        return index
 
     def matches(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window of the document, item, window of the item) of all equal pairs."""
@@ -139,6 +138,48 @@ class Block:
         found = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         return window, self.item[found], self.at[found]
 
+    def lines(self, hashed: np.ndarray, places: np.ndarray):
+        """(row, item, item windows found, line, their places in the item and in the row) of all lines that hold enough of an item."""
+        window, item, at = self.matches(hashed)
+        if not len(window):
+            return
+        row = np.searchsorted(places, window, "right") - 1
+        here = window - places[row]
+        order = np.lexsort((here, at, item, row))
+        row, item, at, here = row[order], item[order], at[order], here[order]
+        starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+        for begin, end in zip(starts, np.append(starts[1:], len(row))):
+            r, i = int(row[begin]), int(item[begin])
+            size = int(self.sizes[i])
+            if len(np.unique(at[begin:end])) < SIMILARITY * size:
+                continue
+            lines, times = np.unique(here[begin:end] - at[begin:end], return_counts=True)
+            # The line where most windows of the item lie, with room for words put in or left out.
+            room = max(2, size // 4)
+            for line in lines[np.argsort(-times, kind="stable")]:
+                on = begin + np.flatnonzero(np.abs(here[begin:end] - at[begin:end] - line) <= room)
+                distinct = len(np.unique(at[on]))
+                if distinct >= SIMILARITY * size:
+                    yield r, i, distinct, int(line), at[on], here[on]
+
+
+class Block:
+    """The windows and words of some benchmark items, as sorted arrays: as templates and as written."""
+
+    def __init__(self, ids: list, column: pa.Array):
+        tokens = _tokens(column)
+        written, written_places = shingle_hashes(tokens[0], tokens[3], WINDOW)
+        template, self.values, self.kinds, self.offsets = templates(*tokens)
+        self.words = np.diff(tokens[3])
+        self.ids, self.index, self.written = ids, vars(Index(*windows(template, self.values, self.kinds, self.offsets))), vars(Index(written, written_places))
+
+    @classmethod
+    def of(cls, arrays: dict) -> Block:
+        """The block again from its arrays, which are what is sent to the tasks."""
+        block = cls.__new__(cls)
+        block.__dict__.update(arrays)
+        return block
+
     def agreement(self, item: int, pairs: list[tuple[int, int]], line: int, values: np.ndarray, begin: int) -> tuple[int, float]:
         """Of windows paired along a line: how many slots of the item were met; and of those whose number or name repeats in the item, or whose name
         stands for several of the item's, the share that a one-to-one renaming explains (1 without such slots)."""
@@ -193,34 +234,21 @@ def _partners(at: np.ndarray, here: np.ndarray, line: int) -> list[tuple[int, in
 
 def _found(block: Block, column: pa.Array) -> list[tuple]:
     """(row, item number, windows found, similarity, slots, agreement) of what is reported."""
-    template, values, kinds, offsets = templates(column)
-    hashed, places = windows(template, values, kinds, offsets)
-    window, item, at = block.matches(hashed)
-    if not len(window):
-        return []
-    row = np.searchsorted(places, window, "right") - 1
-    here = window - places[row]
-    order = np.lexsort((here, at, item, row))
-    row, item, at, here = row[order], item[order], at[order], here[order]
-    starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-    out = []
-    for begin, end in zip(starts, np.append(starts[1:], len(row))):
-        r, i = int(row[begin]), int(item[begin])
-        size = int(block.sizes[i])
-        if len(np.unique(at[begin:end])) < SIMILARITY * size:
-            continue
-        lines, times = np.unique(here[begin:end] - at[begin:end], return_counts=True)
-        # The line where most windows of the item lie, with room for words put in or left out.
-        room = max(2, size // 4)
-        for line in lines[np.argsort(-times, kind="stable")]:
-            on = begin + np.flatnonzero(np.abs(here[begin:end] - at[begin:end] - line) <= room)
-            distinct = len(np.unique(at[on]))
-            if distinct >= SIMILARITY * size:
-                slots, agreed = block.agreement(i, _partners(at[on], here[on], int(line)), int(line), values, int(offsets[r]))
-                if agreed >= CONSISTENCY:
-                    out.append((r, i, distinct, distinct / size, slots, agreed))
-                    break
-    return out
+    tokens = _tokens(column)
+    written, written_places = shingle_hashes(tokens[0], tokens[3], WINDOW)
+    template, values, kinds, offsets = templates(*tokens)
+    index, out = Index.of(block.index), {}
+    for r, i, distinct, line, at, here in index.lines(*windows(template, values, kinds, offsets)):
+        if (r, i) not in out:
+            slots, agreed = block.agreement(i, _partners(at, here, line), line, values, int(offsets[r]))
+            if agreed >= CONSISTENCY:
+                out[r, i] = (distinct, distinct / int(index.sizes[i]), slots, agreed)
+    index = Index.of(block.written)
+    for r, i, distinct, *_ in index.lines(written, written_places):
+        # As written: the words of the windows found are the item's, and so are those in its slots.
+        if block.words[i] >= WINDOW:
+            out.setdefault((r, i), (distinct, distinct / int(index.sizes[i]), 0, 1.0))
+    return [(*which, *rest) for which, rest in sorted(out.items())]
 
 
 def _blocks(benchmark: DataFrame, limit: int):
@@ -237,9 +265,11 @@ def _blocks(benchmark: DataFrame, limit: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id``, ``item_id``, ``windows`` (found),
     ``similarity`` (share of the item's windows), ``slots`` (placeholder words met), ``agreement``.
+    What is found only as written has those windows and their share, no slots and agreement 1.
 
     * Null, empty and wordless texts and items hold nothing and are found nowhere.
-    * An item of fewer than five template words is found in documents that consist of just it.
+    * An item of fewer than five template words is found as written, one of fewer than five words in
+      documents that consist of just it, in the same capitals.
     * Repeated documents and items are reported each for itself; null ids stay null.
     * An empty table on either side gives an empty result. Other columns are not read.
     """

@@ -82,3 +82,13 @@ def test_copies_of_items_that_repeat_a_template(spark):
     docs = documents(spark, [APPLES, f"Some words before. {APPLES} And some after.", pears, pears.replace("Paul", "Otto").replace("Rita", "Vera"),
                              "Paul has 2 green pears and Otto has 3 green pears and Rita has 4 green pears and Paul has 5 green pears"])
     assert found(docs, items(spark, [APPLES, pears])) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_copies_in_other_capitals(spark):
+    story = "Maria Lopez met John Smith in Paris on Monday and Peter Brown sold Anna White a House near Berlin before Sunday"
+    title = "The Old Man And The Sea By Ernest Hemingway"
+    texts = [f"{before}{change(text)}{after}" for text in (story, title) for change in (str.lower, str.upper, str.title)
+             for before, after in (("", ""), ("here it begins: ", " - and that was all of it"))]
+    wanted = [(i, 1 if i <= 6 else 2) for i in range(1, 13)]
+    docs = documents(spark, [*texts, "maria met john in rome on friday and peter sold anna a boat near madrid before noon"])
+    assert found(docs, items(spark, [story, title])) == sorted(wanted, key=repr)
