@@ -1,7 +1,8 @@
 """Licence families of paragraphs by a trained classifier, confirmed against templates.
 
-Texts are cut into lines, and long lines into stretches of PIECE words that overlap. A piece is
-the set of its words and neighbouring word pairs, hashed. A multinomial logistic regression,
+Texts are cut into lines, and long lines into stretches of PIECE words that overlap. Paragraphs of
+several lines, that is lines up to one without words, also give overlapping stretches of JOINED
+words across their lines, so that wrapped notices stand whole in one of them. A piece is the set of its words and neighbouring word pairs, hashed. A multinomial logistic regression,
 fitted on the templates below in many damaged and surrounded forms and on a bounded sample of
 ordinary pieces of the corpus, gives the chance of each licence family and of none. A second
 regression on pieces held out from the first turns the lead of the best family over none into
@@ -83,6 +84,7 @@ OTHERS = (
 
 FAMILIES = tuple(TEMPLATES)
 PIECE, OVERLAP = 80, 20  # words of a piece, and of those that the next one has too
+JOINED, STEP = 40, 15  # words of a piece across lines, and from one such piece to the next: templates have 25 at most
 PLACES = 1 << 14
 ORDINARY = 4_000  # ordinary pieces that the classifier is fitted on at most
 SAMPLED_DOCS = 2_000  # documents that these are taken from, about
@@ -96,11 +98,16 @@ def word_list(text: Column) -> Column:
 
 
 def pieces_of(text: Column) -> Column:
-    """Word lists of a text's pieces; lines without words give none."""
+    """Word lists of a text's pieces, those of lines first; lines without words give none."""
+    # Comment marks hold no words, so a line of them alone ends a paragraph and others' are not seen.
+    paragraphs = F.split(F.coalesce(text, F.lit("")), r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    wrapped = F.transform(F.filter(paragraphs, lambda t: t.rlike(r"[\p{L}\p{N}][^\n]*\n[^\n]*[\p{L}\p{N}]")), word_list)
+    joined = F.flatten(F.transform(wrapped, lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - (JOINED - STEP) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(w, i + 1, JOINED))))
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), word_list), lambda w: F.size(w) > 0)
     starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - OVERLAP - 1, F.lit(0)), F.lit(PIECE - OVERLAP))
-    return F.flatten(F.transform(lines, lambda w: F.when(F.size(w) <= PIECE, F.array(w)).otherwise(
-        F.transform(starts(w), lambda i: F.slice(w, i + 1, PIECE)))))
+    return F.concat(F.flatten(F.transform(lines, lambda w: F.when(F.size(w) <= PIECE, F.array(w)).otherwise(
+        F.transform(starts(w), lambda i: F.slice(w, i + 1, PIECE))))), joined)
 
 
 def word_pairs(words: Column) -> Column:
@@ -188,7 +195,7 @@ def judged_pieces(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id``, ``families`` (confirmed ones by name, comma-joined), ``n_confirmed`` and
-    ``n_unknown`` (pieces) and ``chance`` (the highest calibrated chance of a confirmed piece, or null).
+``n_unknown`` (pieces, which overlap) and ``chance`` (the highest calibrated chance of a confirmed piece, or null).
 
     * Null, empty and wordless texts have no pieces and no licence. Whole texts are read, in pieces.
     * Repeated rows are judged each for itself; null ids stay null. An empty table gives none.

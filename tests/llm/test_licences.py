@@ -54,3 +54,26 @@ def test_pieces_overlap_and_cover_all_words(spark):
     pieces = documents(spark, [text]).select(licences.pieces_of("text")).first()[0]
     assert {w for p in pieces for w in p} == {f"w{i}" for i in range(500)} | {"short", "line"}
     assert all(len(p) <= licences.PIECE for p in pieces) and set(pieces[0][-licences.OVERLAP:]) <= set(pieces[1])
+
+
+WRAPPED = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+            "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_wrapped_notices(spark):
+    random.seed(9)
+    line = lambda n: " ".join("".join(random.choices("aeinorstl", k=random.randint(1, 9))) for _ in range(n))
+    texts, wanted = [], []
+    for mark in ("", "# ", " * ", "// "):
+        for family, notice in WRAPPED.items():
+            noted = "\n".join(mark + x for x in notice.split("\n"))
+            texts += [noted, f"{line(30)}\n{line(9)}\n{mark.rstrip()}\n{noted}\n{mark.rstrip()}\n{line(40)}\n{line(40)}"]
+            wanted += [family, family]
+    texts += [f"{line(20)}\n{line(30)}" for _ in range(100)]
+    found = dict(rows(licences.licence_scan(documents(spark, texts)), "doc_id", "families"))
+    assert [found[i] for i in range(1, len(texts) + 1)] == wanted + [""] * 100
