@@ -25,7 +25,6 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 TRAIN_ROWS = 20_000  # the trees are fitted on about so many labelled URLs at most, chosen by hash
-SUFFIXES = 1_000  # statistics are kept for so many of the most common suffixes; others count as unseen
 TREES, DEPTH, SEED = 20, 4, 7
 
 
@@ -71,24 +70,25 @@ FEATURES = {
 }
 
 
-def _suffix_statistics(urls: DataFrame) -> DataFrame:
-    """``suffix`` and the log-share of pages and of hosts it has, for the last one and the last two labels."""
-    hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("host <> ''")
+def _host_statistics(urls: DataFrame, total: int) -> DataFrame:
+    """``_host`` and, for its last one and last two labels, the log-share of pages and of hosts that these have."""
+    hosts = written(urls.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("host <> ''"), "hosts")
     suffixes = hosts.select("pages", F.explode(F.array(F.substring_index("host", ".", -1), F.substring_index("host", ".", -2))).alias("suffix"))
-    counted = suffixes.groupBy("suffix").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("hosts"))
-    return counted.orderBy(F.col("pages").desc(), "suffix").limit(SUFFIXES)
+    counted = written(suffixes.groupBy("suffix").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("hosts")), "suffixes")
+    out = hosts.select(F.col("host").alias("_host"))
+    for name, labels in (("last", -1), ("domain", -2)):
+        of = counted.select(F.col("suffix").alias(f"_{name}"), *[
+            F.log1p(F.col(c) * 1e6 / max(total, 1)).alias(f"{name}_{c}") for c in ("pages", "hosts")])
+        out = out.join(of, F.substring_index("_host", ".", labels) == of[f"_{name}"], "left").drop(f"_{name}")
+    return out
 
 
 def features(ruled: DataFrame) -> DataFrame:
     """``ruled`` with a vector of lexical features and suffix statistics."""
     staged = ruled.withColumn("_url", F.coalesce("url", F.lit("")))
-    statistics = written(_suffix_statistics(staged), "suffixes")
-    total = staged.count()
-    for name, labels in (("last", -1), ("domain", -2)):
-        of = statistics.select(F.col("suffix").alias(f"_{name}"), *[
-            F.log1p(F.col(c) * 1e6 / max(total, 1)).alias(f"{name}_{c}") for c in ("pages", "hosts")])
-        # At most SUFFIXES rows.
-        staged = staged.join(F.broadcast(of), F.substring_index("host", ".", labels) == of[f"_{name}"], "left").drop(f"_{name}")
+    # As many rows as there are hosts; written, so that small ones are broadcast and hot hosts split at run time.
+    statistics = written(_host_statistics(staged, staged.count()), "host-statistics")
+    staged = staged.join(statistics, staged["host"] == statistics["_host"], "left").drop("_host")
     extra = [f"{name}_{c}" for name in ("last", "domain") for c in ("pages", "hosts")]
     staged = staged.select(*ruled.columns, *[f().cast("double").alias(f"f_{n}") for n, f in FEATURES.items()], *[
         F.coalesce(F.col(c), F.lit(0.0)).alias(f"f_{c}") for c in extra])

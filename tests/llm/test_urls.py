@@ -62,3 +62,10 @@ def test_nothing_to_learn_from(spark):
     found = urls.verdicts(pages(spark, ["http://a.org/", "http://b.org/", None]))
     assert rows(found, "page_id", "verdict") == [(0, "allow"), (1, "allow"), (2, "allow")]
     assert urls.verdicts(pages(spark, URLS).where("false")).count() == 0
+
+
+def test_every_suffix_counts(spark):
+    data = [f"http://www.d{i}.t{i % 1500}/x" for i in range(3000)] + [None, "nothing"]
+    shaped = urls.features(urls.with_rules(pages(spark, data))).select("page_id", "features").collect()
+    assert len(shaped) == len(data)
+    assert all((min(r["features"].toArray()[-4:]) > 0) == (r["page_id"] < 3000) for r in shaped)
