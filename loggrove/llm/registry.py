@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("exact", "warc", "mixing", "near", "decontam", "licences", "repeats", "secrets", "urls", "toxicity")
+_MODULES = ("exact", "warc", "mixing", "near", "decontam", "licences", "repeats", "secrets", "urls", "toxicity", "quality", "negatives", "resampling")
 
 
 def query(sql: str | None = None):
