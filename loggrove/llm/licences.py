@@ -2,12 +2,16 @@
 
 Texts are cut into lines, and long lines into stretches of PIECE words that overlap. Paragraphs of
 several lines, that is lines up to one without words, also give overlapping stretches of JOINED
-words across their lines, so that wrapped notices stand whole in one of them. A piece is the set of its words and neighbouring word pairs, hashed. A multinomial logistic regression,
-fitted on the templates below in many damaged and surrounded forms and on a bounded sample of
-ordinary pieces of the corpus, gives the chance of each licence family and of none. A second
-regression on pieces held out from the first turns the lead of the best family over none into
-the chance that the family is right; below a half the piece counts as a licence unknown to
-us. A family stays only if the piece also holds most word pairs of one of its templates.
+words across their lines, so that wrapped notices stand whole in one of them. A piece is the set
+of its words and neighbouring word pairs, hashed. A multinomial logistic regression, fitted on the
+templates below in many damaged and surrounded forms, on notices of other licences and on a bounded
+sample of ordinary pieces of the corpus, gives the chance of each licence family, of a licence
+unknown to us, and of none.
+
+Two further regressions on pieces held out from the first turn its odds into chances: that a piece
+is a licence of any kind, and that its best family is right. For the first, whole licences are held
+out, so it is calibrated on notices of which the classifier has never seen a word. A licence whose
+family is not sure, or of whose templates a piece holds too few word pairs, is unknown.
 
 All of this is DataFrame expressions and Spark's own learners; nothing runs in Python workers.
 """
@@ -74,21 +78,79 @@ TEMPLATES = {
         "This document is confidential and proprietary and may not be reproduced without written permission.",
     ),
 }
-# Sentences that sound like licences and belong to no family.
+# Short public notices of licences outside these families. Together they teach the unknown class.
+UNKNOWN = {
+    "eclipse": (
+        "Licensed under the Eclipse Public License.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the project's site.",
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "artistic": (
+        "This package is free software; you may redistribute it under the terms of the Artistic License 2.0.",
+        "You are entitled to copy, modify and distribute verbatim copies of the standard version of this package.",
+    ),
+    "cddl": (
+        "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+        "You may not use this file except in compliance with the license, a copy of which is included with the software.",
+    ),
+    "ofl": (
+        "This font software is licensed under the SIL Open Font License, Version 1.1.",
+        "This license is available with frequently asked questions and the fonts may be bundled, embedded and redistributed.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "eupl": (
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "You may not use this work except in compliance with the European Union Public Licence.",
+    ),
+    "odbl": (
+        "This database is made available under the Open Database License.",
+        "Any rights in individual contents of the database are licensed under the Database Contents License.",
+    ),
+    "wtfpl": (
+        "You just do what you want to under the terms of this public license.",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document.",
+    ),
+    "commercial": (
+        "Use of this software requires a valid commercial license agreement with the vendor.",
+        "The software may be used for evaluation only; redistribution is prohibited without a license.",
+    ),
+}
+# Sentences that sound like licences and are none.
 OTHERS = (
     "The driver had no valid license when the car was stopped.", "A fishing license costs twelve dollars a year.",
     "The version of the story that the public was told is wrong.", "Permission to land was refused by the tower.",
-    "Licensed under the Eclipse Public License.", "Distributed under the Boost Software License.",
     "The general public reserved all seats in the software museum.", "The commons were open to the public for free.",
+    "This vehicle needs a license plate in all states of the union.", "The poet took a certain license with the dates of the war.",
+    "Her terms were clear, and the work was done under them without a word.", "He was granted leave to copy the old letters in the library.",
+    "The restaurant lost its liquor license after a fight in the kitchen.", "All the rights and wrongs of the matter were discussed at length.",
+    "They distributed free bread to anyone who stood in the line.", "No warranty of good weather was given for the long journey.",
+    "The software on the old machine was written by a student.", "Without permission from his father he could not use the boat.",
 )
 
 FAMILIES = tuple(TEMPLATES)
+OTHER_LICENCE = len(FAMILIES) + 1  # the label of the unknown class
+ASIDE = 3  # every so many-th unknown licence is seen by the calibration alone
 PIECE, OVERLAP = 80, 20  # words of a piece, and of those that the next one has too
 JOINED, STEP = 40, 15  # words of a piece across lines, and from one such piece to the next: templates have 25 at most
-PLACES = 1 << 14
+PLACES = 1 << 15
 ORDINARY = 4_000  # ordinary pieces that the classifier is fitted on at most
 SAMPLED_DOCS = 2_000  # documents that these are taken from, about
 FORMS = 24  # damaged and surrounded forms of each template
+UNKNOWN_FROM = 0.9  # chance of a licence from which a piece counts as an unknown one: ordinary pieces are far more
 CONFIRMED = 0.6  # share of a template's word pairs that a piece must hold
 CUES = "licen[sc]|copyright|rights reserved|redistribut|public domain|creative commons|permission|spdx"
 
@@ -101,7 +163,8 @@ def pieces_of(text: Column) -> Column:
     """Word lists of a text's pieces, those of lines first; lines without words give none."""
     # Comment marks hold no words, so a line of them alone ends a paragraph and others' are not seen.
     paragraphs = F.split(F.coalesce(text, F.lit("")), r"\n(?:[^\p{L}\p{N}\n]*\n)+")
-    wrapped = F.transform(F.filter(paragraphs, lambda t: t.rlike(r"[\p{L}\p{N}][^\n]*\n[^\n]*[\p{L}\p{N}]")), word_list)
+    several = lambda t: F.size(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))) > 1
+    wrapped = F.transform(F.filter(paragraphs, several), word_list)
     joined = F.flatten(F.transform(wrapped, lambda w: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(w) - (JOINED - STEP) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(w, i + 1, JOINED))))
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), word_list), lambda w: F.size(w) > 0)
@@ -122,10 +185,13 @@ def _hashed(frame: DataFrame) -> DataFrame:
 
 
 def _fixed(spark: SparkSession) -> DataFrame:
-    """The templates and other sentences: ``label`` (0 for no family), ``number`` and ``words``."""
-    texts = [(i, t) for i, family in enumerate(FAMILIES, 1) for t in TEMPLATES[family]] + [(0, t) for t in OTHERS]
-    rows = F.array(*[F.struct(F.lit(float(i)).alias("label"), F.lit(n).alias("number"), F.lit(t).alias("text")) for n, (i, t) in enumerate(texts)])
-    return spark.range(1).select(F.inline(rows)).select("label", "number", word_list(F.col("text")).alias("words"))
+    """All fixed sentences: ``label`` (0 for no licence), ``number``, ``aside`` (for the calibration alone) and ``words``."""
+    texts = [(i, False, t) for i, family in enumerate(FAMILIES, 1) for t in TEMPLATES[family]]
+    texts += [(OTHER_LICENCE, i % ASIDE == ASIDE - 1, t) for i, notices in enumerate(UNKNOWN.values()) for t in notices]
+    texts += [(0, False, t) for t in OTHERS]
+    rows = F.array(*[F.struct(F.lit(float(i)).alias("label"), F.lit(n).alias("number"), F.lit(aside).alias("aside"), F.lit(t).alias("text"))
+                     for n, (i, aside, t) in enumerate(texts)])
+    return spark.range(1).select(F.inline(rows)).select("label", "number", "aside", word_list(F.col("text")).alias("words"))
 
 
 def _ordinary(docs: DataFrame) -> DataFrame:
@@ -139,63 +205,81 @@ def _ordinary(docs: DataFrame) -> DataFrame:
 
 
 def training(docs: DataFrame) -> DataFrame:
-    """``label`` (0 none, else the family's number), ``words`` and ``fold`` of what the classifier is fitted on."""
+    """``label`` (0 none, else the family's number), ``words`` and ``fold`` (0 for the calibration) of what is learned from."""
     ordinary = written(_ordinary(docs), "ordinary-pieces")
-    n = max(ordinary.count(), 1)
+    own_fold = F.pmod(F.xxhash64("words"), F.lit(4))
+    # Only pieces that are learned as ordinary too stand around licences; else their words would tell of licences.
+    beside = written(ordinary.where(own_fold > 0).select(
+        (F.row_number().over(Window.orderBy("number")) - 1).alias("beside"), F.slice("words", 1, 30).alias("around")), "beside-pieces")  # ORDINARY rows at most
+    n = max(beside.count(), 1)
     forms = _fixed(docs.sparkSession).withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(FORMS - 1))))
-    # Every form but the first loses some words; every third has ordinary words around it.
+    # Every form but the first loses some words; every third has ordinary words around it. Of the licences that are
+    # for the calibration alone these are left out: a line of its own is what tells that a licence is there.
     kept = F.filter("words", lambda w, i: (F.col("form") == 0) | (F.pmod(F.xxhash64(w, i, F.col("form"), F.col("number")), F.lit(100)) >= F.pmod(F.col("form"), F.lit(4)) * 6))
-    forms = forms.select("label", "number", "form", kept.alias("words"), F.pmod(F.xxhash64("number", "form"), F.lit(n)).cast("int").alias("beside"))
-    around = ordinary.select(F.col("number").alias("beside"), F.slice("words", 1, 30).alias("around"))
+    fold = F.when(F.col("label") == OTHER_LICENCE, F.when(~F.col("aside"), 1).when(F.col("form") % 3 != 2, 0)).otherwise(F.pmod(F.xxhash64("number", "form"), F.lit(4)))
+    forms = forms.select("label", "number", "form", kept.alias("words"), fold.alias("fold"), F.pmod(F.xxhash64("number", "form"), F.lit(n)).cast("int").alias("beside"))
     wrapped = F.when((F.col("form") % 3 == 2) & F.col("around").isNotNull(), F.concat(F.slice("around", 1, 15), "words", F.slice("around", 16, 15))).otherwise(F.col("words"))
-    fixed = forms.join(F.broadcast(around), "beside", "left").select("label", wrapped.alias("words"), F.pmod(F.xxhash64("number", "form"), F.lit(4)).alias("fold"))
-    plain = ordinary.select(F.lit(0.0).alias("label"), "words", F.pmod(F.xxhash64("words"), F.lit(4)).alias("fold"))
-    return fixed.union(plain).where(F.size("words") > 0)
+    fixed = forms.join(F.broadcast(beside), "beside", "left").select("label", wrapped.alias("words"), "fold")
+    plain = ordinary.select(F.lit(0.0).alias("label"), "words", own_fold.alias("fold"))
+    return fixed.union(plain).where("size(words) > 0 AND fold IS NOT NULL")
 
 
 def _judged(model: LogisticRegressionModel, hashed: DataFrame) -> DataFrame:
-    """``hashed`` with the best family's number ``best``, its ``lead`` over none, and the chance of ``none``."""
+    """``hashed`` with the best family's number ``best``, its ``lead`` over none and unknown, and the ``odds`` of any licence; both as logarithms."""
     chances = model.transform(hashed).withColumn("_p", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction", "features")
     families = F.slice("_p", 2, len(FAMILIES))
-    top = F.array_max(families)
-    return chances.withColumn("none", F.get("_p", F.lit(0))).withColumn("best", F.array_position(families, top).cast("int")).withColumn(
-        "lead", F.log(F.greatest(top, F.lit(1e-12))) - F.log(F.greatest(F.col("none"), F.lit(1e-12)))).drop("_p")
+    top, none = F.array_max(families), F.get("_p", F.lit(0))
+    log = lambda x: F.log(F.greatest(x, F.lit(1e-12)))
+    return chances.withColumn("best", F.array_position(families, top).cast("int")).withColumn(
+        "lead", log(top) - log(none + F.get("_p", F.lit(OTHER_LICENCE)))).withColumn("odds", log(1 - none) - log(none)).drop("_p")
+
+
+def _line(rows: DataFrame, feature: str, right: Column) -> tuple[float, float]:
+    """Slope and offset that turn a feature into the chance that ``right`` holds."""
+    marked = rows.select(feature, right.cast("double").alias("right"))
+    if marked.select("right").distinct().count() < 2:
+        return 1.0, 0.0
+    line = LogisticRegression(featuresCol="x", labelCol="right", regParam=1e-3).fit(VectorAssembler(inputCols=[feature], outputCol="x").transform(marked))
+    return float(line.coefficients[0]), float(line.intercept)
 
 
-def _learned(rows: DataFrame) -> tuple[LogisticRegressionModel, float, float]:
-    """The classifier, and slope and offset of its calibration."""
+def _learned(rows: DataFrame) -> tuple[LogisticRegressionModel, tuple[float, float], tuple[float, float]]:
+    """The classifier, and the calibrations of any licence and of the best family."""
     hashed = written(_hashed(rows), "licence-training")
     model = LogisticRegression(family="multinomial", maxIter=60, regParam=2e-4, elasticNetParam=0.0).fit(hashed.where("fold > 0").select("label", "features"))
-    asked = _judged(model, hashed.where("fold = 0"))
-    marked = asked.withColumn("right", (F.col("best") == F.col("label")).cast("double"))
-    if marked.select("right").distinct().count() < 2:
-        return model, 1.0, 0.0
-    line = LogisticRegression(featuresCol="x", labelCol="right", regParam=1e-3).fit(VectorAssembler(inputCols=["lead"], outputCol="x").transform(marked))
-    return model, float(line.coefficients[0]), float(line.intercept)
+    asked = written(_judged(model, hashed.where("fold = 0")).select("label", "best", "lead", "odds"), "licence-calibration")
+    return model, _line(asked, "odds", F.col("label") > 0), _line(asked, "lead", F.col("best") == F.col("label"))
 
 
 def judged_pieces(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Pieces that look like licences, and a row without piece for every document: the ``keep``
-    columns, ``family`` (a name, 'unknown' or null), ``chance`` and ``words``."""
-    model, slope, offset = _learned(training(docs))
+    columns, ``family`` (a name, 'unknown' or null), ``chance`` (of the family, or of any licence where that is unknown) and ``words``.
+
+    Rows are not told apart but by ``keep``. Null, empty and wordless texts give the row without piece alone, and an
+    empty table nothing. Texts of any length are cut in time in proportion to it, whether they have lines or not.
+    """
+    model, any_line, family_line = _learned(training(docs))
     pieces = docs.select(*keep, F.explode(F.concat(F.array(F.array().cast("array<string>")), pieces_of(F.col("text")))).alias("words"))
-    seen = _judged(model, _hashed(pieces)).withColumn("chance", 1 / (1 + F.exp(-(slope * F.col("lead") + offset))))
-    likely = (F.size("words") > 0) & ((F.col("chance") >= 0.5) | (F.col("none") < 0.5))
+    chance = lambda feature, line: 1 / (1 + F.exp(-(line[0] * F.col(feature) + line[1])))
+    seen = _judged(model, _hashed(pieces)).withColumn("licence", chance("odds", any_line)).withColumn("chance", chance("lead", family_line))
+    likely = (F.size("words") > 0) & ((F.col("chance") >= 0.5) | (F.col("licence") >= UNKNOWN_FROM))
     found = seen.where((F.size("words") == 0) | likely).withColumn("_pairs", F.array_distinct(word_pairs(F.col("words"))))
     # As many rows as there are families.
-    known = _fixed(docs.sparkSession).where("label > 0").select(F.col("label").cast("int").alias("_label"), F.array_distinct(word_pairs(F.col("words"))).alias("_template"))
+    known = _fixed(docs.sparkSession).where((F.col("label") > 0) & (F.col("label") < OTHER_LICENCE)).select(
+        F.col("label").cast("int").alias("_label"), F.array_distinct(word_pairs(F.col("words"))).alias("_template"))
     known = known.groupBy("_label").agg(F.collect_list("_template").alias("_templates"))
     compared = found.join(F.broadcast(known), F.col("best") == F.col("_label"), "left")
     shares = F.transform("_templates", lambda t: F.size(F.array_intersect("_pairs", t)) / F.size(t))
     sure = (F.col("chance") >= 0.5) & (F.array_max(shares) >= CONFIRMED)
     named = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("best") - 1)
-    family = F.when(F.size("words") == 0, F.lit(None)).when(sure, named).otherwise("unknown")
-    return compared.select(*keep, family.alias("family"), F.when(F.size("words") > 0, F.col("chance")).alias("chance"), "words")
+    family = F.when(F.size("words") == 0, F.lit(None)).when(sure, named).when(F.col("licence") >= UNKNOWN_FROM, "unknown")
+    return compared.select(*keep, family.alias("family"), F.when(sure, F.col("chance")).when(F.size("words") > 0, F.col("licence")).alias("chance"), "words").where(
+        "family IS NOT NULL OR size(words) = 0")
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id``, ``families`` (confirmed ones by name, comma-joined), ``n_confirmed`` and
-``n_unknown`` (pieces, which overlap) and ``chance`` (the highest calibrated chance of a confirmed piece, or null).
+    ``n_unknown`` (pieces, which overlap) and ``chance`` (the highest calibrated chance of a confirmed piece, or null).
 
     * Null, empty and wordless texts have no pieces and no licence. Whole texts are read, in pieces.
     * Repeated rows are judged each for itself; null ids stay null. An empty table gives none.

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -77,3 +78,33 @@ def test_wrapped_notices(spark):
     texts += [f"{line(20)}\n{line(30)}" for _ in range(100)]
     found = dict(rows(licences.licence_scan(documents(spark, texts)), "doc_id", "families"))
     assert [found[i] for i in range(1, len(texts) + 1)] == wanted + [""] * 100
+
+
+def test_licences_outside_the_families_are_unknown(spark):
+    """Also ones of which no sentence is learned, and none of it in ordinary texts."""
+    random.seed(10)
+    line = lambda n: " ".join("".join(random.choices("aeinorstl", k=random.randint(1, 9))) for _ in range(n))
+    notices = [
+        "This program is made available under the terms of the Eclipse Public License 2.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE or copy at the site)",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "This source file is subject to version 3.01 of the PHP license, that is bundled with this package in the file LICENSE.",
+        "You may use this software under the terms of the Ruby License, a copy of which is included in this distribution.",
+    ]
+    texts = [f"{line(20)}\n{notice}\n{line(30)}" for notice in notices] + [f"{line(20)}\n{line(30)}" for _ in range(150)]
+    texts += ["A hunting license can be bought in the shop.", "The terms of the treaty were read to the public."]
+    found = {r["doc_id"]: r for r in licences.licence_scan(documents(spark, texts)).collect()}
+    assert all(found[i]["n_unknown"] > 0 and found[i]["families"] == "" for i in range(1, len(notices) + 1))
+    assert sum(found[i]["n_unknown"] + found[i]["n_confirmed"] for i in range(len(notices) + 1, len(texts) + 1)) == 0
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    """A line of 400,000 characters without a newline, and one with its only notice at the end."""
+    words = "word of a long line " * 20_000
+    started = time.time()
+    texts = [words, words + "Released under the MIT License."] + [f"some ordinary words number {i} stand here" for i in range(30)]
+    found = {r["doc_id"]: r for r in licences.licence_scan(documents(spark, texts)).collect()}
+    assert found[1]["n_confirmed"] == 0 and time.time() - started < 90
+    cut = documents(spark, [words, words + "\n" + words]).select(licences.pieces_of("text").alias("p"))
+    started = time.time()
+    assert cut.selectExpr("sum(size(p))").first()[0] > 5000 and time.time() - started < 30
