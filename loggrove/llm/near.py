@@ -15,7 +15,8 @@ was not tried before, so no possible link between different components is left u
 A region of more than REGION documents is crowded. In the first pass its depth grows, 8, 16, 32
 values, and at the greatest depth it is dealt into chunks: that joins most of what belongs
 together, and misses some. In the second pass all members of crowded regions go through an exact
-join instead: sets that overlap enough share one of their rarest shingles.
+join instead: sets that overlap enough share one of their rarest shingles. The sets that meet under
+a shingle are compared there, in full, and only links that join two components leave the task.
 
 Documents of equal sets are one node, found before anything is paired.
 """
@@ -39,6 +40,7 @@ HASHES = TREES * FIRST
 DEPTHS = (4, 8, 16, 32)
 REGION = 128
 GROUP = 1024  # a shingle of more members than about this is dealt into blocks, and every two blocks meet
+GROUP_IDS = 1 << 20  # likewise where its members' sets have more shingles together
 BUCKETS = 1 << 20  # shingles are counted in so many buckets; the counts only order them
 # Of 64 signature bits, two sets of similarity 0.8 differ in 6.4 on average and in over 22 with a chance of 2e-8.
 # Of the low bytes of 256 further minima they differ in 51 on average and in over 90 with a chance of 4e-9.
@@ -324,67 +326,100 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n", "signature", "comp", "members").mapInArrow(run, "key long, node long, n long, sketch binary, comp long, short boolean")
 
 
-def _met_in_crowds(sets: DataFrame, group: int = GROUP) -> DataFrame:
-    """All pairs (a < b) of sets in different components that can be links, by the shingles of their prefixes."""
+class _Group:
+    """Sets that share a shingle of their prefixes: which are linked, told from the full sets."""
+
+    def __init__(self, node, n, sketch, comp, short, block, members, offsets):
+        self.node, self.n, self.sketch, self.short, self.block = node, n, sketch, short, block
+        self.members, self.offsets = members, offsets
+        self.label = np.unique(comp, return_inverse=True)[1]
+
+    def links(self, spanning: bool) -> list[tuple[int, int]]:
+        """Pairs of places whose sets have 100 * intersection >= 80 * union and lie in different components; if
+        ``spanning`` only those that join two components that no earlier pair has joined."""
+        names = np.unique(self.members, return_inverse=True)[1] if len(self.members) else self.members
+        mark, out = np.zeros(len(self.members) + 1, bool), []
+        meeting = self.block.min() != self.block.max()
+        for x in range(len(self.node)):
+            # Sets no larger than x, each with its short prefix; of equal ones each pair once.
+            other = self.short & (100 * self.n >= SIMILARITY * self.n[x]) & ((self.n < self.n[x]) | ((self.n == self.n[x]) & (self.node < self.node[x])))
+            other &= self.label != self.label[x]
+            if meeting:
+                other &= self.block != self.block[x]
+            other = np.flatnonzero(other)
+            distance, most = _distance(self.sketch[x], self.sketch[other])
+            near = distance <= most
+            other = other[near][np.argsort(distance[near], kind="stable")]
+            own = names[self.offsets[x]:self.offsets[x + 1]]
+            mark[own] = True
+            for at in range(0, len(other), 64):  # the likeliest first: once x is joined, most others are in its component
+                asked = other[at:at + 64]
+                if spanning:
+                    asked = asked[self.label[asked] != self.label[x]]
+                common = np.array([np.count_nonzero(mark[names[self.offsets[y]:self.offsets[y + 1]]]) for y in asked], np.int64)
+                for y in asked[100 * common >= SIMILARITY * (self.n[x] + self.n[asked] - common)]:
+                    if spanning:
+                        if self.label[y] == self.label[x]:
+                            continue
+                        self.label[self.label == self.label[y]] = self.label[x]
+                    out.append((x, y))
+            mark[own] = False
+        return out
+
+
+def _met_in_crowds(sets: DataFrame, group: int = GROUP, spanning: bool = False) -> DataFrame:
+    """Links (a < b) between sets of different components that share a shingle of their prefixes, confirmed on the full sets.
+
+    All of them, or with ``spanning`` as many as join the components that meet under a shingle: one fewer than its members at most.
+    """
     rows = written(_prefixes(sets), "prefixes")
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("short").alias("any"))
-    heavy = written(often.where(F.col("times") > group).withColumn("torn", F.col("any") & (F.col("low") < F.col("high"))).select("key", "times", "torn"), "heavy-shingles")
-    if not heavy.isEmpty():
-        marked = rows.join(heavy, "key", "left")
-        blocks = F.ceil(F.col("times") / group)
-        mine = F.pmod(F.xxhash64("node", "key"), blocks)
-        # Every two blocks meet under a key of their own.
-        meetings = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
-        dealt = marked.where("torn").withColumn("key", F.explode(meetings))
-        columns = ("key", "node", "n", "sketch", "comp", "short")
-        rows = marked.where("torn IS NULL").select(*columns).unionByName(dealt.select(*columns))
-
-    def of_group(node, n, sketch, comp, short):
-        other = np.flatnonzero(short)
-        out = []
-        for at in range(0, len(node), 256):  # bounds the distances kept at a time
-            mine = np.arange(at, min(at + 256, len(node)))
-            distance, most = _distance(sketch[mine][:, None], sketch[other][None, :])
-            fits = (distance <= most) & (comp[mine][:, None] != comp[other][None, :]) & (n[other][None, :] <= n[mine][:, None])
-            fits &= 100 * n[other][None, :] >= SIMILARITY * n[mine][:, None]
-            x, y = np.nonzero(fits)
-            out.append((node[mine[x]], node[other[y]]))
-        x, y = (np.concatenate(z) for z in zip(*out))
-        return np.minimum(x, y), np.maximum(x, y)
-
-    def resolve(parts):
-        key, rest = parts[0], parts[1:]
-        if not len(key):
-            return None
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("ids"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("short").alias("any"))
+    # Only shingles whose sets are not all of one component are of use.
+    torn = written(often.where(F.col("any") & (F.col("low") < F.col("high"))).select(
+        "key", F.greatest(F.ceil(F.col("times") / group), F.ceil(F.col("ids") / GROUP_IDS)).alias("blocks")), "torn-shingles")
+    mine = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
+    # Every two blocks of a shingle meet under a key of their own.
+    meetings = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
+    dealt = rows.join(torn, "key").select(F.explode(F.when(F.col("blocks") > 1, meetings).otherwise(F.array("key"))).alias("key"), "node", "n", "sketch", "comp", "short", mine.alias("block"))
+    dealt = dealt.join(sets.select("node", "members"), "node").select("key", "node", "n", "sketch", "comp", "short", "block", "members")
+    names = ("key", "node", "n", "comp", "short", "block")
+
+    def resolve(held):
+        key, node, n, comp, short, block, sketch, members, sizes = held
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        comp, short = rest[3], rest[4]
-        torn = (np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)) & np.logical_or.reduceat(short, starts)
-        ends = np.append(starts[1:], len(key))
-        found = [of_group(*[x[start:end] for x in rest]) for start, end in zip(starts[torn], ends[torn])]
-        if not found:
-            return None
-        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        a, b = [], []
+        for start, end in zip(starts, np.append(starts[1:], len(key))):
+            one = slice(start, end)
+            if comp[one].min() == comp[one].max() or not short[one].any():
+                continue
+            found = _Group(node[one], n[one], sketch[one], comp[one], short[one], block[one], members[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start])
+            for x, y in found.links(spanning):
+                a.append(min(node[start + x], node[start + y]))
+                b.append(max(node[start + x], node[start + y]))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
     def run(batches):
-        kept = None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "comp", "short")]
-            parts.insert(3, text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1))
-            if kept is not None:
-                parts = [np.concatenate(x) for x in zip(kept, parts)]
+            lists = batch.column("members")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            parts += [text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1), lists.values.to_numpy()[offsets[0]:offsets[-1]], np.diff(offsets)]
+            if held is not None:
+                parts = [np.concatenate(x) for x in zip(held, parts)]
             last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last shingle may go on in the next batch
-            kept = [x[last:] for x in parts]
-            found = resolve([x[:last] for x in parts])
-            if found is not None:
-                yield found
-        found = resolve(kept) if kept is not None else None
-        if found is not None:
-            yield found
+            before = int(parts[8][:last].sum())
+            cut = [last] * 7 + [before, last]
+            if last:
+                yield resolve([x[:i] for x, i in zip(parts, cut)])
+            held = [x[i:] for x, i in zip(parts, cut)]
+        if held is not None:
+            yield resolve(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def _member_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -455,15 +490,14 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
     torn = regions.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     regions = regions.join(torn, "key", "left_semi").join(sets.select("node", "sketch"), "node")
     untried = _proposals(regions, across=True)
+    second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
+    found = [links, written(_confirmed(second, sets), "confirmed")]
     if crowded is not None:
         known = nodes.select("node", "n", "signature").join(crowded, "node").join(labels, "node", "left")
-        met = _met_in_crowds(known.withColumn("comp", F.coalesce("comp", "node")).join(sets.select("node", "members"), "node"))
-        untried = untried.union(met).distinct()
-    second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
-    if not second.isEmpty():
-        more = written(_confirmed(second, sets), "confirmed")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        known = known.withColumn("comp", F.coalesce("comp", "node")).join(sets.select("node", "members"), "node")
+        found.append(written(_met_in_crowds(known, spanning=True), "crowd-links"))
+    if any(not f.isEmpty() for f in found[1:]):
+        labels = components(reduce(DataFrame.union, found))
     joined = nodes.select("node", "k1", "k2", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Written, so that the join's large parts can be split at run time.
     smallest = written(joined.groupBy("comp").agg(F.min("doc_id").alias("component")), "smallest")
@@ -475,11 +509,33 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
 
 
 def without_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One document of each component, with all its columns. An id with several rows stays if one of them is kept."""
+    """One document of each component, with all its columns, whatever their names.
+
+    * Documents without shingles (null, empty and blank texts) stay. An empty table gives an empty result.
+    * An id with several rows stays if one of them is kept. Rows with a null id have no id to tell them apart:
+      those go whose set belongs to a component with an id, the others stay.
+    """
     found = written(near_components(docs, size), "near")
     kept = found.where("kept").select("doc_id").distinct()
     dropped = found.where("not kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti").withColumnRenamed("doc_id", "_dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    named = docs.where("doc_id IS NOT NULL")
+    out = named.join(dropped, named["doc_id"] == dropped["_dropped"], "left_anti")
+    unnamed = docs.where("doc_id IS NULL")
+    if found.where("doc_id IS NULL AND NOT kept").isEmpty():
+        return out.unionByName(unnamed)
+    return out.unionByName(_unnamed_kept(docs, unnamed, found, size))
+
+
+def _unnamed_kept(docs: DataFrame, unnamed: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """The rows without id whose component has none either: they are asked again with ids below all others."""
+    lowest = found.agg(F.min("component_id")).first()[0]
+    numbered = written(unnamed.select(F.struct(*unnamed.columns).alias("_document"), F.monotonically_increasing_id().alias("_place"), F.col("text")), "unnamed")
+    asked = numbered.select((F.lit(lowest) - 1 - F.col("_place")).alias("doc_id"), "text")
+    both = near_components(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(asked), size)
+    joined = both.withColumn("named", F.col("doc_id") >= lowest)
+    mixed = joined.groupBy("component_id").agg(F.max("named").alias("has_id"))
+    gone = joined.where("NOT named").join(mixed, "component_id").where("has_id").select((F.lit(lowest) - 1 - F.col("doc_id")).alias("_place"))
+    return numbered.join(gone, "_place", "left_anti").select("_document.*")
 
 
 @query()

@@ -116,3 +116,30 @@ def test_near_copies_among_many_long_texts(spark):
     texts += [t + " and some more" for t in texts[:6]]
     found = {r["doc_id"]: r["component_id"] for r in near.near_components(documents(spark, texts), size=2, limit=4).collect()}
     assert found == {i: i if i <= 20 else i - 20 for i in range(1, 27)}
+
+
+@pytest.mark.parametrize("group", [8, 1024])
+def test_spanning_links_join_the_same_components(spark, group):
+    """Links that leave the tasks are true ones, fewer than all, and give the components of all of them."""
+    texts = [t for t in corpus() if t]
+    size = 2
+    made = near.signatures(documents(spark, texts), size).where("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    nodes = made.withColumn("node", F.col("doc_id")).withColumn("comp", F.col("doc_id"))
+    sets = near._member_sets(nodes.select("node"), nodes, documents(spark, texts), size)
+    given = nodes.join(sets.select("node", "members"), "node")
+    every = {tuple(r) for r in near._met_in_crowds(given, group).collect()}
+    few = near._met_in_crowds(given, group, spanning=True)
+    links = {tuple(r) for r in few.collect()}
+    assert links <= every and 20 < len(links) < len(every)
+    of_few = {r["node"]: r["comp"] for r in near.components(few).collect()}
+    plain = near_components(list(enumerate(texts, 1)), size)
+    least = {r["node"]: plain[r["node"]][1] for r in nodes.select("node").collect()}
+    assert all(of_few[a] == of_few[b] for a, b in every) and all(least[i] == least[c] for i, c in of_few.items())
+
+
+def test_rows_without_id_that_are_copies_go(spark):
+    a, b = "a b c d e f g h i j", "p q r s t u v w x y"
+    docs = documents(spark, [a, a, b, None, "z", a], ids=[4, None, None, None, 7, 9])
+    kept = near.without_near_copies(docs)
+    assert rows(kept, "doc_id", "text") == sorted([(4, a), (None, b), (None, None), (7, "z")], key=repr)
