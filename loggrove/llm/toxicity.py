@@ -215,8 +215,14 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns, whatever their names.
+
+    Null, empty and wordless texts have the score of no terms; repeated rows are judged alike, and null ids like others.
+    Where nothing was learned (no labels, labels of one kind, no telling term) all documents stay.
+    """
     machine = fit(docs, labels, rows)
+    if not len(machine.known):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(machine.numbers())
 
     def run(batches):

@@ -73,3 +73,9 @@ def test_removal_keeps_columns(spark):
     kept = toxicity.without_toxic(docs, label_table(spark, labels))
     wanted = toxicity.toxic_scores(docs, label_table(spark, labels)).where("predicted = 0")
     assert kept.columns == docs.columns and rows(kept, "doc_id") == rows(wanted, "doc_id")
+
+
+def test_without_labels_all_documents_stay(spark):
+    docs = documents(spark, ["a b", None, "c"])
+    assert toxicity.without_toxic(docs, label_table(spark, [1]).where("false")).count() == 3
+    assert toxicity.without_toxic(docs, label_table(spark, [1, 1, 1])).count() == 3
