@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loggrove.operators import forest as forests
-from loggrove.operators.clean import coerce, drop_invalid, known
+from loggrove.operators.clean import coerce, drop_invalid, known, recognized
 from loggrove.operators.forest import ForestParams
 from loggrove.operators.prefix import prefix_features
 from loggrove.operators.retention import Normalizer, Policy
@@ -15,15 +15,18 @@ from loggrove.plans.early_warning import train_early_warning
 from loggrove.queries.arrival_level import EVENT_TYPES, prefix_sql
 from loggrove.queries.block_level import features_sql
 from loggrove.queries.registry import query
+from loggrove.queries.rendered import HDFS_SQL, hdfs_lines
 from loggrove.queries.scored import USER_BLOCKS, user_blocks
 from loggrove.queries.scoring import ratio
 from loggrove.queries.sqltext import events_log as events_sql
 from loggrove.schema import ARRIVAL_SEQ, ENCODED_COLUMNS, FEATURE_COLUMNS, PREFIX_FIXED_COLUMNS
 from loggrove.scratch import scratch_path, written
+from loggrove.sources.lines import stream_lines
+from loggrove.sources.registry import parse
 from loggrove.sources.tables import events_log, read_table
 from loggrove.streaming import blocks as stream_blocks, jobs, replay
 
-FILES = 3
+DELIVERIES, FILES = 3, 4  # deliveries follow each other, each of a few files
 KS = (3, 5, 10)
 
 
@@ -40,15 +43,58 @@ def event_stream(spark, folder, block):
         F.lit(0).cast("long").alias("pid"), "log_level", "component", "event_type", "block_id", "source_ip", "destination_ip", "block_size",
         F.concat("raw_message", F.lit(" #"), ARRIVAL_SEQ).alias("raw_message"))
     path = scratch_path(spark, "stream-in")
-    last = rows.agg(F.max(ARRIVAL_SEQ)).first()[0]
-    for number in range(FILES):
-        # Deliveries follow each other: a file stream takes the oldest file first.
-        part = rows.where(F.floor(F.col(ARRIVAL_SEQ) * FILES / F.lit(last + 1)) == number)
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    for part in deliveries(rows):
+        part.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(FILES)).parquet(path)
     return drop_invalid(coerce(stream))
 
 
+def deliveries(rows):
+    """The rows in DELIVERIES parts of consecutive arrival, each in FILES ranges: a file stream takes the oldest files first."""
+    last = rows.agg(F.max(ARRIVAL_SEQ)).first()[0]
+    for number in range(DELIVERIES):
+        part = rows.where(F.floor(F.col(ARRIVAL_SEQ) * DELIVERIES / F.lit((last or 0) + 1)) == number)
+        yield part.repartitionByRange(FILES, ARRIVAL_SEQ).sortWithinPartitions(ARRIVAL_SEQ)
+
+
+def streamed_lines(spark, folder):
+    """All rows that a stream of raw HDFS lines gives. Every tenth line is delivered a second time, a delivery later."""
+    lines = hdfs_lines(spark, folder)
+    path, checkpoint, out = (scratch_path(spark, x) for x in ("line-stream-in", "line-stream-state", "line-stream-out"))
+    before = None
+    for part in deliveries(lines):
+        again = part if before is None else part.unionByName(before)
+        before = part.where(F.col(ARRIVAL_SEQ) % 10 == 0)
+        again.select("value").write.mode("append").text(path)
+    before.select("value").write.mode("append").text(path)
+    batch = written(drop_invalid(coerce(recognized(parse(lines, "hdfs")))), "lines")
+    vocab = written(append_codes(batch.select(ARRIVAL_SEQ, *[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS])), "vocab")
+    events = stream_blocks.encoded_events(stream_lines(spark, path, 2 * FILES), "hdfs", vocab)
+    stream_blocks.block_stream(events, "hdfs", KS, timeout_seconds=None).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream_blocks.OUTPUT_SCHEMA).parquet(out), stream_blocks.open_blocks(spark, checkpoint)
+
+
+CONTENT = "date, time, pid, log_level, component, event_type, block_id, source_ip, destination_ip, block_size, raw_message"
+LINE_LOG = f"""(SELECT min(arrival_seq) AS arrival_seq, CAST(date || ' ' || time AS TIMESTAMP) AS datetime, block_id, log_level, component, event_type,
+  source_ip, destination_ip, block_size FROM ({HDFS_SQL}) WHERE date IS NOT NULL GROUP BY {CONTENT})"""
+
+
+@query(features_sql(LINE_LOG))
+def stream_features_of_raw_lines(spark, folder):
+    """Raw lines, streamed, parsed and folded by block: the features of each distinct line once."""
+    return streamed_lines(spark, folder)[1].select("block_id", *FEATURE_COLUMNS)
+
+
+@query(f"""SELECT block_id, CAST(count(DISTINCT ({CONTENT})) AS BIGINT) AS accepted,
+  CAST(count(*) + count(CASE WHEN arrival_seq % 10 = 0 THEN 1 END) - count(DISTINCT ({CONTENT})) AS BIGINT) AS duplicates
+  FROM ({HDFS_SQL}) WHERE date IS NOT NULL GROUP BY block_id""")
+def stream_duplicates_by_block(spark, folder):
+    """Lines that the stream took and those it had met before, across its batches."""
+    counts = streamed_lines(spark, folder)[0].where("kind = 'counts'")
+    return counts.groupBy("block_id").agg(F.sum("accepted").cast("long").alias("accepted"), F.sum("duplicates").cast("long").alias("duplicates"))
+
+
 def finished(spark, folder, block, source):
     """All rows of a run: what the stream emitted, then the blocks still in flight."""
     vocab = vocabulary(spark, folder, block)

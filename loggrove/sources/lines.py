@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loggrove.functions.text import first_group
 from loggrove.schema import ARRIVAL_CHUNK, ARRIVAL_SEQ
+from loggrove.sources.tail import LINES, SPLIT_BYTES, TailSource
 
 # --- fixed values: syslog envelopes ----------------------------------------
 RFC5424 = r"(?s)^<\d{1,3}>1 \S+ \S+ \S+ \S+ \S+ (?:-|(?:\[[^\]]*\])+) ?(.*)$"
@@ -30,20 +34,37 @@ def read_lines(spark: SparkSession, paths: str | list[str], source: str | None =
     return lines if source is None else lines.withColumn("source", F.lit(source))
 
 
+def _numbered(batches):
+    """Lines with a number that grows in the order a task reads them: a stream has no generated row ids."""
+    number = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.arange(number, number + batch.num_rows)), batch.column(1)], [ARRIVAL_CHUNK, ARRIVAL_SEQ, "value"])
+        number += batch.num_rows
+
+
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same shape from a folder that receives files.
+    """The same shape from a folder that receives whole files.
 
-    A stream has no generated row ids, so a delivered file is read as one text and its
-    lines are numbered as they are taken apart: deliveries should be small files.
+    A delivered file is cut into splits like a file of a batch, so a large one is read by many tasks;
+    a line that crosses a cut is read once, by the split it begins in. Chunks are splits, as in ``read_lines``.
     """
-    reader = spark.readStream.format("text").option("wholetext", "true")
+    reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
-    text = F.regexp_replace(F.make_valid_utf8("value"), r"(\r\n|\n|\r)\z", "")
-    return reader.load(path).select(
-        F.col("_metadata.file_path").alias(ARRIVAL_CHUNK),
-        F.posexplode(F.split(text, r"\r\n|\n|\r")).alias(ARRIVAL_SEQ, "value"),
-    ).withColumn(ARRIVAL_SEQ, F.col(ARRIVAL_SEQ).cast("long"))
+    lines = reader.load(path).select(
+        F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")).alias(ARRIVAL_CHUNK),
+        F.make_valid_utf8("value").alias("value"))
+    return lines.mapInArrow(_numbered, LINES)
+
+
+def tail_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same shape from files that grow: a chunk is a file, a line's number the byte it begins at.
+
+    See ``sources.tail``. A line is read once its line feed is there.
+    """
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format(TailSource.name()).option("splitBytes", str(split_bytes)).load(path)
 
 
 def topic_for(source: str) -> str:
