@@ -216,12 +216,13 @@ def _sparse(equal: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _proposals(regions: DataFrame, across: bool) -> DataFrame:
-    """Pairs (a < b) of nodes to be confirmed: sparse ones of each region, or all between components."""
+    """Pairs (a < b) of nodes to be confirmed: sparse ones of each region, or all between components but those of two
+    ``settled`` nodes."""
 
-    def of_region(node, n, sketch, comp):
+    def of_region(node, n, sketch, comp, settled):
         equal = _possible(n, sketch)
         if across:
-            equal[comp[:, None] == comp[None, :]] = 0
+            equal[(comp[:, None] == comp[None, :]) | (settled[:, None] & settled[None, :])] = 0
             left, right = np.nonzero(np.triu(equal))
         elif equal.any():
             left, right = np.array(_sparse(equal)).T
@@ -230,7 +231,7 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         return np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
 
     def resolve(parts):
-        key, node, n, sketch, comp = parts
+        key, node, n, sketch, comp, settled = parts
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(key)))
         twos = starts[sizes == 2]
@@ -238,14 +239,14 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         fits = (distance <= most) & (
             100 * np.minimum(n[twos], n[twos + 1]) >= SIMILARITY * np.maximum(n[twos], n[twos + 1]))
         if across:
-            fits &= comp[twos] != comp[twos + 1]
+            fits &= (comp[twos] != comp[twos + 1]) & ~(settled[twos] & settled[twos + 1])
         twos = twos[fits]
         out = [(np.minimum(node[twos], node[twos + 1]), np.maximum(node[twos], node[twos + 1]))]
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2]):
             one = slice(at, at + size)
-            if across and (comp[one] == comp[at]).all():
+            if across and ((comp[one] == comp[at]).all() or settled[one].all()):
                 continue
-            found = of_region(node[one], n[one], sketch[one], comp[one])
+            found = of_region(node[one], n[one], sketch[one], comp[one], settled[one])
             if found is not None:
                 out.append(found)
         a, b = (np.concatenate(x) for x in zip(*out))
@@ -256,7 +257,7 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch.column(c).to_numpy() for c in ("key", "node", "n", "comp")]
+            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "comp", "settled")]
             parts.insert(3, text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1))
             if kept is not None:
                 parts = [np.concatenate(x) for x in zip(kept, parts)]
@@ -266,7 +267,9 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         if kept is not None:
             yield resolve(kept)
 
-    placed = regions.repartition("key").sortWithinPartitions("key")
+    if "settled" not in regions.columns:
+        regions = regions.withColumn("settled", F.lit(False))
+    placed = regions.select("key", "node", "n", "sketch", "comp", "settled").repartition("key").sortWithinPartitions("key")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -489,6 +492,9 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
     # Only regions of several components are left, and finer sketches tell more pairs that can't be links.
     torn = regions.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     regions = regions.join(torn, "key", "left_semi").join(sets.select("node", "sketch"), "node")
+    if crowded is not None:  # two members of crowded regions meet in the exact join below
+        marked = crowded.withColumn("settled", F.lit(True))
+        regions = regions.join(marked, "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     untried = _proposals(regions, across=True)
     second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
     found = [links, written(_confirmed(second, sets), "confirmed")]
