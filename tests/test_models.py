@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,37 @@ def test_scores_do_not_depend_on_the_number_of_passes(spark):
     assert len(forests._tree_passes(forest, 90)) > 2
     pairs = once.join(often.select("block_id", F.col("score").alias("again")), "block_id")
     assert pairs.where(F.abs(F.col("score") - F.col("again")) > 1e-12).isEmpty() and pairs.count() == 300
+
+
+@pytest.mark.parametrize("folds", [1, 3])
+def test_candidates_equal_forests_grown_one_after_another(spark, blocks, folds):
+    """F1 of every candidate and fold as by growing its trees in a row on the same sample."""
+    candidates = [ForestParams(trees=23, rows_per_tree=0.5, contamination=0.1, feature_share=0.8), None,
+                  ForestParams(trees=10, rows_per_tree=64, bootstrap=True, contamination=0.05, features=TRAINING_FEATURES[:3], seed=9)]
+    frame = blocks.withColumn("fold", F.pmod(F.xxhash64("block_id"), F.lit(folds)).cast("int"))
+    found = {r["candidate"]: r for r in search.score_candidates(frame, candidates, folds).collect()}
+    names = list(TRAINING_FEATURES)
+    rows = frame.select(*[F.col(c).cast("double").alias(c) for c in names], (F.col("label") == "Anomaly").alias("y"), "fold").toPandas()
+    rows = rows.sort_values([*names, "y", "fold"])
+    fold, y = rows["fold"].to_numpy(), rows["y"].to_numpy()
+    for number, params in enumerate(candidates):
+        if params is None:
+            assert found[number]["mean_f1"] == 0
+            continue
+        values, scores = rows[list(params.features)].to_numpy(float), []
+        for f in range(folds):
+            test = fold == f if folds > 1 else np.ones(len(y), bool)
+            train = ~test if folds > 1 else test
+            fitted, parts = values[train], []
+            sample = params.sample_rows(len(fitted))
+            for tree in range(params.trees):
+                rng = np.random.default_rng([params.seed, tree])
+                own = fitted[rng.integers(0, len(fitted), sample)] if params.bootstrap else fitted[rng.permutation(len(fitted))[:sample]]
+                grown = forests.grow_tree(own, params.feature_share, rng)
+                parts.append(pd.DataFrame({**grown, "tree": tree, "node": np.arange(len(grown["rows"]))}))
+            paths = forests.mean_paths(forests.pack(pd.concat(parts)), values, forests._depth(sample))
+            score = forests.scores_from_paths(paths, sample)
+            flagged = score > -np.quantile(-score[train], params.contamination)
+            hit = (flagged & y & test).sum()
+            scores.append(2 * hit / ((flagged & test).sum() + (y & test).sum()) if hit else 0.0)
+        assert abs(found[number]["mean_f1"] - np.mean(scores)) < 0.02 and abs(found[number]["std_f1"] - np.std(scores)) < 0.02
