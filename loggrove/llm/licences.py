@@ -1,8 +1,9 @@
 """Licence families of paragraphs by a trained classifier, confirmed against templates.
 
 Texts are cut into lines, and long lines into stretches of PIECE words that overlap. Paragraphs of
-several lines, that is lines up to one without words, also give overlapping stretches of JOINED
-words across their lines, so that wrapped notices stand whole in one of them. A piece is the set
+several lines, that is lines up to one without words, that hold a licence word (CUES) also give
+overlapping stretches of JOINED words across their lines, so that wrapped notices stand whole in
+one of them. A piece is the set
 of its words and neighbouring word pairs, hashed. A multinomial logistic regression, fitted on the
 templates below in many damaged and surrounded forms, on notices of other licences and on a bounded
 sample of ordinary pieces of the corpus, gives the chance of each licence family, of a licence
@@ -18,6 +19,8 @@ All of this is DataFrame expressions and Spark's own learners; nothing runs in P
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -152,22 +155,31 @@ SAMPLED_DOCS = 2_000  # documents that these are taken from, about
 FORMS = 24  # damaged and surrounded forms of each template
 UNKNOWN_FROM = 0.9  # chance of a licence from which a piece counts as an unknown one: ordinary pieces are far more
 CONFIRMED = 0.6  # share of a template's word pairs that a piece must hold
-CUES = "licen[sc]|copyright|rights reserved|redistribut|public domain|creative commons|permission|spdx"
+# What texts about licences hold.
+CUES = ("licens", "licenc", "copyright", "rights reserved", "redistribut", "public domain", "creative commons", "permission", "spdx")
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+    """The words of a lower-cased text."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+
+
+def _speaks_of_licences(text: Column) -> Column:
+    """Whether a lower-cased text holds one of CUES."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(cue)) for cue in CUES])
 
 
 def pieces_of(text: Column) -> Column:
     """Word lists of a text's pieces, those of lines first; lines without words give none."""
     # Comment marks hold no words, so a line of them alone ends a paragraph and others' are not seen.
-    paragraphs = F.split(F.coalesce(text, F.lit("")), r"\n(?:[^\p{L}\p{N}\n]*\n)+")
-    several = lambda t: F.size(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))) > 1
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    paragraphs = F.split(lowered, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    # All templates hold a licence word, so a paragraph without one has none of them across its lines.
+    several = lambda t: _speaks_of_licences(t) & (F.size(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))) > 1)
     wrapped = F.transform(F.filter(paragraphs, several), word_list)
     joined = F.flatten(F.transform(wrapped, lambda w: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(w) - (JOINED - STEP) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(w, i + 1, JOINED))))
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), word_list), lambda w: F.size(w) > 0)
+    lines = F.filter(F.transform(F.split(lowered, "\n"), word_list), lambda w: F.size(w) > 0)
     starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - OVERLAP - 1, F.lit(0)), F.lit(PIECE - OVERLAP))
     return F.concat(F.flatten(F.transform(lines, lambda w: F.when(F.size(w) <= PIECE, F.array(w)).otherwise(
         F.transform(starts(w), lambda i: F.slice(w, i + 1, PIECE))))), joined)
@@ -191,7 +203,7 @@ def _fixed(spark: SparkSession) -> DataFrame:
     texts += [(0, False, t) for t in OTHERS]
     rows = F.array(*[F.struct(F.lit(float(i)).alias("label"), F.lit(n).alias("number"), F.lit(aside).alias("aside"), F.lit(t).alias("text"))
                      for n, (i, aside, t) in enumerate(texts)])
-    return spark.range(1).select(F.inline(rows)).select("label", "number", "aside", word_list(F.col("text")).alias("words"))
+    return spark.range(1).select(F.inline(rows)).select("label", "number", "aside", word_list(F.lower("text")).alias("words"))
 
 
 def _ordinary(docs: DataFrame) -> DataFrame:
@@ -199,7 +211,7 @@ def _ordinary(docs: DataFrame) -> DataFrame:
     total = docs.count()
     part = min(1.0, SAMPLED_DOCS / max(total, 1))
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    pieces = chosen.select(F.explode(pieces_of(F.col("text"))).alias("words")).where(~F.concat_ws(" ", "words").rlike(CUES))
+    pieces = chosen.select(F.explode(pieces_of(F.col("text"))).alias("words")).where(~_speaks_of_licences(F.concat_ws(" ", "words")))
     taken = pieces.distinct().orderBy(F.xxhash64("words"), "words").limit(ORDINARY)
     return taken.select("words", (F.row_number().over(Window.orderBy(F.xxhash64("words"), "words")) - 1).alias("number"))
 
