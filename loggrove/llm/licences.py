@@ -12,7 +12,8 @@ unknown to us, and of none.
 Two further regressions on pieces held out from the first turn its odds into chances: that a piece
 is a licence of any kind, and that its best family is right. For the first, whole licences are held
 out, so it is calibrated on notices of which the classifier has never seen a word. A licence whose
-family is not sure, or of whose templates a piece holds too few word pairs, is unknown.
+family is not sure, or of whose templates a piece holds too few word pairs, is unknown
+if it holds a licence word.
 
 All of this is DataFrame expressions and Spark's own learners; nothing runs in Python workers.
 """
@@ -284,7 +285,8 @@ def judged_pieces(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     shares = F.transform("_templates", lambda t: F.size(F.array_intersect("_pairs", t)) / F.size(t))
     sure = (F.col("chance") >= 0.5) & (F.array_max(shares) >= CONFIRMED)
     named = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("best") - 1)
-    family = F.when(F.size("words") == 0, F.lit(None)).when(sure, named).when(F.col("licence") >= UNKNOWN_FROM, "unknown")
+    speaks = _speaks_of_licences(F.concat_ws(" ", "words"))  # pieces that don't are what ordinary ones are learned from
+    family = F.when(F.size("words") == 0, F.lit(None)).when(sure, named).when(speaks & (F.col("licence") >= UNKNOWN_FROM), "unknown")
     return compared.select(*keep, family.alias("family"), F.when(sure, F.col("chance")).when(F.size("words") > 0, F.col("licence")).alias("chance"), "words").where(
         "family IS NOT NULL OR size(words) = 0")
 
