@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loggrove.llm import decontam, exact, mixing, near, toxicity
 from loggrove.llm.registry import table
-from loggrove.scratch import written
+from loggrove.llm.shelf import Shelf
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None  # trained scores and similarity links are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` in turn."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents`` in turn; a stage's table goes when the next one's is written."""
+    docs, shelf, last = table(spark, sf_dir, "documents"), Shelf(spark), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = shelf.put(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            shelf.drop(last)
+        last = name
     return docs

@@ -83,10 +83,31 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all columns and ``copy`` from 1 on.
 
     See ``with_copies``. Columns of ``docs`` keep their names and values; its ``copy``, if any, is replaced.
+    Only ids and sizes are sorted; texts meet their copies in one join on id, source and size. Rows that
+    repeat all three share a range of ranks, dealt out in the order of a hash of the text.
     """
+    key = ["doc_id", "source", "size"]
+    order = [F.col("size"), F.col("doc_id").isNull(), F.col("doc_id")]
     packed = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
-    taken = with_copies(packed, **settings).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return taken.select("row.*", "_copy").withColumn("copy", F.col("_copy")).drop("_copy")
+    groups = written(packed.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    several = F.col("rows") > 1
+    placed = ranked(groups, order, within=("source",), totals={
+        "upto": F.col("rows"), "upto_repeated": F.when(several, F.col("rows")).otherwise(F.lit(0))})
+    sums = targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), **settings)
+    renamed = sums.select(F.col("source").alias("_source"), "rate", "offset")
+    rated = placed.join(renamed, placed["source"].eqNullSafe(renamed["_source"]), "left")
+    passed = lambda rank: F.floor(rank.cast("double") * F.col("rate") + F.col("offset"))
+    asked = written(rated.withColumn("taken", passed(F.col("upto")) - passed(F.col("upto") - F.col("rows"))).where((F.col("taken") > 0) | several).select(
+        *[F.col(c).alias(f"_{c}") for c in key], "rows", "upto", "upto_repeated", "taken", "rate", "offset"), "mix-copies")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    taken = packed.join(asked.where(~several), same).select("row", "taken")
+    if not asked.where(several).isEmpty():
+        repeated = packed.join(asked.where(several), same).withColumn("hash", F.xxhash64("row.text"))
+        repeated = ranked(repeated, [*order, F.col("hash")], within=("source",))
+        rank = F.col("upto") - F.col("upto_repeated") + F.col("position")
+        taken = taken.union(repeated.select("row", (passed(rank) - passed(rank - 1)).alias("taken")).where("taken > 0"))
+    out = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("taken"))).alias("_copy"))
+    return out.select("row.*", "_copy").withColumn("copy", F.col("_copy")).drop("_copy")
 
 
 SQL = r"""

@@ -24,7 +24,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-TRAIN_ROWS = 20_000  # the trees are fitted on about so many labelled URLs at most, chosen by hash
+TRAIN_ROWS = 20_000  # the trees are fitted on so many labelled URLs at most, chosen by hash; of the rarer kind up to half as many
 TREES, DEPTH, SEED = 20, 4, 7
 
 
@@ -97,16 +97,32 @@ def features(ruled: DataFrame) -> DataFrame:
 
 
 def fit(shaped: DataFrame, rows: int = TRAIN_ROWS):
-    """Trees over the ruled URLs, or None where these are of fewer than two kinds."""
-    labelled = shaped.where("ruled IS NOT NULL").select(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0).alias("label"), "features", "url")
+    """Trees over the ruled URLs, or None where these are of fewer than two kinds.
+
+    Beyond ``rows`` of them each kind has a bound of its own, so that a rare one is never lost, and
+    its rows weigh what they stand for.
+    """
+    labelled = shaped.where("ruled IS NOT NULL").select(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0).alias("label"), "features", "url", "page_id")
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows at most
     if len(counts) < 2:
         return None
-    part = min(1.0, rows / sum(counts.values()))
-    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    if chosen.select("label").distinct().count() < 2:
-        return None
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(chosen.select("label", "features"))
+    rarer = min(counts, key=counts.get)
+    bounds = {rarer: min(counts[rarer], rows // 2)}
+    bounds |= {kind: min(counts[kind], rows - bounds[rarer]) for kind in counts if kind != rarer}
+    chosen = [_chosen(labelled.where(F.col("label") == kind), bound, counts[kind]) for kind, bound in bounds.items()]
+    sample = written(chosen[0].union(chosen[1]), "url-sample")
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False, weightCol="weight").fit(sample)
+
+
+def _chosen(labelled: DataFrame, bound: int, count: int) -> DataFrame:
+    """``bound`` rows by hash of URL and id, each standing for count / bound of them.
+
+    A first cut at twice the share keeps what is sorted small; a hot URL's pages have ids of their own.
+    """
+    share = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 40))
+    near = labelled if count < 4 * bound else labelled.where(share < int(2 * bound / count * (1 << 40)) + (1 << 40) * 64 // count)
+    least = near if count <= bound else near.orderBy(share, "page_id", "url").limit(bound)
+    return least.select("label", "features", F.lit(count / bound).alias("weight"))
 
 
 def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, rows: int = TRAIN_ROWS) -> DataFrame:

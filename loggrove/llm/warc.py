@@ -1,7 +1,7 @@
 """Deterministic sharded WARC files, and reading them back.
 
-Pages are sorted by id. Shards are ranges of that order of about SHARD_BYTES of payload, cut by
-the exact running sum of payload bytes, so they are the same at every run and on every
+Pages are sorted by id. Shards are ranges of that order of about SHARD_BYTES, cut by the exact
+running sum of payload and header bytes, so they are the same at every run and on every
 cluster. Headers, record ids and digests are made anew from the payload, and each record is
 compressed as a gzip member of its own before it travels to its shard. One task writes a shard's
 members in order and goes on to the next file when a file reaches FILE_BYTES compressed.
@@ -33,6 +33,7 @@ from loggrove.scratch import scratch_path, written
 
 SHARD_BYTES = 32 << 20  # payload of a shard, at which the range of the next begins
 FILE_BYTES = 8 << 20  # compressed bytes at which a file is full
+HEADER_BYTES = 768  # counted for each record beside its payload, so that runs of revisits or empty pages fill shards too
 LEAST_REVISIT = 1000  # payloads of fewer bytes are always stored
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date; a fixed one keeps files the same at each run
 LEVEL = 6
@@ -59,7 +60,8 @@ def decided(pages: DataFrame) -> DataFrame:
     small = written(pages.select("page", "sha", "bytes").groupBy("page", "sha", "bytes").agg(F.count(F.lit(1)).alias("rows")), "payloads")
     repeated = small.where(F.col("bytes") >= LEAST_REVISIT).groupBy("sha").agg(F.max("page").alias("leader"), F.sum("rows").alias("n")).where("n > 1")
     led = small.join(repeated.drop("n"), "sha", "left")
-    stored = F.when(F.col("leader").isNull() | (F.col("leader") == F.col("page")), F.col("bytes")).otherwise(F.lit(0))
+    payload = F.when(F.col("leader").isNull() | (F.col("leader") == F.col("page")), F.col("bytes")).otherwise(F.lit(0))
+    stored = payload + F.lit(HEADER_BYTES)
     placed = ranked(led, [F.col("page"), F.col("sha")], totals={"upto": stored})
     return placed.select("page", "sha", "leader", F.floor((F.col("upto") - stored) / F.lit(SHARD_BYTES)).alias("shard"))
 

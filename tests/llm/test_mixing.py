@@ -73,3 +73,29 @@ def test_empty_texts_tables_and_ids(spark):
     assert rows(found, "doc_id", "source", "size", "source_size", "target", "copies") == sorted(
         [(None, "e", 0, 0, 0.0, 0), (1, "e", 0, 0, 0.0, 0), (1, "f", 2, 2, 2.0, 1)], key=repr)
     assert mixing.mixed(docs.where("false")).count() == 0
+
+
+def test_repeated_rows_share_their_ranks(spread):
+    """Rows of one id, size and source, null ids among them, and a ``copy`` of the input's own."""
+    texts = ["a b c"] * 40 + ["x y z"] * 25 + [f"w{i} w" for i in range(60)] + [None, "", " \t"]
+    ids = [None] * 40 + [7] * 25 + list(range(100, 160)) + [1, 1, 1]
+    sources = ["p"] * 65 + ["q"] * 30 + [None] * 30 + ["p", "q", None]
+    docs = documents(spread, texts, ids=ids, sources=sources).selectExpr("*", "'own' AS copy", "1 AS row", "2 AS taken", "3 AS rate")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    sized = docs.select("doc_id", "source", mixing.words(docs["text"]).alias("size"))
+    copies, found = {}, {}
+    for r in mixing.with_copies(sized).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        copies[key] = copies.get(key, 0) + r["copies"]
+    for r in out.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        found[key] = found.get(key, 0) + 1
+        assert (r["row"], r["taken"], r["rate"]) == (1, 2, 3) and 1 <= r["copy"] <= 3
+    assert found == {k: n for k, n in copies.items() if n}
+
+
+def test_texts_are_not_sorted(spark, mixture):
+    texts, sources = mixture
+    plan = mixing.mixed(documents(spark, texts, sources=sources))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

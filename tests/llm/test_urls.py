@@ -69,3 +69,20 @@ def test_every_suffix_counts(spark):
     shaped = urls.features(urls.with_rules(pages(spark, data))).select("page_id", "features").collect()
     assert len(shaped) == len(data)
     assert all((min(r["features"].toArray()[-4:]) > 0) == (r["page_id"] < 3000) for r in shaped)
+
+
+def test_a_rare_kind_is_never_lost(spark):
+    """Three blocked URLs among 3,000 allowed ones and a bound of 200: the trees still learn of them."""
+    rules = (("allow", "good.example", "/"), ("block", "bad.example", "/"))
+    data = [f"https://good.example/a/b{i}" for i in range(3000)] + [f"http://bad.example/{i}{i}?a={i}&b=1&c=2" for i in range(3)]
+    shaped = urls.features(urls.with_rules(pages(spark, data), rules))
+    assert urls.fit(shaped, rows=200) is not None
+
+
+def test_the_sample_is_bounded_and_weighed(spark):
+    """One hot URL, repeated, does not make the sample larger."""
+    data = ["https://good.example/hot"] * 2500 + [f"https://good.example/{i}" for i in range(500)]
+    labelled = urls.features(urls.with_rules(pages(spark, data), (("allow", "good.example", "/"),))).selectExpr("0.0 AS label", "features", "url", "page_id")
+    chosen = urls._chosen(labelled, 100, 3000).collect()
+    assert len(chosen) == 100 and {r["weight"] for r in chosen} == {30.0}
+    assert urls._chosen(labelled, 3000, 3000).count() == 3000

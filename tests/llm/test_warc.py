@@ -90,3 +90,12 @@ def test_null_and_repeated_ids(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     assert warc.write(pages(spark, PAGES).where("false"), str(tmp_path / "w")).count() == 0
     assert warc.read(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_runs_of_revisits_and_empty_pages_fill_shards(spark, monkeypatch):
+    """Records without a payload of their own count with their headers, so no shard holds a whole run."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    same, empty = "0" * 40, "1" * 40
+    listed = [(i, same, 5000) for i in range(400)] + [(1000 + i, empty, 0) for i in range(400)]
+    found = warc.decided(spark.createDataFrame(listed, "page long, sha string, bytes long")).groupBy("shard").count().collect()
+    assert len(found) > 20 and max(r["count"] for r in found) <= 30
