@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loggrove.llm.links import components
 from loggrove.llm.registry import query, table
+from loggrove.llm.shelf import Shelf
 from loggrove.llm.textcols import shingle_hashes, slices, splitmix, text_bytes, word_hashes
 from loggrove.scratch import written
 
@@ -474,21 +475,27 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
     * Null ids count only where a component has no other; such a row's component is null and it is kept.
     * An empty table gives an empty result. Other columns are not read, whatever their names.
     """
-    made = written(signatures(docs, size), "signatures")
-    classes = made.where("n > 0").groupBy("k1", "k2").agg(
+    shelf = Shelf(docs.sparkSession)
+    signed = shelf.put(signatures(docs, size), "signatures")
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    made = written(signed.select("doc_id", "n", "k1", "k2"), "keys")
+    shelf.drop("signatures")  # nodes have those of each set once
 
     regions, crowded = _regions(nodes.withColumn("comp", F.col("node")), limit, deeper=True)
     first = written(_proposals(regions, across=False), "proposals")
+    shelf.drop()
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     # Of all nodes that have a possible link at all.
     sets = _member_sets(active if crowded is None else active.union(crowded).distinct(), nodes, docs, size)
     links = written(_confirmed(first, sets), "confirmed")
+    shelf.drop()
     labels = components(links)
     again = nodes.join(active, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    again = written(again, "active")
-    regions = written(_regions(again, limit, deeper=False)[0].drop("sketch"), "regions")
+    again = shelf.put(again, "active")
+    regions = shelf.put(_regions(again, limit, deeper=False)[0].drop("sketch"), "regions")
+    shelf.drop("active")
     # Only regions of several components are left, and finer sketches tell more pairs that can't be links.
     torn = regions.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     regions = regions.join(torn, "key", "left_semi").join(sets.select("node", "sketch"), "node")
@@ -497,6 +504,7 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
         regions = regions.join(marked, "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     untried = _proposals(regions, across=True)
     second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
+    shelf.drop("regions")
     found = [links, written(_confirmed(second, sets), "confirmed")]
     if crowded is not None:
         known = nodes.select("node", "n", "signature").join(crowded, "node").join(labels, "node", "left")
