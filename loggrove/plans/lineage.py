@@ -65,6 +65,21 @@ def override_row(spark: SparkSession, history: DataFrame, to_version: int, reaso
     return spark.createDataFrame([row], HISTORY_SCHEMA).withColumn("at", F.current_timestamp().cast("timestamp_ntz"))
 
 
+def overrides(history: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """The events of manual moves ``asked`` for (``by``, at, event, to_version, reason), for many histories in one job.
+
+    A move to a version that its history never issued gives no event, nor does one of another kind than
+    rollback and manual_promotion. ``from_version`` is the version in service at the end of the history.
+    """
+    by = list(by)
+    issued = history.where(F.col("new_version").isNotNull()).select(*by, F.col("new_version").alias("to_version")).union(
+        history.select(*by, F.lit(FIRST_VERSION))).distinct()
+    live = live_version(history, by).withColumnRenamed("version", "from_version")
+    moves = asked.where(F.col("event").isin("rollback", "manual_promotion")).join(issued, [*by, "to_version"], "left_semi").join(live, by)
+    return moves.select(*by, "at", "event", F.lit(False).alias("promoted"), "from_version", "to_version", F.lit(None).cast("int").alias("new_version"),
+                        F.lit(None).cast("double").alias("candidate_value"), "reason")
+
+
 def version_table(history: DataFrame, by: list[str] = ()) -> DataFrame:
     """Every version ever issued with its metric, promotion time and status."""
     by = list(by)

@@ -1,7 +1,7 @@
 """Version history operators on a history read out of the event table.
 
-Every user stands for one log source: a purchase is a promotion, an error a rejected
-candidate, a signup a rollback to the day before.
+Every user stands for one log source: a purchase is a promotion, a signup a rollback to
+the day before, any other event a rejected candidate.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ HISTORY = """(SELECT 'user-' || user_id AS source, ts AS "at", CASE event_type W
   event_type = 'purchase' AS promoted, CAST(CASE event_type WHEN 'signup' THEN dayofyear(ts) + 1 END AS INTEGER) AS from_version,
   CAST(CASE event_type WHEN 'signup' THEN dayofyear(ts) END AS INTEGER) AS to_version,
   CAST(CASE event_type WHEN 'purchase' THEN dayofyear(ts) + 1 END AS INTEGER) AS new_version, value AS candidate_value
-  FROM events WHERE event_type IN ('purchase', 'error', 'signup'))"""
+  FROM events)"""
 
 
 def history(spark, folder):
     kind, day = F.col("event_type"), F.dayofyear("ts")
-    return read_table(spark, folder, "events").where(kind.isin("purchase", "error", "signup")).select(
+    return read_table(spark, folder, "events").select(
         F.concat(F.lit("user-"), "user_id").alias("source"), F.col("ts").alias("at"),
         F.when(kind == "signup", "rollback").otherwise("decision").alias("event"), (kind == "purchase").alias("promoted"),
         F.when(kind == "signup", day + 1).alias("from_version"), F.when(kind == "signup", day).alias("to_version"),
@@ -29,7 +29,7 @@ def history(spark, folder):
 
 
 LIVE = f"""(SELECT source, coalesce(arg_max(t, "at") FILTER (t IS NOT NULL), 1) AS version FROM (
-  SELECT source, "at", CASE WHEN promoted THEN new_version WHEN event = 'rollback' THEN to_version END AS t FROM {HISTORY}) GROUP BY source)"""
+  SELECT source, "at", CASE WHEN promoted THEN new_version WHEN event IN ('rollback', 'manual_promotion') THEN to_version END AS t FROM {HISTORY}) GROUP BY source)"""
 
 
 @query(f"SELECT * FROM {LIVE}")
@@ -53,6 +53,33 @@ def model_version_table(spark, folder):
     return lineage.version_table(history(spark, folder), ["source"])
 
 
+# The issued version of the best value is put back into service by hand, a day after the last event.
+BEST = f"""(SELECT source, new_version AS to_version FROM (SELECT source, new_version,
+  row_number() OVER (PARTITION BY source ORDER BY candidate_value DESC NULLS LAST, new_version) AS n FROM {HISTORY} WHERE new_version IS NOT NULL) WHERE n = 1)"""
+LAST = f"""(SELECT source, max("at") AS last_at FROM {HISTORY} GROUP BY source)"""
+
+
+def recorded(spark, folder):
+    past = history(spark, folder)
+    best = past.groupBy("source").agg(
+        F.max_by("new_version", F.when(F.col("new_version").isNotNull(), F.struct("candidate_value", -F.col("new_version")))).alias("to_version"),
+        (F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at"))
+    asked = best.withColumns({"event": F.lit("manual_promotion"), "reason": F.lit("best value of all versions")})
+    return past, lineage.overrides(past, asked, ["source"])
+
+
+@query(f"""SELECT b.source, t.last_at + INTERVAL 1 DAY AS "at", 'manual_promotion' AS event, l.version AS from_version, b.to_version, 'best value of all versions' AS reason
+FROM {BEST} b JOIN {LIVE} l USING (source) JOIN {LAST} t USING (source)""")
+def recorded_overrides(spark, folder):
+    return recorded(spark, folder)[1].select("source", "at", "event", "from_version", "to_version", "reason")
+
+
+@query(f"SELECT l.source, coalesce(b.to_version, l.version) AS version FROM {LIVE} l LEFT JOIN {BEST} b USING (source)")
+def live_version_after_overrides(spark, folder):
+    past, events = recorded(spark, folder)
+    return lineage.live_version(past.unionByName(events.drop("reason")), ["source"])
+
+
 # A candidate is compared with the mean of the source's earlier values as the live metric.
 MEANS = "(SELECT 'user-' || user_id AS source, avg(value) / 500 AS live_f1, max(value) / 500 AS best_f1, count(*) AS n FROM events GROUP BY ALL)"
 

@@ -1,3 +1,4 @@
+import datetime
 import numpy as np
 import pandas as pd
 import pytest
@@ -222,3 +223,22 @@ def test_candidates_equal_forests_grown_one_after_another(spark, blocks, folds):
             hit = (flagged & y & test).sum()
             scores.append(2 * hit / ((flagged & test).sum() + (y & test).sum()) if hit else 0.0)
         assert abs(found[number]["mean_f1"] - np.mean(scores)) < 0.02 and abs(found[number]["std_f1"] - np.std(scores)) < 0.02
+
+
+def test_overrides_of_many_histories(spark):
+    """Moves to issued versions become events; others, and unknown kinds, do not."""
+    columns = "source string, at timestamp, event string, promoted boolean, from_version int, to_version int, new_version int, candidate_value double"
+    moment = lambda d: datetime.datetime(2024, 1, d)
+    past = spark.createDataFrame([
+        ("a", moment(1), "decision", True, 1, 2, 2, 0.9), ("a", moment(2), "decision", True, 2, 3, 3, 0.5),
+        ("b", moment(1), "decision", False, 1, 1, None, 0.1)], columns)
+    asked = spark.createDataFrame([
+        ("a", moment(3), "rollback", 2, "worse"), ("a", moment(4), "rollback", 9, "never issued"), ("b", moment(3), "manual_promotion", 1, "first"),
+        ("b", moment(3), "other", 1, "no such kind"), ("c", moment(3), "rollback", 1, "no history")],
+        "source string, at timestamp, event string, to_version int, reason string")
+    events = lineage.overrides(past, asked, ["source"])
+    assert sorted((r["source"], r["event"], r["from_version"], r["to_version"], r["reason"]) for r in events.collect()) == [
+        ("a", "rollback", 3, 2, "worse"), ("b", "manual_promotion", 1, 1, "first")]
+    live = lineage.live_version(past.unionByName(events.drop("reason")), ["source"])
+    assert {r["source"]: r["version"] for r in live.collect()} == {"a": 2, "b": 1}
+    assert lineage.overrides(past, asked.where("false"), ["source"]).count() == 0
