@@ -57,9 +57,7 @@ def audit_files_to_columns(spark, folder):
     documents = typed.groupBy("user_id", "hour").agg(
         F.concat(F.lit('{"Records":['), F.concat_ws(",", F.collect_list("value")), F.lit("]}")).alias("value"))
     documents.select("value").write.option("compression", "gzip").text(path)
-    lines = spark.read.schema(cloudtrail.FILE_SCHEMA).json(path)
-    rows = lines.select(F.explode("Records").alias("record"))
-    return parse(rows, "cloudtrail")
+    return parse(cloudtrail.read_records(spark, path).select("record"), "cloudtrail")
 
 
 @query("""SELECT event_type, block_id, source_ip, count(*) AS lines FROM (""" + rendered.HDFS_SQL + """) GROUP BY ALL""")

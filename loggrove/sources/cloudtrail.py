@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loggrove.schema import ARRIVAL_CHUNK, ARRIVAL_SEQ
+from loggrove.sources.records import RecordSource
 
 IDENTITY_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (
     "type", "principalId", "arn", "accountId", "accessKeyId", "userName")])
@@ -13,7 +15,6 @@ RECORD_SCHEMA = T.StructType(
         "eventTime", "eventSource", "eventName", "sourceIPAddress", "errorCode", "eventID", "awsRegion")]
     + [T.StructField("userIdentity", IDENTITY_SCHEMA)]
 )
-FILE_SCHEMA = T.StructType([T.StructField("Records", T.ArrayType(RECORD_SCHEMA))])
 
 # --- fixed values ----------------------------------------------------------
 EVENT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -21,16 +22,14 @@ ACCOUNT_TYPES_WITHOUT_IDENTITY = ("AWSAccount", "Anonymous")
 
 
 def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per record of ``{"Records": […]}`` files (``.gz`` is unpacked).
+    """One row per record of ``{"Records": […]}`` files; gzip is told by a file's first bytes.
 
-    Audit files are small deliveries, one JSON document each, so a file is the unit
-    of parallel work and its record number is the arrival order inside it.
+    The record number in its file is the arrival order. A list that breaks off gives the records
+    before that; an element that is no record gives one without fields.
     """
-    files = spark.read.schema(FILE_SCHEMA).option("multiLine", True).json(paths)
-    return files.select(
-        F.col("_metadata.file_path").alias(ARRIVAL_CHUNK),
-        F.posexplode("Records").alias(ARRIVAL_SEQ, "record"),
-    ).withColumn(ARRIVAL_SEQ, F.col(ARRIVAL_SEQ).cast("bigint"))
+    spark.dataSource.register(RecordSource)
+    found = spark.read.format(RecordSource.name()).option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).load()
+    return found.withColumn("record", F.from_json("value", RECORD_SCHEMA)).drop("value")
 
 
 def _text(column: Column) -> Column:

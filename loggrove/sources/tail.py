@@ -25,7 +25,7 @@ SPLIT_BYTES = 64 << 20  # of a file, read by one task
 _PIECE = 1 << 20
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -65,7 +65,7 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         found = {}
         for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.type == fs.FileType.File and info.base_name[:1] not in "._":
@@ -84,7 +84,7 @@ class TailReader(DataSourceStreamReader):
         return ranges
 
     def read(self, partition: ByteRange):
-        system, _ = _opened(self.folder)
+        system, _ = opened(self.folder)
         with system.open_input_file(partition.path) as file:
             # From the byte before: a line begins here only if that is a line feed.
             at = partition.start if partition.begins else partition.start - 1

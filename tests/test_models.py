@@ -1,4 +1,5 @@
 import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
