@@ -56,11 +56,16 @@ def coerce(frame: DataFrame) -> DataFrame:
     return fenced(frame.withColumns(replaced), replaced)
 
 
-def drop_invalid(frame: DataFrame) -> DataFrame:
+def valid() -> Column:
+    """Whether a coerced row has all required fields."""
     condition = F.col("datetime").isNotNull() & F.col("pid").isNotNull()
     for column in TEXT_COLUMNS:
         condition = condition & F.col(column).isNotNull()
-    return frame.where(condition)
+    return condition
+
+
+def drop_invalid(frame: DataFrame) -> DataFrame:
+    return frame.where(valid())
 
 
 def drop_exact_duplicates(frame: DataFrame) -> DataFrame:

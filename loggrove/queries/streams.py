@@ -57,7 +57,7 @@ def deliveries(rows):
         yield part.repartitionByRange(FILES, ARRIVAL_SEQ).sortWithinPartitions(ARRIVAL_SEQ)
 
 
-def streamed_lines(spark, folder):
+def streamed_lines(spark, folder, rejects=False):
     """All rows that a stream of raw HDFS lines gives. Every tenth line is delivered a second time, a delivery later."""
     lines = hdfs_lines(spark, folder)
     path, checkpoint, out = (scratch_path(spark, x) for x in ("line-stream-in", "line-stream-state", "line-stream-out"))
@@ -69,8 +69,8 @@ def streamed_lines(spark, folder):
     before.select("value").write.mode("append").text(path)
     batch = written(drop_invalid(coerce(recognized(parse(lines, "hdfs")))), "lines")
     vocab = written(append_codes(batch.select(ARRIVAL_SEQ, *[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS])), "vocab")
-    events = stream_blocks.encoded_events(stream_lines(spark, path, 2 * FILES), "hdfs", vocab)
-    stream_blocks.block_stream(events, "hdfs", KS, timeout_seconds=None).writeStream.format("parquet").option("path", out).option(
+    events = stream_blocks.encoded_events(stream_lines(spark, path, 2 * FILES), "hdfs", vocab, rejects)
+    stream_blocks.block_stream(events, "hdfs", KS, timeout_seconds=None, vocab=vocab).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream_blocks.OUTPUT_SCHEMA).parquet(out), stream_blocks.open_blocks(spark, checkpoint)
 
@@ -95,6 +95,22 @@ def stream_duplicates_by_block(spark, folder):
     return counts.groupBy("block_id").agg(F.sum("accepted").cast("long").alias("accepted"), F.sum("duplicates").cast("long").alias("duplicates"))
 
 
+UNSEEN = ", ".join(f"CAST(0 AS BIGINT) AS unseen_{c}" for c in ENCODED_COLUMNS)
+
+
+@query(f"""SELECT CAST(count(DISTINCT CASE WHEN date IS NOT NULL THEN ({CONTENT}) END) AS BIGINT) AS accepted,
+  CAST(count(CASE WHEN date IS NOT NULL THEN 1 END) + count(CASE WHEN date IS NOT NULL AND arrival_seq % 10 = 0 THEN 1 END)
+    - count(DISTINCT CASE WHEN date IS NOT NULL THEN ({CONTENT}) END) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS late,
+  CAST(count(CASE WHEN date IS NULL THEN 1 END) + count(CASE WHEN date IS NULL AND arrival_seq % 10 = 0 THEN 1 END) AS BIGINT) AS rejected,
+  {UNSEEN}, CAST(count(*) + count(CASE WHEN arrival_seq % 10 = 0 THEN 1 END) AS BIGINT) AS received FROM ({HDFS_SQL})""")
+def stream_line_accounting(spark, folder):
+    """What became of each line that was streamed; the vocabulary knows all values here. The counts are rows of the
+    stream, so they outlive its driver, and they add up to the lines received."""
+    counts = streamed_lines(spark, folder, True)[0].where("kind = 'counts'")
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in jobs.COUNTS])
+    return totals.withColumn("received", sum((F.col(c) for c in ("accepted", "duplicates", "late")), F.col("rejected")))
+
+
 def finished(spark, folder, block, source):
     """All rows of a run: what the stream emitted, then the blocks still in flight."""
     vocab = vocabulary(spark, folder, block)

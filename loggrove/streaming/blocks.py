@@ -3,6 +3,9 @@
 One keyed stateful operator folds events into their block, snapshots a block's prefix
 at exactly its k-th event, ends blocks that fell silent and remembers ended ones. It
 emits plain rows; scoring and decisions are ordinary columns downstream.
+
+Every row that comes in is counted in a row that goes out: accepted, duplicate, late or,
+if it is no event at all, rejected. No row is too late for the engine itself (see ``AHEAD``).
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loggrove.operators.clean import coerce, drop_invalid, recognized, seconds_of
+from loggrove.operators.clean import coerce, drop_invalid, recognized, seconds_of, valid
 from loggrove.operators.vocab import lookup
-from loggrove.schema import ARRIVAL_CHUNK, ARRIVAL_SEQ, ENCODED_COLUMNS, ERROR_LEVELS, WARN_LEVELS
+from loggrove.schema import ARRIVAL_CHUNK, ARRIVAL_SEQ, ENCODED_COLUMNS, ERROR_LEVELS, UNKNOWN, WARN_LEVELS
 from loggrove.sources.registry import Source, get_source, parse
 
-DEFAULT_LATENESS_SECONDS = 30 * 86_400
+# The event times that Spark sees run this far ahead of the real ones, and its watermark this much
+# further behind. It then still tells silence, but drops no row: late ones reach the operator.
+AHEAD = 5_000 * 366 * 86_400
+REJECTED = "\x00rejected:"   # the key of rows that are no events, dealt over a few
+REJECTED_KEYS = 64
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),          # snapshot | final | counts
@@ -27,6 +34,7 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("event_seconds", T.LongType()),
     # counts
     T.StructField("accepted", T.LongType()), T.StructField("duplicates", T.LongType()), T.StructField("late", T.LongType()),
+    T.StructField("rejected", T.LongType()), *[T.StructField(f"unseen_{c}", T.LongType()) for c in ENCODED_COLUMNS],
     # snapshot: the batch prefix columns
     T.StructField("n_events", T.LongType()), T.StructField("elapsed_seconds", T.LongType()),
     T.StructField("distinct_event_types", T.LongType()), T.StructField("distinct_components", T.LongType()),
@@ -35,6 +43,7 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("first_component_encoded", T.IntegerType()), T.StructField("first_event_type_encoded", T.IntegerType()),
     T.StructField("dominant_component_encoded", T.IntegerType()), T.StructField("dominant_event_type_encoded", T.IntegerType()),
     T.StructField("type_counts", T.MapType(T.StringType(), T.IntegerType())),
+    T.StructField("earlier", T.ArrayType(T.StringType())),   # the block's snapshots before this one, as texts
     # final: the batch feature columns
     T.StructField("hour_of_day", T.IntegerType()), T.StructField("is_error", T.IntegerType()),
     *[T.StructField(f"{c}_encoded", T.IntegerType()) for c in ENCODED_COLUMNS],
@@ -51,6 +60,7 @@ TOTALS_SCHEMA = T.StructType([
     T.StructField("last", T.LongType()), T.StructField("warn", T.LongType()), T.StructField("error", T.LongType()),
     T.StructField("is_error", T.IntegerType()), T.StructField("size", T.DoubleType()),
     T.StructField("first_component", T.IntegerType()), T.StructField("first_event_type", T.IntegerType()),
+    T.StructField("snapshots", T.StringType()),
 ])
 _TOTALS = [f.name for f in TOTALS_SCHEMA]
 COUNT_KEY = T.StructType([T.StructField("column", T.StringType()), T.StructField("value", T.StringType())])
@@ -64,10 +74,11 @@ def _dominant(counts: dict, column: str) -> int:
 
 class BlockProcessor(StatefulProcessor):
     """Folds events; see the module text. ``timeout`` None means only the end of the
-    stream closes a block. A closed block keeps a tombstone (n = -1) in its totals."""
+    stream closes a block. A closed block keeps a tombstone (n = -1) in its totals.
+    ``free`` holds the code of each column's values that the vocabulary lacks."""
 
-    def __init__(self, ks: list[int], timeout: int | None, lateness: int, dedupe: bool, tombstone: int | None = None):
-        self.ks, self.timeout, self.lateness, self.dedupe, self.tombstone = sorted(ks), timeout, lateness, dedupe, tombstone
+    def __init__(self, ks: list[int], timeout: int | None, dedupe: bool, tombstone: int | None = None, free: dict[str, int] | None = None):
+        self.ks, self.timeout, self.dedupe, self.tombstone, self.free = sorted(ks), timeout, dedupe, tombstone, free or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -76,13 +87,18 @@ class BlockProcessor(StatefulProcessor):
         self.seen = handle.getMapState("seen", "row string", "yes boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        block, state = key[0], self._load()
+        block = key[0]
+        if block.startswith(REJECTED):
+            yield _counts(block, rejected=sum(1 for _ in rows))
+            return
+        state = self._load()
         events = sorted(rows, key=lambda r: (getattr(r, ARRIVAL_CHUNK, ""), r[ARRIVAL_SEQ]))
         if state["n"] < 0:
-            yield _row("counts", block, accepted=0, duplicates=0, late=len(events))
+            yield _counts(block, late=len(events))
             return
         before, duplicates, fresh = state["last"], 0, set()
         stored = state["n"] > 0   # a new block has nothing to look up
+        unseen = dict.fromkeys(ENCODED_COLUMNS, 0)
         # Counts touched by this batch; all of them (at most k per column) while the prefix is open.
         known = {tuple(k): tuple(v) for k, v in self.counts.iterator()} if 0 < state["n"] < self.ks[-1] else {}
         for event in events:
@@ -92,6 +108,8 @@ class BlockProcessor(StatefulProcessor):
                     continue
                 fresh.add(event.row_key)
             self._fold(state, known, event, stored)
+            for column, code in self.free.items():
+                unseen[column] += event[f"{column}_encoded"] == code
             if state["n"] in self.ks:
                 yield self._snapshot(block, state, known, int(event.seconds))
         if len(events) > duplicates:
@@ -101,7 +119,7 @@ class BlockProcessor(StatefulProcessor):
                 self.counts.updateValue(entry, value)
             self.totals.update(tuple(state[name] for name in _TOTALS))
             self._restart_timer(before, state["last"])
-        yield _row("counts", block, accepted=len(events) - duplicates, duplicates=duplicates, late=0)
+        yield _counts(block, accepted=len(events) - duplicates, duplicates=duplicates, **{f"unseen_{c}": n for c, n in unseen.items()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
@@ -114,7 +132,7 @@ class BlockProcessor(StatefulProcessor):
             self.seen.clear()
         self.totals.update(tuple({**dict.fromkeys(_TOTALS), "n": -1, "last": state["last"]}[name] for name in _TOTALS))
         if self.tombstone is not None:
-            self.handle.registerTimer((state["last"] + self.tombstone - self.lateness) * 1000)
+            self.handle.registerTimer((state["last"] + self.tombstone) * 1000)
         yield _row("final", key[0], **final_fields(state, {c: _dominant(counts, c) for c in ENCODED_COLUMNS}, "timeout"))
 
     def close(self) -> None:
@@ -123,7 +141,7 @@ class BlockProcessor(StatefulProcessor):
     def _load(self) -> dict:
         stored = self.totals.get()
         if stored is None:
-            return {**dict.fromkeys(_TOTALS), "n": 0, "warn": 0, "error": 0, "is_error": 0, "size": 0.0}
+            return {**dict.fromkeys(_TOTALS), "n": 0, "warn": 0, "error": 0, "is_error": 0, "size": 0.0, "snapshots": "[]"}
         return dict(zip(_TOTALS, stored))
 
     def _fold(self, state: dict, known: dict, event, stored: bool) -> None:
@@ -146,14 +164,17 @@ class BlockProcessor(StatefulProcessor):
 
     def _snapshot(self, block: str, state: dict, known: dict, seconds: int) -> Row:
         types = {value: n for (column, value), (n, _) in known.items() if column == "event_type"}
-        return _row(
-            "snapshot", block, k=state["n"], event_seconds=seconds, n_events=state["n"],
+        earlier = json.loads(state["snapshots"])
+        fields = dict(
+            k=state["n"], event_seconds=seconds, n_events=state["n"],
             elapsed_seconds=state["t_max"] - state["t_min"], distinct_event_types=len(types),
             distinct_components=sum(column == "component" for column, _ in known),
             warn_count=state["warn"], error_count=state["error"], block_size_max=state["size"],
             first_component_encoded=state["first_component"], first_event_type_encoded=state["first_event_type"],
             dominant_component_encoded=_dominant(known, "component"),
             dominant_event_type_encoded=_dominant(known, "event_type"), type_counts=types)
+        state["snapshots"] = json.dumps([*earlier, json.dumps(fields)]) if state["n"] < self.ks[-1] else "[]"
+        return _row("snapshot", block, **fields, earlier=earlier)
 
     def _restart_timer(self, before: int | None, last: int) -> None:
         if self.timeout is None or before == last:
@@ -163,9 +184,9 @@ class BlockProcessor(StatefulProcessor):
         self.handle.registerTimer(self._expiry(last))
 
     def _expiry(self, last: int) -> int:
-        """The watermark runs timeout + lateness behind the newest event, so it passes
+        """The watermark runs timeout behind the newest event's real time, so it passes
         this point exactly when the newest event is more than timeout after ``last``."""
-        return (last - self.lateness) * 1000 + 1
+        return last * 1000 + 1
 
 
 def final_fields(state: dict, dominant: dict[str, int], reason: str) -> dict:
@@ -180,16 +201,35 @@ def _row(kind: str, block: str, **fields) -> Row:
     return Row(kind=kind, block_id=block, payload=json.dumps(fields))
 
 
-def encoded_events(lines: DataFrame, source: str | Source, vocab: DataFrame, **options) -> DataFrame:
+def _counts(block: str, **counts: int) -> Row:
+    return _row("counts", block, **{"accepted": 0, "duplicates": 0, "late": 0, "rejected": 0, **counts})
+
+
+def encoded_events(lines: DataFrame, source: str | Source, vocab: DataFrame, rejects: bool = False, **options) -> DataFrame:
     """Raw lines (batch or stream) to cleaned, coded events, with the batch rules.
 
-    The vocabulary is only read: a value it lacks gets the next free code of its column.
+    The vocabulary is only read: a value it lacks gets the next free code of its column. With
+    ``rejects``, lines that give no event stay, under a few keys that ``block_stream`` only counts.
     """
     spec = get_source(source) if isinstance(source, str) else source
     parsed = parse(lines, spec, **options).observe(
         "input", F.count(F.lit(1)).alias("lines_received"),
         F.count_if(F.col("date").isNull() | F.col("block_id").isNull()).alias("lines_unparsed"))
-    return code_events(drop_invalid(coerce(recognized(parsed))), vocab)
+    if not rejects:
+        return code_events(drop_invalid(coerce(recognized(parsed))), vocab)
+    named = coerce(parsed.withColumn("_belongs", F.col("date").isNotNull() & F.col("block_id").isNotNull()))
+    event = F.col("_belongs") & valid()
+    # What a rejected row holds is not looked at; it must only not be null.
+    filler = {"datetime": F.lit("1970-01-01").cast("timestamp_ntz"), "block_id": F.concat(F.lit(REJECTED), F.pmod(F.col(ARRIVAL_SEQ), F.lit(REJECTED_KEYS))),
+              **{c: F.lit(UNKNOWN) for c in ("log_level", *ENCODED_COLUMNS)}}
+    kept = named.withColumn("_event", event).withColumns({c: F.when(F.col("_event"), F.col(c)).otherwise(v) for c, v in filler.items()})
+    return code_events(kept.drop("_belongs", "_event"), vocab)
+
+
+def free_codes(vocab: DataFrame) -> dict[str, int]:
+    """The next free code of each column; one row per column comes to the driver."""
+    found = {r["column"]: r["code"] + 1 for r in vocab.groupBy("column").agg(F.max("code").alias("code")).collect()}
+    return {c: found.get(c, 0) for c in ENCODED_COLUMNS}
 
 
 def code_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -197,26 +237,28 @@ def code_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
     out = events.withColumns({
         "seconds": seconds_of(F.col("datetime")), "ts": F.col("datetime").cast("timestamp"),
         "row_key": F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in content]))})
-    free = {r["column"]: r["code"] + 1 for r in vocab.groupBy("column").agg(F.max("code").alias("code")).collect()}  # one row per column
+    free = free_codes(vocab)
     for column in ENCODED_COLUMNS:
         codes = vocab.where(F.col("column") == column).select(F.col("value").alias(column), F.col("code").alias(f"{column}_encoded"))
         out = lookup(out, codes, [column]).withColumn(
-            f"{column}_encoded", F.coalesce(f"{column}_encoded", F.lit(free.get(column, 0))).cast("int"))
+            f"{column}_encoded", F.coalesce(f"{column}_encoded", F.lit(free[column])).cast("int"))
     out = out.observe("unseen", *[
-        F.count_if(F.col(f"{c}_encoded") == free.get(c, 0)).alias(f"unseen_{c}") for c in ENCODED_COLUMNS])
+        F.count_if(F.col(f"{c}_encoded") == free[c]).alias(f"unseen_{c}") for c in ENCODED_COLUMNS])
     kept = [c for c in (ARRIVAL_CHUNK, ARRIVAL_SEQ) if c in out.columns]
     return out.select(*kept, "block_id", "ts", "seconds", "log_level", "block_size", "row_key", *ENCODED_COLUMNS,
                       *[f"{c}_encoded" for c in ENCODED_COLUMNS])
 
 
-def block_stream(events: DataFrame, source: str | Source, ks, lateness_seconds: int = DEFAULT_LATENESS_SECONDS,
-                 tombstone_seconds: int | None = None, timeout_seconds: int | None | str = "source") -> DataFrame:
-    """Rows of OUTPUT_SCHEMA from a stream of coded events."""
+def block_stream(events: DataFrame, source: str | Source, ks, tombstone_seconds: int | None = None,
+                 timeout_seconds: int | None | str = "source", vocab: DataFrame | None = None) -> DataFrame:
+    """Rows of OUTPUT_SCHEMA from a stream of coded events. With the vocabulary they were coded by,
+    accepted events whose values it lacks are counted per column."""
     spec = get_source(source) if isinstance(source, str) else source
     timeout = spec.idle_timeout_seconds if timeout_seconds == "source" else timeout_seconds
-    delay = (timeout or 0) + lateness_seconds
-    emitted = events.withWatermark("ts", f"{delay} seconds").groupBy("block_id").transformWithState(
-        BlockProcessor(list(ks), timeout, lateness_seconds, spec.dedupe, tombstone_seconds), EMITTED_SCHEMA, "Append", "EventTime")
+    processor = BlockProcessor(list(ks), timeout, spec.dedupe, tombstone_seconds, free_codes(vocab) if vocab is not None else None)
+    ahead = events.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(AHEAD)))
+    emitted = ahead.withWatermark("ts", f"{(timeout or 0) + AHEAD} seconds").groupBy("block_id").transformWithState(
+        processor, EMITTED_SCHEMA, "Append", "EventTime")
     inner = T.StructType([f for f in OUTPUT_SCHEMA if f.name not in ("kind", "block_id")])
     return emitted.withColumn("_p", F.from_json("payload", inner)).select("kind", "block_id", "_p.*")
 

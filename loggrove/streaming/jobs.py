@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from loggrove.functions.stats import ratio
@@ -13,10 +13,11 @@ from loggrove.operators import forest as forests
 from loggrove.operators.forest import Forest
 from loggrove.operators.prefix import count_columns
 from loggrove.operators.retention import Normalizer, Policy, block_table, decide
-from loggrove.schema import ANOMALY
-from loggrove.streaming.blocks import block_stream, open_blocks
+from loggrove.schema import ANOMALY, ENCODED_COLUMNS
+from loggrove.streaming.blocks import OUTPUT_SCHEMA, block_stream, open_blocks
 
 TABLES = ("alerts", "decisions", "counts")
+COUNTS = ("accepted", "duplicates", "late", "rejected", *[f"unseen_{c}" for c in ENCODED_COLUMNS])
 
 
 @dataclass
@@ -36,16 +37,30 @@ def _moment(column: str):
     return F.timestamp_seconds(column).cast("timestamp_ntz")
 
 
-def early_alerts(rows: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
-    """Snapshots at or above their threshold; per block the first k that fires."""
-    snapshots = rows.where(F.col("kind") == "snapshot")
+def _fired(snapshots: DataFrame, scorer: Scorer) -> DataFrame:
+    """Snapshots at or above the threshold of their k."""
     scored = forests.score(count_columns(snapshots, scorer.event_types), scorer.early, "k")
     threshold = F.lit(None).cast("double")
     for k, value in scorer.thresholds.items():
         threshold = F.when(F.col("k") == k, F.lit(value)).otherwise(threshold)
-    fired = scored.withColumn("threshold", threshold).where(F.col("score") >= F.col("threshold"))
-    first = fired.groupBy("block_id").agg(F.min_by(F.struct("k", "score", "threshold", "event_seconds"), "k").alias("_a"))
-    return first.select("block_id", "_a.*").select(
+    return scored.withColumn("threshold", threshold).where(F.col("score") >= F.col("threshold"))
+
+
+def early_alerts(rows: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
+    """Per block the first k that fires, if that is a snapshot of these rows.
+
+    A snapshot brings the block's earlier ones along (at most one per prefix length), which are scored
+    again: what one of them fired in an earlier batch is told already. So nothing of the run is read.
+    """
+    snapshots = rows.where(F.col("kind") == "snapshot")
+    fields = T.StructType([f for f in OUTPUT_SCHEMA if f.name not in ("kind", "block_id", "earlier")])
+    before = snapshots.select("block_id", F.explode("earlier").alias("_e")).select(
+        F.lit("snapshot").alias("kind"), "block_id", F.from_json("_e", fields).alias("_p")).select("kind", "block_id", "_p.*")
+    # The same snapshot may come along with several later ones, and be in these rows itself.
+    both = snapshots.drop("earlier").withColumn("_here", F.lit(True)).unionByName(before.withColumn("_here", F.lit(False)))
+    first = _fired(both, scorer).groupBy("block_id").agg(F.min_by(F.struct("k", "score", "threshold", "event_seconds"), "k").alias("_a"),
+                                                         F.min(F.when(F.col("_here"), F.col("k"))).alias("_k_here"))
+    return first.where(F.col("_k_here") == F.col("_a.k")).select("block_id", "_a.*").select(
         F.concat_ws(":", F.lit(run_id), F.lit("early_warning"), "block_id").alias("alert_id"), F.lit(run_id).alias("run_id"),
         F.lit("early_warning").alias("type"), "block_id", "score", "threshold", F.col("k").cast("long").alias("events_seen"),
         _moment("event_seconds").alias("event_time"), "k", F.lit(None).cast("string").alias("finalize_reason"))
@@ -81,7 +96,7 @@ def _folder(out: str, name: str, run_id: str) -> str:
 
 
 def earlier_alerts(spark: SparkSession, out: str, run_id: str, epoch: int) -> DataFrame:
-    """Ids that the run's earlier batches have written."""
+    """Ids that the run's earlier batches have written; only for snapshots that do not know their earlier ones."""
     try:
         written = spark.read.parquet(_folder(out, "alerts", run_id))
     except AnalysisException:  # nothing has been written yet
@@ -92,15 +107,18 @@ def earlier_alerts(spark: SparkSession, out: str, run_id: str, epoch: int) -> Da
 def write_outputs(rows: DataFrame, scorer: Scorer, run_id: str, out: str, epoch: int) -> None:
     """Write one batch's alerts, decisions and counts. Every batch of every run owns its folder,
     so a repeated batch replaces what it wrote before and runs never touch each other's rows.
-    A block's early warning is written once: later batches leave out what earlier ones have told."""
+    A block's early warning is written once. The counts come last and commit the batch:
+    ``read_outputs`` leaves out alerts and decisions of a batch whose counts are not there."""
     spark = rows.sparkSession
     rows = rows.persist()
     try:
         decided = decisions(rows, scorer, run_id).persist()
-        early = early_alerts(rows, scorer, run_id).join(earlier_alerts(spark, out, run_id, epoch), "alert_id", "left_anti")
+        early = early_alerts(rows, scorer, run_id)
+        if not rows.where((F.col("kind") == "snapshot") & F.col("earlier").isNull()).isEmpty():
+            early = early.join(earlier_alerts(spark, out, run_id, epoch), "alert_id", "left_anti")
         alerts = early.unionByName(block_alerts(decided, run_id))
         counted = rows.where(F.col("kind") == "counts").agg(
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("accepted", "duplicates", "late")], F.current_timestamp().alias("at")).withColumn(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], F.current_timestamp().alias("at")).withColumn(
             "run_id", F.lit(run_id))
         for name, frame in (("alerts", alerts), ("decisions", decided), ("counts", counted)):
             frame.write.mode("overwrite").parquet(f"{_folder(out, name, run_id)}/epoch={epoch}")
@@ -125,8 +143,11 @@ def flush(spark: SparkSession, scorer: Scorer, run_id: str, out: str, checkpoint
 
 
 def read_outputs(spark: SparkSession, out: str, run_id: str | None = None) -> dict[str, DataFrame]:
-    """The written tables of one run or of all."""
-    tables = {name: spark.read.parquet(f"{out}/{name}").drop("epoch", "run") for name in TABLES}
+    """The written tables of one run or of all, committed batches only (one row each says so)."""
+    tables = {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
+    committed = tables["counts"].select("run", "epoch").distinct()
+    tables = {name: (frame if name == "counts" else frame.join(committed, ["run", "epoch"], "left_semi")).drop("epoch", "run")
+              for name, frame in tables.items()}
     return {name: frame.where(F.col("run_id") == run_id) if run_id else frame for name, frame in tables.items()}
 
 
@@ -156,7 +177,7 @@ def run_status(alerts: DataFrame, decided: DataFrame, counts: DataFrame | None =
         "early_warning_alerts": F.coalesce("early_warning_alerts", F.lit(0)), "block_anomaly_alerts": F.coalesce("block_anomaly_alerts", F.lit(0)),
         "storage_saved_pct": 100.0 * (1 - ratio(F.col("lines_kept"), F.col("lines_seen"), 1.0))})
     if counts is not None:
-        out = out.join(counts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("accepted", "duplicates", "late")]), "run_id", "left")
+        out = out.join(counts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in COUNTS]), "run_id", "left")
     return out
 
 
