@@ -247,6 +247,25 @@ def _judged(model: LogisticRegressionModel, hashed: DataFrame) -> DataFrame:
         "lead", log(top) - log(none + F.get("_p", F.lit(OTHER_LICENCE)))).withColumn("odds", log(1 - none) - log(none)).drop("_p")
 
 
+def _longest(pair: str) -> str:
+    return max(pair.split(" "), key=lambda word: (len(word), word))
+
+
+def _telling_pairs(spark: SparkSession) -> list[str]:
+    """Word pairs of which every piece that confirms a template holds one.
+
+    Such a piece has CONFIRMED of the template's n word pairs, so it lacks fewer than any
+    n - ceil(CONFIRMED * n) + 1 of them; taken are those with the longest words, which are rare.
+    """
+    templates = _fixed(spark).where((F.col("label") > 0) & (F.col("label") < OTHER_LICENCE)).select(F.array_distinct(word_pairs(F.col("words"))))
+    found = set()
+    for (pairs,) in templates.collect():  # the fixed sentences
+        rarest = sorted(pairs, key=lambda pair: (-len(_longest(pair)), pair))
+        needed = next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRMED)
+        found |= set(rarest[:len(pairs) - needed + 1])
+    return sorted(found)
+
+
 def _line(rows: DataFrame, feature: str, right: Column) -> tuple[float, float]:
     """Slope and offset that turn a feature into the chance that ``right`` holds."""
     marked = rows.select(feature, right.cast("double").alias("right"))
@@ -268,11 +287,19 @@ def judged_pieces(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Pieces that look like licences, and a row without piece for every document: the ``keep``
     columns, ``family`` (a name, 'unknown' or null), ``chance`` (of the family, or of any licence where that is unknown) and ``words``.
 
+    Only pieces that hold a word of CUES or one of a template's ``_telling_pairs`` are judged: no other piece
+    can be confirmed, and none without a word of CUES is unknown.
+
     Rows are not told apart but by ``keep``. Null, empty and wordless texts give the row without piece alone, and an
     empty table nothing. Texts of any length are cut in time in proportion to it, whether they have lines or not.
     """
     model, any_line, family_line = _learned(training(docs))
     pieces = docs.select(*keep, F.explode(F.concat(F.array(F.array().cast("array<string>")), pieces_of(F.col("text")))).alias("words"))
+    # Most pieces end here, ahead of the hashing.
+    telling = _telling_pairs(docs.sparkSession)
+    possible = _speaks_of_licences(F.concat_ws(" ", "words")) | (
+        F.arrays_overlap("words", F.lit(sorted({_longest(pair) for pair in telling}))) & F.arrays_overlap(word_pairs(F.col("words")), F.lit(telling)))
+    pieces = pieces.where((F.size("words") == 0) | possible)
     chance = lambda feature, line: 1 / (1 + F.exp(-(line[0] * F.col(feature) + line[1])))
     seen = _judged(model, _hashed(pieces)).withColumn("licence", chance("odds", any_line)).withColumn("chance", chance("lead", family_line))
     likely = (F.size("words") > 0) & ((F.col("chance") >= 0.5) | (F.col("licence") >= UNKNOWN_FROM))

@@ -108,3 +108,12 @@ def test_long_lines_take_time_in_proportion(spark):
     cut = documents(spark, [words, words + "\n" + words]).select(licences.pieces_of("text").alias("p"))
     started = time.time()
     assert cut.selectExpr("sum(size(p))").first()[0] > 5000 and time.time() - started < 30
+
+
+def test_every_piece_that_can_be_confirmed_holds_a_telling_pair(spark):
+    """The words of each template, with as many pairs taken away as a confirmed piece may lack, the telling ones first."""
+    telling = set(licences._telling_pairs(spark))
+    fixed = licences._fixed(spark).where(f"label > 0 and label < {licences.OTHER_LICENCE}")
+    for (pairs,) in fixed.select(F.array_distinct(licences.word_pairs(F.col("words")))).collect():
+        lacking = max(k for k in range(len(pairs) + 1) if (len(pairs) - k) / len(pairs) >= licences.CONFIRMED)
+        assert len(telling & set(pairs)) > lacking
