@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loggrove.functions.stats import count_if, f1, ratio
@@ -137,14 +140,35 @@ def tune_threshold(train: DataFrame, score: str, positive: Column, quantiles=ALE
                          F.col("best.tp").alias("tp"), F.col("best.alerts").alias("alerts"))
 
 
+def _interval(score: str, cuts: list[float], frame: DataFrame) -> DataFrame:
+    """Add ``_interval``: how many of the falling ``cuts`` a score does not exceed; null for a null score.
+
+    A JVM binary search over the negated cuts, so that an interval holds its upper end and each row is
+    read once however many cuts there are. NaN is above every cut, as in comparisons of Spark.
+    """
+    negated = F.when(~F.isnan(score), -F.col(score))
+    finder = Bucketizer(splits=[-math.inf, *[-c for c in cuts], math.inf], inputCol="_negated", outputCol="_found", handleInvalid="keep")
+    placed = finder.transform(frame.withColumn("_negated", negated.cast("double")))
+    return placed.withColumn("_interval", F.when(F.col(score).isNull(), None).when(F.isnan(score), 0).otherwise(F.col("_found")).cast("int"))
+
+
 def metrics_at(frame: DataFrame, score: str, positive: Column, thresholds: list[tuple[str, float]]) -> DataFrame:
-    """Precision, recall, F1 of the strict rule ``score > threshold`` per named threshold."""
-    named = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(float(t)).alias("threshold")) for name, t in thresholds]))
-    rows = frame.select(F.col(score).alias("_s"), positive.alias("_p"), named.alias("_t"))
-    flagged = F.col("_s") > F.col("_t.threshold")
-    counts = rows.groupBy(F.col("_t.name").alias("name"), F.col("_t.threshold").alias("threshold")).agg(
-        count_if(flagged & F.col("_p")).alias("tp"), count_if(flagged).alias("flagged"), count_if(F.col("_p")).alias("positives"))
+    """Precision, recall, F1 of the strict rule ``score > threshold`` per named threshold.
+
+    Rows are counted by the interval between two cuts they fall in; a threshold's counts are the sums
+    over the intervals above it. An empty frame gives no rows.
+    """
+    cuts = sorted({float(t) for _, t in thresholds}, reverse=True)
+    rows = _interval("_s", cuts, frame.select(F.col(score).cast("double").alias("_s"), positive.alias("_p")))
+    counted = rows.groupBy("_interval").agg(count_if(F.col("_p")).alias("pos"), F.count(F.lit(1)).alias("rows"))
+    whole = counted.agg(F.collect_list(F.struct("*")).alias("_all")).where(F.size("_all") > 0)  # one entry per interval
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(t)).alias("threshold"), F.lit(cuts.index(float(t))).alias("at"))
+                                for name, t in thresholds]))
+    each = whole.withColumn("_t", named)
+    above = F.filter("_all", lambda e: e["_interval"] <= F.col("_t.at"))
+    total = lambda entries, field: F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e[field])
+    counts = each.select(F.col("_t.name").alias("name"), F.col("_t.threshold").alias("threshold"), total(above, "pos").alias("tp"),
+                         total(above, "rows").alias("flagged"), total(F.col("_all"), "pos").alias("positives"))
     out = counts.withColumn("precision", ratio(F.col("tp"), F.col("flagged"))).withColumn(
         "recall", ratio(F.col("tp"), F.col("positives")))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))

@@ -80,12 +80,27 @@ def prefix_features(log: DataFrame, ks=PREFIX_LENGTHS, vocab: DataFrame | None =
         "block_id", "k", *PREFIX_FIXED_COLUMNS, "type_counts", *PREFIX_BOOKKEEPING_COLUMNS)
 
 
-def count_columns(features: DataFrame, event_types) -> DataFrame:
-    """One ``count_<type>`` column per named event type, 0 where the prefix has none."""
-    return features.withColumns({
+def count_columns(features: DataFrame, event_types, shared: int = 0) -> DataFrame:
+    """One ``count_<type>`` column per named event type, 0 where the prefix has none.
+
+    All other types are added up in ``shared`` columns ``shared_count_<i>``, by crc32 of the type modulo
+    their number, so that no type is left out however many there are.
+    """
+    named = features.withColumns({
         f"count_{t}": F.coalesce(F.try_element_at("type_counts", F.lit(t)), F.lit(0)) for t in event_types})
+    if not shared:
+        return named
+    others = F.map_filter("type_counts", lambda t, _: ~F.coalesce(F.array_contains(F.lit(list(event_types)).cast("array<string>"), t), F.lit(False)))
+    placed = F.transform(F.map_entries(others), lambda e: F.struct(F.pmod(F.crc32(e["key"]), F.lit(shared)).alias("at"), e["value"].alias("n")))
+
+    def shared_count(number: int) -> Column:
+        return F.aggregate(F.filter("_others", lambda e: e["at"] == number), F.lit(0), lambda total, e: total + e["n"])
+
+    # A prefix without counts (null) has 0 of every type.
+    sums = {f"shared_count_{i}": F.coalesce(shared_count(i), F.lit(0)) for i in range(shared)}
+    return named.withColumn("_others", placed).withColumns(sums).drop("_others")
 
 
-def model_columns(event_types) -> list[str]:
+def model_columns(event_types, shared: int = 0) -> list[str]:
     """Model inputs in a fixed order; bookkeeping columns are never among them."""
-    return [*PREFIX_FIXED_COLUMNS, *[f"count_{t}" for t in event_types]]
+    return [*PREFIX_FIXED_COLUMNS, *[f"count_{t}" for t in event_types], *[f"shared_count_{i}" for i in range(shared)]]

@@ -48,18 +48,19 @@ def judged(scored: DataFrame, thresholds: dict[int, float]) -> DataFrame:
 
 
 def train_early_warning(prefixes: DataFrame, labels: DataFrame, event_types: list[str], test_size: float = 0.3,
-                        base: ForestParams = ForestParams(), vocab: DataFrame | None = None, protocol: str = "holdout") -> EarlyWarning:
+                        base: ForestParams = ForestParams(), vocab: DataFrame | None = None, protocol: str = "holdout", shared: int = 0) -> EarlyWarning:
     """Fit, tune and evaluate all prefix lengths on one and the same split of blocks.
 
-    Blocks without a label count as Normal. Labels never reach the fit.
+    Blocks without a label count as Normal. Labels never reach the fit. Event types that are not
+    among ``event_types`` are inputs through ``shared`` columns (see ``count_columns``).
     """
-    rows = count_columns(prefixes, event_types).drop("type_counts")
+    rows = count_columns(prefixes, event_types, shared).drop("type_counts")
     blocks = rows.select("block_id").distinct().join(labels.select("block_id", "label"), "block_id", "left").select(
         "block_id", F.coalesce("label", F.lit("Normal")).alias("label"))
     split = sampling.stratified_split(written(blocks, "labels"), test_size, SEED, protocol=protocol)
     rows = written(rows.join(split, "block_id"), "prefixes")
     train = sampling.side(rows, "train")
-    inputs = model_columns(event_types)
+    inputs = model_columns(event_types, shared)
     dropped = constant_columns(train, inputs, by="k")
     ks = sorted(dropped)
     features = {k: [c for c in inputs if c not in dropped[k]] for k in ks}

@@ -27,11 +27,13 @@ def _long(frame: DataFrame, section: str, subject, measures) -> DataFrame:
 
 
 def source_report(structured: DataFrame, source: str, labels: DataFrame, population: int = 16, generations: int = 12, parents: int = 8,
-                  policy_population: int = 60, policy_generations: int = 60, policy_parents: int = 20, trials: int = 10, counted_types: int = 1000) -> DataFrame:
+                  policy_population: int = 60, policy_generations: int = 60, policy_parents: int = 20, trials: int = 10, counted_types: int = 1000, shared_types: int = 64) -> DataFrame:
     """Ingest, label, split, train, search, promote, tune retention and early warning.
 
     ``labels`` has block_id and label; blocks it lacks count as Normal. The early-warning models get a
-    count column for each of the first ``counted_types`` event types by code, that is by first arrival.
+    count column for each of the first ``counted_types`` event types by code, that is by first arrival; all
+    later ones are counted in ``shared_types`` columns by their hash. A column that is constant in training
+    is no input, so the shared ones cost nothing where there are no later types.
     """
     spec = get_source(source)
     structured = written(structured, "structured")
@@ -64,7 +66,7 @@ def source_report(structured: DataFrame, source: str, labels: DataFrame, populat
     parts.append(_long(compared, "retention", F.col("baseline"), KEPT))
 
     event_types = [r["value"] for r in vocab.where(F.col("column") == "event_type").orderBy("code").limit(counted_types).collect()]
-    early = train_early_warning(prefix_features(cleaned, PREFIX_LENGTHS, vocab), labels, event_types, vocab=vocab, protocol=spec.protocol)
+    early = train_early_warning(prefix_features(cleaned, PREFIX_LENGTHS, vocab), labels, event_types, vocab=vocab, protocol=spec.protocol, shared=shared_types)
     for section, running in (("early_warning", False), ("early_warning_running", True)):
         parts.append(_long(early.report("test", running), section, F.concat(F.lit("k="), F.col("k")),
                            ("precision", "recall", "f1", "false_alarm_rate", "mean_lead", "expected_lead_per_alert")))

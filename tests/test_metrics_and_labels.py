@@ -183,3 +183,29 @@ def test_views(spark):
     assert (counts["blocks_analyzed"], counts["anomalies_detected"], counts["anomaly_rate_pct"]) == (3, 2, 66.67)
     with pytest.raises(ValueError, match="labels"):
         uploads.verify_blind(view.withColumn("label", F.lit("x")), dataset)
+
+
+def test_many_cuts_in_one_pass_agree_with_plain_counts(spark):
+    scores = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 0.25, 0.25, 0.5, 0.75, 1.0]
+    frame = spark.createDataFrame([(s, i % 3 == 0) for i, s in enumerate(scores)], "score double, yes boolean")
+    cuts = [("a", 0.25), ("b", 0.0), ("same", 0.25), ("c", 0.6), ("top", 2.0), ("low", -1.0)]
+    found = {r["name"]: (r["tp"], r["flagged"], r["positives"]) for r in metrics.metrics_at(frame, "score", F.col("yes"), cuts).collect()}
+    for name, cut in cuts:
+        over = F.col("score") > cut
+        plain = frame.agg(F.count_if(over & F.col("yes")), F.count_if(over), F.count_if("yes")).first()
+        assert found[name] == tuple(plain), name
+    assert metrics.metrics_at(frame.limit(0), "score", F.col("yes"), cuts).count() == 0
+
+
+def test_event_types_beyond_the_named_ones_share_columns(spark):
+    from loggrove.operators.prefix import count_columns, model_columns
+
+    types = {f"type-{i}": i + 1 for i in range(5_000)}
+    frame = spark.createDataFrame([("x", types), ("y", {"type-3": 2}), ("z", {}), ("n", None)], "block_id string, type_counts map<string,int>")
+    named = ["type-0", "type-3"]
+    rows = {r["block_id"]: r.asDict() for r in count_columns(frame, named, 8).collect()}
+    total = lambda row: sum(row[c] for c in model_columns(named, 8) if "count_" in c and c in row and c not in ("warn_count", "error_count"))
+    assert total(rows["x"]) == sum(types.values()) and rows["x"]["count_type-3"] == 4
+    assert (rows["y"]["count_type-3"], total(rows["y"])) == (2, 2) and total(rows["z"]) == 0
+    assert min(rows["x"][f"shared_count_{i}"] for i in range(8)) > 0
+    assert "shared_count_0" not in count_columns(frame, named).columns
