@@ -2,7 +2,9 @@
 
 One keyed stateful operator folds events into their block, snapshots a block's prefix
 at exactly its k-th event, ends blocks that fell silent and remembers ended ones. It
-emits plain rows; scoring and decisions are ordinary columns downstream.
+emits plain rows; scoring and decisions are ordinary columns downstream. Its key is a
+bucket of blocks, as a state call costs about as much as folding several events: small
+blocks are read and written together, and what a large one remembers lies in pages.
 
 Every row that comes in is counted in a row that goes out: accepted, duplicate, late or,
 if it is no event at all, rejected. No row is too late for the engine itself (see ``AHEAD``).
@@ -11,6 +13,7 @@ if it is no event at all, rejected. No row is too late for the engine itself (se
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F, types as T
@@ -55,139 +58,208 @@ OUTPUT_SCHEMA = T.StructType([
 # Python side three values whatever its kind.
 EMITTED_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "block_id", "payload")])
 
-TOTALS_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("t_min", T.LongType()), T.StructField("t_max", T.LongType()),
-    T.StructField("last", T.LongType()), T.StructField("warn", T.LongType()), T.StructField("error", T.LongType()),
-    T.StructField("is_error", T.IntegerType()), T.StructField("size", T.DoubleType()),
-    T.StructField("first_component", T.IntegerType()), T.StructField("first_event_type", T.IntegerType()),
-    T.StructField("snapshots", T.StringType()),
-])
-_TOTALS = [f.name for f in TOTALS_SCHEMA]
-COUNT_KEY = T.StructType([T.StructField("column", T.StringType()), T.StructField("value", T.StringType())])
-COUNT_VALUE = T.StructType([T.StructField("n", T.LongType()), T.StructField("code", T.IntegerType())])
+# What is held of a block, as JSON: its running totals, and two dictionaries that move into pages once they are large.
+TOTALS = {"n": 0, "t_min": None, "t_max": None, "last": None, "warn": 0, "error": 0, "is_error": 0, "size": 0.0,
+          "first_component": None, "first_event_type": None}
+HELD_SCHEMA = T.MapType(T.StringType(), T.StructType([
+    *[T.StructField(name, {"size": T.DoubleType(), "is_error": T.IntegerType(), "first_component": T.IntegerType(),
+                           "first_event_type": T.IntegerType()}.get(name, T.LongType())) for name in TOTALS],
+    T.StructField("counts", T.MapType(T.StringType(), T.ArrayType(T.LongType()))), T.StructField("counts_bits", T.IntegerType())]))
+PAGE_KEY = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("page", T.LongType())])
+BUCKETS = 4_096   # state is read and written by bucket of blocks: a call for each of them in a batch, not for each block
+PAGE = 1_024      # entries of a block's dictionary that are held with its totals, and in a page beyond
+
+
+class Paged:
+    """A dictionary of one block: held with its totals while small, else dealt by hash over pages that are read when touched."""
+
+    def __init__(self, pages, block: str, name: str, held: dict, most: int):
+        self.pages, self.block, self.name, self.held, self.most = pages, block, name, held, most
+        self.own, self.bits = held.get(name, {}), held.get(f"{name}_bits")
+        self.size = len(self.own) if self.bits is None else held[f"{name}_size"]
+        self.read, self.changed = {}, set()
+
+    def _number(self, key: str) -> int:
+        return zlib.crc32(key.encode()) & ((1 << self.bits) - 1)
+
+    def _page(self, number: int) -> dict:
+        if number not in self.read:
+            found = self.pages.getValue((self.block, self.name, number))
+            self.read[number] = {} if found is None else json.loads(found[0])
+        return self.read[number]
+
+    def get(self, key: str):
+        return (self.own if self.bits is None else self._page(self._number(key))).get(key)
+
+    def put(self, key: str, value) -> None:
+        into = self.own
+        if self.bits is not None:
+            number = self._number(key)
+            into = self._page(number)
+            self.changed.add(number)
+        self.size += key not in into
+        into[key] = value
+
+    def entries(self) -> dict:
+        if self.bits is None:
+            return self.own
+        return {k: v for number in range(1 << self.bits) for k, v in self._page(number).items()}
+
+    def store(self) -> None:
+        if self.size > self.most << (self.bits or 0):   # four times the pages, so an entry moves a bounded number of times on average
+            entries = self.entries()
+            self.bits = max(1, (4 * self.size // self.most).bit_length())
+            self.own, self.read, self.changed = {}, {number: {} for number in range(1 << self.bits)}, set(range(1 << self.bits))
+            for key, value in entries.items():
+                self.read[self._number(key)][key] = value
+        for number in self.changed:
+            self.pages.updateValue((self.block, self.name, number), (json.dumps(self.read[number]),))
+        self.held[self.name] = self.own
+        if self.bits is not None:
+            self.held |= {f"{self.name}_bits": self.bits, f"{self.name}_size": self.size}
+
+    def clear(self) -> None:
+        for number in range(1 << self.bits if self.bits is not None else 0):
+            self.pages.removeKey((self.block, self.name, number))
 
 
 def _dominant(counts: dict, column: str) -> int:
     """The code with the highest count; among equals the smallest."""
-    return min(((-n, code) for (c, _), (n, code) in counts.items() if c == column))[1]
+    return min((-n, code) for key, (n, code) in counts.items() if key.startswith(column + ":"))[1]
 
 
 class BlockProcessor(StatefulProcessor):
-    """Folds events; see the module text. ``timeout`` None means only the end of the
-    stream closes a block. A closed block keeps a tombstone (n = -1) in its totals.
+    """Folds the events of a bucket of blocks; see the module text. ``timeout`` None means only the end of the
+    stream closes a block. A closed block keeps a tombstone (n = -1).
     ``free`` holds the code of each column's values that the vocabulary lacks."""
 
-    def __init__(self, ks: list[int], timeout: int | None, dedupe: bool, tombstone: int | None = None, free: dict[str, int] | None = None):
-        self.ks, self.timeout, self.dedupe, self.tombstone, self.free = sorted(ks), timeout, dedupe, tombstone, free or {}
+    def __init__(self, ks: list[int], timeout: int | None, dedupe: bool, tombstone: int | None = None, free: dict[str, int] | None = None,
+                 page: int = PAGE):
+        self.ks, self.timeout, self.dedupe, self.tombstone, self.free, self.page = sorted(ks), timeout, dedupe, tombstone, free or {}, page
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", TOTALS_SCHEMA)
-        self.counts = handle.getMapState("counts", COUNT_KEY, COUNT_VALUE)
-        self.seen = handle.getMapState("seen", "row string", "yes boolean")
+        self.blocks = handle.getValueState("blocks", "timer long, held string")
+        self.pages = handle.getMapState("pages", PAGE_KEY, "page string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        block = key[0]
-        if block.startswith(REJECTED):
-            yield _counts(block, rejected=sum(1 for _ in rows))
-            return
-        state = self._load()
-        events = sorted(rows, key=lambda r: (getattr(r, ARRIVAL_CHUNK, ""), r[ARRIVAL_SEQ]))
-        if state["n"] < 0:
-            yield _counts(block, late=len(events))
-            return
-        before, duplicates, fresh = state["last"], 0, set()
-        stored = state["n"] > 0   # a new block has nothing to look up
-        unseen = dict.fromkeys(ENCODED_COLUMNS, 0)
-        # Counts touched by this batch; all of them (at most k per column) while the prefix is open.
-        known = {tuple(k): tuple(v) for k, v in self.counts.iterator()} if 0 < state["n"] < self.ks[-1] else {}
+        arrived: dict[str, list] = {}
+        for row in rows:
+            event = json.loads(row["event"])
+            arrived.setdefault(event["block_id"], []).append(event)
+        timer, held = self._load()
+        changed = False
+        for block, events in arrived.items():
+            if block.startswith(REJECTED):
+                yield _counts(block, rejected=len(events))
+            elif held.get(block, TOTALS)["n"] < 0:
+                yield _counts(block, late=len(events))
+            else:
+                state = held.setdefault(block, dict(TOTALS))
+                before = state["n"]
+                yield from self._take(block, state, events)
+                changed |= state["n"] > before
+        if changed:
+            self._save(timer, held)
+
+    def _take(self, block: str, state: dict, events: list) -> Iterator[Row]:
+        """The events of one block, in the order of their arrival."""
+        events.sort(key=lambda r: (r.get(ARRIVAL_CHUNK, ""), r[ARRIVAL_SEQ]))
+        seen, counts = (Paged(self.pages, block, name, state, self.page) for name in ("seen", "counts"))
+        duplicates, unseen = 0, dict.fromkeys(ENCODED_COLUMNS, 0)
         for event in events:
             if self.dedupe:
-                if event.row_key in fresh or (stored and self.seen.containsKey((event.row_key,))):
+                if seen.get(event["row_key"]):
                     duplicates += 1
                     continue
-                fresh.add(event.row_key)
-            self._fold(state, known, event, stored)
+                seen.put(event["row_key"], 1)
+            self._fold(state, counts, event)
             for column, code in self.free.items():
                 unseen[column] += event[f"{column}_encoded"] == code
             if state["n"] in self.ks:
-                yield self._snapshot(block, state, known, int(event.seconds))
+                yield self._snapshot(block, state, counts.entries(), int(event["seconds"]))
         if len(events) > duplicates:
-            for row_key in fresh:
-                self.seen.updateValue((row_key,), (True,))
-            for entry, value in known.items():
-                self.counts.updateValue(entry, value)
-            self.totals.update(tuple(state[name] for name in _TOTALS))
-            self._restart_timer(before, state["last"])
+            seen.store()
+            counts.store()
         yield _counts(block, accepted=len(events) - duplicates, duplicates=duplicates, **{f"unseen_{c}": n for c, n in unseen.items()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self._load()
-        if state["n"] <= 0:           # the tombstone's own timer, or nothing left
-            self.totals.clear()
-            return
-        counts = {tuple(k): tuple(v) for k, v in self.counts.iterator()}
-        self.counts.clear()
-        if self.dedupe:
-            self.seen.clear()
-        self.totals.update(tuple({**dict.fromkeys(_TOTALS), "n": -1, "last": state["last"]}[name] for name in _TOTALS))
-        if self.tombstone is not None:
-            self.handle.registerTimer((state["last"] + self.tombstone) * 1000)
-        yield _row("final", key[0], **final_fields(state, {c: _dominant(counts, c) for c in ENCODED_COLUMNS}, "timeout"))
+        _, held = self._load()
+        # One timer stands for all blocks of the bucket whose time has come.
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        for block, state in list(held.items()):
+            expiry = self._expiry(state)
+            if expiry is None or expiry > passed:
+                continue
+            if state["n"] < 0:
+                del held[block]
+                continue
+            seen, counts = (Paged(self.pages, block, name, state, self.page) for name in ("seen", "counts"))
+            entries = counts.entries()
+            fields = final_fields(state, {c: _dominant(entries, c) for c in ENCODED_COLUMNS}, "timeout")
+            seen.clear()
+            counts.clear()
+            held[block] = {"n": -1, "last": state["last"]}
+            yield _row("final", block, **fields)
+        self._save(None, held)   # the timer that was there has gone off
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict:
-        stored = self.totals.get()
-        if stored is None:
-            return {**dict.fromkeys(_TOTALS), "n": 0, "warn": 0, "error": 0, "is_error": 0, "size": 0.0, "snapshots": "[]"}
-        return dict(zip(_TOTALS, stored))
+    def _load(self) -> tuple[int | None, dict]:
+        stored = self.blocks.get()
+        return (None, {}) if stored is None else (stored[0], json.loads(stored[1]))
+
+    def _save(self, timer: int | None, held: dict) -> None:
+        """Store the bucket, with a timer at the first time at which one of its blocks or tombstones ends."""
+        due = min((t for t in map(self._expiry, held.values()) if t is not None), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if held:
+            self.blocks.update((due, json.dumps(held)))
+        else:
+            self.blocks.clear()
+
+    def _expiry(self, state: dict) -> int | None:
+        """The watermark runs timeout behind the newest event's real time, so it passes
+        this point exactly when the newest event is more than timeout after ``last``."""
+        if state["n"] < 0:
+            return None if self.tombstone is None else (state["last"] + self.tombstone) * 1000
+        return None if self.timeout is None else state["last"] * 1000 + 1
 
-    def _fold(self, state: dict, known: dict, event, stored: bool) -> None:
-        seconds, level = int(event.seconds), event.log_level.upper()
+    def _fold(self, state: dict, counts: Paged, event: dict) -> None:
+        seconds, level = int(event["seconds"]), event["log_level"].upper()
         if state["n"] == 0:
-            state["first_component"], state["first_event_type"] = int(event.component_encoded), int(event.event_type_encoded)
+            state["first_component"], state["first_event_type"] = int(event["component_encoded"]), int(event["event_type_encoded"])
             state["t_min"] = state["t_max"] = seconds
         state["n"] += 1
         state["t_min"], state["t_max"], state["last"] = min(state["t_min"], seconds), max(state["t_max"], seconds), seconds
         state["warn"] += level in WARN_LEVELS
         state["error"] += level in ERROR_LEVELS
         state["is_error"] = max(state["is_error"], int(level == "ERROR"))
-        state["size"] = max(state["size"], float(event.block_size))
+        state["size"] = max(state["size"], float(event["block_size"]))
         for column in ENCODED_COLUMNS:
-            entry = (column, event[column])
-            if entry not in known:
-                found = self.counts.getValue(entry) if stored else None
-                known[entry] = (0, int(event[f"{column}_encoded"])) if found is None else tuple(found)
-            known[entry] = (known[entry][0] + 1, known[entry][1])
-
-    def _snapshot(self, block: str, state: dict, known: dict, seconds: int) -> Row:
-        types = {value: n for (column, value), (n, _) in known.items() if column == "event_type"}
-        earlier = json.loads(state["snapshots"])
+            entry = f"{column}:{event[column]}"
+            found = counts.get(entry)
+            counts.put(entry, [1, int(event[f"{column}_encoded"])] if found is None else [found[0] + 1, found[1]])
+
+    def _snapshot(self, block: str, state: dict, counts: dict, seconds: int) -> Row:
+        types = {key.partition(":")[2]: n for key, (n, _) in counts.items() if key.startswith("event_type:")}
+        earlier = state.get("snapshots", [])
         fields = dict(
             k=state["n"], event_seconds=seconds, n_events=state["n"],
             elapsed_seconds=state["t_max"] - state["t_min"], distinct_event_types=len(types),
-            distinct_components=sum(column == "component" for column, _ in known),
+            distinct_components=sum(key.startswith("component:") for key in counts),
             warn_count=state["warn"], error_count=state["error"], block_size_max=state["size"],
             first_component_encoded=state["first_component"], first_event_type_encoded=state["first_event_type"],
-            dominant_component_encoded=_dominant(known, "component"),
-            dominant_event_type_encoded=_dominant(known, "event_type"), type_counts=types)
-        state["snapshots"] = json.dumps([*earlier, json.dumps(fields)]) if state["n"] < self.ks[-1] else "[]"
+            dominant_component_encoded=_dominant(counts, "component"),
+            dominant_event_type_encoded=_dominant(counts, "event_type"), type_counts=types)
+        state["snapshots"] = [*earlier, json.dumps(fields)] if state["n"] < self.ks[-1] else []
         return _row("snapshot", block, **fields, earlier=earlier)
 
-    def _restart_timer(self, before: int | None, last: int) -> None:
-        if self.timeout is None or before == last:
-            return
-        if before is not None:
-            self.handle.deleteTimer(self._expiry(before))
-        self.handle.registerTimer(self._expiry(last))
-
-    def _expiry(self, last: int) -> int:
-        """The watermark runs timeout behind the newest event's real time, so it passes
-        this point exactly when the newest event is more than timeout after ``last``."""
-        return last * 1000 + 1
-
 
 def final_fields(state: dict, dominant: dict[str, int], reason: str) -> dict:
     return {
@@ -250,14 +322,18 @@ def code_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def block_stream(events: DataFrame, source: str | Source, ks, tombstone_seconds: int | None = None,
-                 timeout_seconds: int | None | str = "source", vocab: DataFrame | None = None) -> DataFrame:
+                 timeout_seconds: int | None | str = "source", vocab: DataFrame | None = None, buckets: int = BUCKETS, page: int = PAGE) -> DataFrame:
     """Rows of OUTPUT_SCHEMA from a stream of coded events. With the vocabulary they were coded by,
-    accepted events whose values it lacks are counted per column."""
+    accepted events whose values it lacks are counted per column. ``buckets`` cannot change between
+    runs on one checkpoint."""
     spec = get_source(source) if isinstance(source, str) else source
     timeout = spec.idle_timeout_seconds if timeout_seconds == "source" else timeout_seconds
-    processor = BlockProcessor(list(ks), timeout, spec.dedupe, tombstone_seconds, free_codes(vocab) if vocab is not None else None)
-    ahead = events.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(AHEAD)))
-    emitted = ahead.withWatermark("ts", f"{(timeout or 0) + AHEAD} seconds").groupBy("block_id").transformWithState(
+    processor = BlockProcessor(list(ks), timeout, spec.dedupe, tombstone_seconds, free_codes(vocab) if vocab is not None else None, page)
+    # An event is one JSON text: what Python reads costs by the value.
+    ahead = events.select(
+        F.pmod(F.xxhash64("block_id"), F.lit(buckets)).alias("bucket"), (F.col("ts") + F.make_dt_interval(secs=F.lit(AHEAD))).alias("ts"),
+        F.to_json(F.struct(*[c for c in events.columns if c != "ts"])).alias("event"))
+    emitted = ahead.withWatermark("ts", f"{(timeout or 0) + AHEAD} seconds").groupBy("bucket").transformWithState(
         processor, EMITTED_SCHEMA, "Append", "EventTime")
     inner = T.StructType([f for f in OUTPUT_SCHEMA if f.name not in ("kind", "block_id")])
     return emitted.withColumn("_p", F.from_json("payload", inner)).select("kind", "block_id", "_p.*")
@@ -268,13 +344,18 @@ def open_blocks(spark, checkpoint: str) -> DataFrame:
     def state(name: str) -> DataFrame:
         return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
 
-    totals = state("totals").select(F.col("key.block_id").alias("block_id"), "value.*").where("n > 0")
-    counts = state("counts").select(
-        F.col("key.block_id").alias("block_id"), F.col("user_map_key.column").alias("column"),
-        F.col("user_map_value.n").alias("n"), F.col("user_map_value.code").alias("code"))
-    dominant = counts.groupBy("block_id").agg(*[
-        F.min(F.when(F.col("column") == c, F.struct((-F.col("n")).alias("n"), "code")))["code"].alias(f"{c}_encoded") for c in ENCODED_COLUMNS])
-    rows = totals.join(dominant, "block_id")
+    held = state("blocks").select(F.explode(F.from_json("value.held", HELD_SCHEMA)).alias("block_id", "_held")).select("block_id", "_held.*").where("n > 0")
+
+    def best(column: str):
+        own = F.filter(F.map_entries("counts"), lambda e: e["key"].startswith(f"{column}:"))
+        return F.array_min(F.transform(own, lambda e: F.struct((-e["value"][0]).alias("n"), e["value"][1].alias("code"))))
+
+    pages = state("pages").where("user_map_key.name = 'counts'").select(
+        F.col("user_map_key.block_id").alias("block_id"), F.from_json("user_map_value.page", "map<string, array<long>>").alias("counts"))
+    paged = pages.select("block_id", *[best(c).alias(c) for c in ENCODED_COLUMNS]).groupBy("block_id").agg(
+        *[F.min(c)["code"].alias(f"{c}_encoded") for c in ENCODED_COLUMNS])
+    rows = held.where("counts_bits IS NULL").withColumns({f"{c}_encoded": best(c)["code"] for c in ENCODED_COLUMNS}).unionByName(
+        held.where("counts_bits IS NOT NULL").join(paged, "block_id"))
     have = {
         "kind": F.lit("final"), "block_id": F.col("block_id"), "hour_of_day": F.floor(F.pmod("t_min", F.lit(86_400)) / 3_600),
         "is_error": F.col("is_error"), **{f"{c}_encoded": F.col(f"{c}_encoded") for c in ENCODED_COLUMNS}, "block_size": F.col("size"),
