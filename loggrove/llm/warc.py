@@ -2,9 +2,9 @@
 
 Pages are sorted by id. Shards are ranges of that order of about SHARD_BYTES, cut by the exact
 running sum of payload and header bytes, so they are the same at every run and on every
-cluster. Headers, record ids and digests are made anew from the payload, and each record is
-compressed as a gzip member of its own before it travels to its shard. One task writes a shard's
-members in order and goes on to the next file when a file reaches FILE_BYTES compressed.
+cluster. Payloads travel to their shard once; headers, record ids and digests are made there, and each
+record is compressed as a gzip member of its own. One task writes a shard's members in order and goes on
+to the next file when a file reaches FILE_BYTES compressed.
 
 Files are written under temporary names. What a task has written is known only through the
 manifest row it returns, and Spark takes the rows of one attempt of each task; so what a lost
@@ -19,12 +19,13 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loggrove.llm.registry import query, table
 from loggrove.llm.textcols import slices
@@ -149,6 +150,27 @@ class _Shard:
 MANIFEST = "name string, temporary string, records long, bytes long, sha256 string"
 
 
+def _dealt(staged: DataFrame, choices: DataFrame) -> DataFrame:
+    """Payloads and choices by shard. Payloads travel once, straight to their shard. There the choice for an id and
+    payload comes ahead of its rows, in the order of their urls."""
+    # The first (page, sha) of each shard: one row for SHARD_BYTES of records.
+    firsts = sorted((r["first"]["page"], r["first"]["sha"], r["shard"]) for r in choices.groupBy("shard").agg(F.min(F.struct("page", "sha")).alias("first")).collect())
+    bounds, shards = [(page, sha) for page, sha, _ in firsts], [shard for _, _, shard in firsts]
+
+    def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload"):
+            shas = [hashlib.sha256(payload.as_buffer()).hexdigest() for payload in batch.column("payload")]
+            at = [shards[bisect_right(bounds, key) - 1] for key in zip(batch.column("page").to_pylist(), shas)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), batch.column("page"), pa.array(shas, pa.string()), batch.column("url"), batch.column("payload")],
+                ["shard", "page", "sha", "url", "payload"])
+
+    payloads = staged.mapInArrow(addressed, "shard long, page long, sha string, url string, payload binary")
+    rows = payloads.withColumn("leader", F.lit(None).cast("long")).unionByName(
+        choices.select("shard", "page", "sha", "leader", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")))
+    return rows.repartition("shard").sortWithinPartitions("shard", "page", "sha", F.col("payload").isNotNull(), "url")
+
+
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) into ``folder`` and return the manifest.
 
@@ -164,35 +186,26 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     spark = pages.sparkSession
     staged = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = staged.withColumn("sha", F.sha2("payload", 256))
-    choices = decided(keyed.select("page", "sha", F.octet_length("payload").cast("long").alias("bytes")))
-    joined = keyed.join(choices, ["page", "sha"]).select("shard", "page", "sha", "url", "payload", "leader")
-    # Equal rows of one id meet here without a further shuffle.
-    turned = joined.withColumn("turn", F.row_number().over(Window.partitionBy("page", "sha").orderBy("url")) - 1)
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "payload"):
-            members = []
-            for page, sha, turn, url, payload, leader in zip(*(batch.column(c).to_pylist() for c in ("page", "sha", "turn", "url", "payload", "leader"))):
-                members.append(_member(record(page, sha, turn, url, payload, None if leader == page and not turn else leader)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("shard", "page", "sha", "turn")), pa.array(members, pa.binary())], ["shard", "page", "sha", "turn", "member"])
+    choices = written(decided(keyed.select("page", "sha", F.octet_length("payload").cast("long").alias("bytes"))), "choices")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for batch in batches:
-            for shard, member in zip(batch.column("shard").to_pylist(), batch.column("member").to_pylist()):
+        at, leader, turn = None, None, 0
+        for batch in slices(batches, "payload"):
+            columns = (batch.column(c).to_pylist() for c in ("shard", "page", "sha", "url", "leader"))
+            for shard, page, sha, url, said, payload in zip(*columns, batch.column("payload")):
+                if not payload.is_valid:  # the choice for the rows that follow
+                    leader, turn = said, 0
+                    continue
                 if at is None or at.shard != shard:
                     if at is not None:
                         yield at.listed()
                     at = _Shard(folder, shard, file_bytes)
-                at.add(member)
+                at.add(_member(record(page, sha, turn, url, payload.as_py(), None if leader == page and not turn else leader)))
+                turn += 1
         if at is not None:
             yield at.listed()
 
-    # Records travel to their shard compressed.
-    members = turned.mapInArrow(compress, "shard long, page long, sha string, turn int, member binary")
-    ready = members.repartition("shard").sortWithinPartitions("shard", "page", "sha", "turn").select("shard", "member")
-    manifest = written(ready.mapInArrow(store, MANIFEST), "manifest")
+    manifest = written(_dealt(staged, choices).mapInArrow(store, MANIFEST), "manifest")
     _commit(spark, manifest, folder)
     return manifest.drop("temporary")
 

@@ -99,3 +99,19 @@ def test_runs_of_revisits_and_empty_pages_fill_shards(spark, monkeypatch):
     listed = [(i, same, 5000) for i in range(400)] + [(1000 + i, empty, 0) for i in range(400)]
     found = warc.decided(spark.createDataFrame(listed, "page long, sha string, bytes long")).groupBy("shard").count().collect()
     assert len(found) > 20 and max(r["count"] for r in found) <= 30
+
+
+def test_payloads_travel_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "SHARD_BYTES", 2000)
+    staged = pages(spark, PAGES).select(F.col("page_id").alias("page"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    staged = warc.written(staged, "staged")
+    choices = warc.written(warc.decided(staged.select("page", F.sha2("payload", 256).alias("sha"), F.octet_length("payload").cast("long").alias("bytes"))), "choices")
+    dealt = warc._dealt(staged, choices)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    of = {(r["page"], r["sha"]): r["shard"] for r in choices.collect()}
+    found = dealt.collect()
+    assert len(set(of.values())) > 2 and all(of[r["page"], r["sha"]] == r["shard"] for r in found)
+    assert len(found) == len(of) + len(PAGES)
