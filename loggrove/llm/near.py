@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loggrove.llm.links import components
 from loggrove.llm.registry import query, table
@@ -42,6 +42,7 @@ DEPTHS = (4, 8, 16, 32)
 REGION = 128
 GROUP = 1024  # a shingle of more members than about this is dealt into blocks, and every two blocks meet
 GROUP_IDS = 1 << 20  # likewise where its members' sets have more shingles together
+PLACES = 1 << 26  # hashed places of ids, a bit each: where more ids are asked for, more texts are read in vain
 BUCKETS = 1 << 20  # shingles are counted in so many buckets; the counts only order them
 # Of 64 signature bits, two sets of similarity 0.8 differ in 6.4 on average and in over 22 with a chance of 2e-8.
 # Of the low bytes of 256 further minima they differ in 51 on average and in over 90 with a chance of 4e-9.
@@ -149,18 +150,23 @@ def _orders(nodes: DataFrame) -> DataFrame:
 
 
 def _deepened(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """``rows`` with keys of ``depth`` values in their trees."""
+    """``rows`` with keys of ``depth`` values in their trees. A node is asked for once, with all its trees."""
 
     def run(batches):
         for batch in batches:
-            m = batch.num_rows
-            if m:
-                _, values = _tree_values(batch)
-                keys = _keys_at(values, np.arange(m), batch.column("tree").to_numpy().astype(np.int64), depth)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), *[batch.column(c) for c in ("tree", "node", "n", "sketch", "comp")]], ["key", "tree", "node", "n", "sketch", "comp"])
+            if not batch.num_rows:
+                continue
+            raw, values = _tree_values(batch)
+            lists = batch.column("trees")
+            trees = lists.flatten().to_numpy().astype(np.int64)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_keys_at(values, rows, trees, depth)), pa.array(trees.astype(np.int32)), batch.column("node").take(taken),
+                 batch.column("n").take(taken), _binary(_coarse(raw)[rows]), batch.column("comp").take(taken)], ["key", "tree", "node", "n", "sketch", "comp"])
 
-    return rows.drop("key").join(nodes.select("node", "signature"), "node").select("tree", "node", "n", "sketch", "comp", "signature").mapInArrow(run, ROW)
+    trees = rows.groupBy("node").agg(F.collect_list("tree").alias("trees"))  # TREES at most
+    return trees.join(nodes.select("node", "n", "signature", "comp"), "node").mapInArrow(run, ROW)
 
 
 ROW = "key long, tree int, node long, n long, sketch binary, comp long"
@@ -426,12 +432,33 @@ def _met_in_crowds(sets: DataFrame, group: int = GROUP, spanning: bool = False)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(PLACES))
+
+
+def _places(asked: DataFrame) -> np.ndarray:
+    """A bit for each place that the ``doc_id`` of some row hashes to."""
+    bits = F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))")
+    words = asked.select(_place("doc_id").alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(bits.alias("bits")).toArrow()
+    out = np.zeros(PLACES // 64, np.int64)  # PLACES / 64 rows at most
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _at_places(batches, words: np.ndarray):
+    """The rows whose ``place`` has its bit set."""
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        yield batch.filter(pa.array((words[place >> 6] >> (place & 63)) & 1 == 1))
+
+
 def _member_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``node``, its full set (``members``) and fine ``sketch``, of every ``node`` in ``ids``."""
     needed = written(nodes.join(ids, "node").select("node", "doc_id", "k1", "k2"), "needed")
+    shared = needed.sparkSession.sparkContext.broadcast(_places(needed))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(_at_places(batches, shared.value)):
             k1, k2, sets, sketches = [], [], [], []
             for members in _sets(batch.column("text"), size):
                 a, b = _keys(members)
@@ -443,13 +470,12 @@ def _member_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -
                 [pa.array(np.array(k1, np.int64)), pa.array(np.array(k2, np.int64)), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["k1", "k2", "members", "sketch"])
 
-    asked = needed.select(F.col("doc_id").alias("_asked")).distinct()
-    # One plan at every size: the asked ids grow with the input, so they are never broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi")
-    sets = texts.select("text").mapInArrow(run, "k1 long, k2 long, members array<long>, sketch binary")
+    # No text is sent to another task: a row whose id is surely not asked for is left out where it is read, and the
+    # few others that are not asked for find no partner below.
+    texts = docs.select(_place("doc_id").alias("place"), "text")
+    sets = texts.mapInArrow(run, "k1 long, k2 long, members array<long>, sketch binary")
     # Rows that repeat an id can give a set twice; one of them is enough.
-    return written(sets.join(needed, ["k1", "k2"]).groupBy("node").agg(
+    return written(sets.join(needed.hint("merge"), ["k1", "k2"]).groupBy("node").agg(
         F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sets")
 
 
@@ -457,7 +483,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs whose full sets have 100 * intersection >= 80 * union."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    # One plan at every size: sets grow with the input, so they are never broadcast.
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * common >= SIMILARITY * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 

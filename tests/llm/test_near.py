@@ -143,3 +143,31 @@ def test_rows_without_id_that_are_copies_go(spark):
     docs = documents(spark, [a, a, b, None, "z", a], ids=[4, None, None, None, 7, 9])
     kept = near.without_near_copies(docs)
     assert rows(kept, "doc_id", "text") == sorted([(4, a), (None, b), (None, None), (7, "z")], key=repr)
+
+
+def test_texts_stay_where_they_are_read(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None if i == 7 else i, f"w{i} x{i} y{i} z") for i in range(40)], "doc_id long, text string").repartition(3)
+    nodes = near.written(near.signatures(docs, 2).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    asked = nodes.where("doc_id IN (3, 5) OR doc_id IS NULL").select("node")
+    sets = near._member_sets(asked, nodes, docs, 2)
+    assert {r["node"] for r in sets.collect()} == {r["node"] for r in asked.collect()}
+    words = near._places(nodes.where("doc_id IN (3, 5)"))
+    assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in words[words != 0]) == 2
+    placed = docs.select(near._place("doc_id").alias("place"), "doc_id").toArrow()
+    assert sorted(r for b in near._at_places(placed.to_batches(), words) for r in b.column("doc_id").to_pylist()) == [3, 5]
+
+
+def test_deeper_keys_join_a_node_once(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 5) * 3 + j}" for j in range(30)) + f" v{i}") for i in range(20)], "doc_id long, text string")
+    nodes = near.written(near.signatures(docs, 2).withColumn("node", F.monotonically_increasing_id()).withColumn("comp", F.col("node")), "nodes")
+    rows = near.written(near._orders(nodes), "orders")
+    deeper = near._deepened(rows, nodes, 8)
+    assert deeper.count() == rows.count() == 20 * near.TREES
+    joined = rows.select("tree", "node", "n", "sketch", "comp").join(deeper, ["tree", "node", "n", "sketch", "comp"])
+    assert joined.count() == rows.count() and deeper.select("key").distinct().count() >= rows.select("key").distinct().count()
+    plan = deeper._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("collect_list")  # nodes are gathered below the join
