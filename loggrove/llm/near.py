@@ -8,7 +8,9 @@ of 5e-8.
 
 Within a region, neighbours are not paired with each other in full. Signature bits and set sizes
 say which pairs can be links; a spanning forest over them and a star around the best-connected
-document are proposed. All proposals are confirmed on full sets. Then a second pass proposes
+document are proposed. Proposals are confirmed on full sets in turns, first two of each document, then
+two of each component that these made, then all that still lie between components: the trees propose many
+pairs of one large group, of which a few join it. Then a second pass proposes
 every possible pair in a region whose documents are still in different components and that
 was not tried before, so no possible link between different components is left untried.
 
@@ -48,6 +50,7 @@ BUCKETS = 1 << 20  # shingles are counted in so many buckets; the counts only or
 # Of the low bytes of 256 further minima they differ in 51 on average and in over 90 with a chance of 4e-9.
 MOST_COARSE, MOST_FINE, FINE = 22, 90, 256
 SIMILARITY = 80
+TURNS = 2  # turns in which each component confirms two of its proposals, before all that are left
 
 _RANDOM = np.random.default_rng(20240611)
 # The first HASHES functions make signatures, the others fine sketches.
@@ -205,10 +208,11 @@ def _possible(n: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return equal
 
 
-def _sparse(equal: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of most agreement, and a star around the node with most possible links."""
+def _sparse(equal: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of most agreement, and a star around the node with most possible links: the smallest of
+    several, so that the trees' regions of one group choose few different ones."""
     m = len(equal)
-    hub = int((equal > 0).sum(axis=1).argmax())
+    hub = int(np.lexsort((node, -(equal > 0).sum(axis=1)))[0])
     pairs = [(hub, int(i)) for i in np.flatnonzero(equal[hub])]
     outside = np.ones(m, bool)
     best, parent = np.full(m, -1, np.int16), np.full(m, -1)
@@ -224,7 +228,7 @@ def _sparse(equal: np.ndarray) -> list[tuple[int, int]]:
 
 def _proposals(regions: DataFrame, across: bool) -> DataFrame:
     """Pairs (a < b) of nodes to be confirmed: sparse ones of each region, or all between components but those of two
-    ``settled`` nodes."""
+    ``settled`` nodes. ``equal`` tells how far their sketches agree."""
 
     def of_region(node, n, sketch, comp, settled):
         equal = _possible(n, sketch)
@@ -232,10 +236,10 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
             equal[(comp[:, None] == comp[None, :]) | (settled[:, None] & settled[None, :])] = 0
             left, right = np.nonzero(np.triu(equal))
         elif equal.any():
-            left, right = np.array(_sparse(equal)).T
+            left, right = np.array(_sparse(equal, node)).T
         else:
             return None
-        return np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+        return np.minimum(node[left], node[right]), np.maximum(node[left], node[right]), equal[left, right]
 
     def resolve(parts):
         key, node, n, sketch, comp, settled = parts
@@ -248,7 +252,7 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
         if across:
             fits &= (comp[twos] != comp[twos + 1]) & ~(settled[twos] & settled[twos + 1])
         twos = twos[fits]
-        out = [(np.minimum(node[twos], node[twos + 1]), np.maximum(node[twos], node[twos + 1]))]
+        out = [(np.minimum(node[twos], node[twos + 1]), np.maximum(node[twos], node[twos + 1]), (most + 1 - distance)[fits])]
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2]):
             one = slice(at, at + size)
             if across and ((comp[one] == comp[at]).all() or settled[one].all()):
@@ -256,8 +260,8 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
             found = of_region(node[one], n[one], sketch[one], comp[one], settled[one])
             if found is not None:
                 out.append(found)
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b, equal = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(equal.astype(np.int32))], ["a", "b", "equal"])
 
     def run(batches):
         kept = None
@@ -277,7 +281,7 @@ def _proposals(regions: DataFrame, across: bool) -> DataFrame:
     if "settled" not in regions.columns:
         regions = regions.withColumn("settled", F.lit(False))
     placed = regions.select("key", "node", "n", "sketch", "comp", "settled").repartition("key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, "a long, b long, equal int").distinct()
 
 
 def _bucket_counts(members: DataFrame) -> np.ndarray:
@@ -391,7 +395,8 @@ def _met_in_crowds(sets: DataFrame, group: int = GROUP, spanning: bool = False)
     # Every two blocks of a shingle meet under a key of their own.
     meetings = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
     dealt = rows.join(torn, "key").select(F.explode(F.when(F.col("blocks") > 1, meetings).otherwise(F.array("key"))).alias("key"), "node", "n", "sketch", "comp", "short", mine.alias("block"))
-    dealt = dealt.join(sets.select("node", "members"), "node").select("key", "node", "n", "sketch", "comp", "short", "block", "members")
+    asked = rows.join(torn, "key").select("node")
+    dealt = dealt.join(_asked_for(sets.select("node", "members"), asked), "node").select("key", "node", "n", "sketch", "comp", "short", "block", "members")
     names = ("key", "node", "n", "comp", "short", "block")
 
     def resolve(held):
@@ -436,10 +441,22 @@ def _place(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(PLACES))
 
 
+def _place_words(asked: DataFrame, column: str) -> DataFrame:
+    """A bit for each place that ``column`` of some row hashes to, as ``bits`` of 64 places by ``word``."""
+    bits = F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))")
+    return asked.select(_place(column).alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(bits.alias("bits"))
+
+
+def _asked_for(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """``sets`` without most of the rows whose ``node`` is not in ``asked``, left out where they are read."""
+    words = F.broadcast(_place_words(asked, "node"))  # PLACES / 64 rows at most
+    placed = sets.withColumn("_place", _place("node")).withColumn("word", F.expr("_place div 64")).join(words, "word")
+    return placed.where("(shiftright(bits, CAST(_place % 64 AS INT)) & 1L) = 1").select(*sets.columns)
+
+
 def _places(asked: DataFrame) -> np.ndarray:
     """A bit for each place that the ``doc_id`` of some row hashes to."""
-    bits = F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))")
-    words = asked.select(_place("doc_id").alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(bits.alias("bits")).toArrow()
+    words = _place_words(asked, "doc_id").toArrow()
     out = np.zeros(PLACES // 64, np.int64)  # PLACES / 64 rows at most
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
@@ -474,13 +491,14 @@ def _member_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -
     # few others that are not asked for find no partner below.
     texts = docs.select(_place("doc_id").alias("place"), "text")
     sets = texts.mapInArrow(run, "k1 long, k2 long, members array<long>, sketch binary")
-    # Rows that repeat an id can give a set twice; one of them is enough.
-    return written(sets.join(needed.hint("merge"), ["k1", "k2"]).groupBy("node").agg(
-        F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sets")
+    # Rows that repeat an id can give a set twice; one of them is enough, and sets travel once.
+    once = sets.groupBy("k1", "k2").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch"))
+    return written(once.join(needed.hint("merge"), ["k1", "k2"]).select("node", "members", "sketch"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs whose full sets have 100 * intersection >= 80 * union."""
+    sets = _asked_for(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
     # One plan at every size: sets grow with the input, so they are never broadcast.
@@ -489,6 +507,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= SIMILARITY * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def _foremost(pairs: DataFrame) -> DataFrame:
+    """Of each component (``of_a``, ``of_b``) the pair that agrees most and the one that leads to the smallest component."""
+    turned = F.array(F.struct(F.col("of_a").alias("one"), F.col("of_b").alias("other")), F.struct(F.col("of_b").alias("one"), F.col("of_a").alias("other")))
+    ends = pairs.select("a", "b", "equal", F.explode(turned).alias("_ends")).select("a", "b", "equal", "_ends.*")
+    best = ends.groupBy("one").agg(
+        F.min(F.struct((-F.col("equal")).alias("unlike"), "other", "a", "b")).alias("nearest"),
+        F.min(F.struct("other", (-F.col("equal")).alias("unlike"), "a", "b")).alias("lowest"))
+    return best.select(F.explode(F.array(F.struct("nearest.a", "nearest.b"), F.struct("lowest.a", "lowest.b"))).alias("_pair")).select("_pair.*").distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs that lie between two components, ``of_a`` and ``of_b``."""
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("comp").alias("_comp"))
+        pairs = pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce("_comp", end)).drop("_comp")
+    return pairs.where("of_a <> of_b")
+
+
+def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components under further links."""
+    return components(links if labels is None else labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links))
+
+
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components under all links among ``pairs``, as labels. Every pair is confirmed but those within a component."""
+    labels, left = None, pairs.withColumns({"of_a": F.col("a"), "of_b": F.col("b")})
+    for _ in range(TURNS):
+        chosen = written(_foremost(left), "chosen")
+        labels = _grown(labels, written(_confirmed(chosen, sets), "confirmed"))
+        left = written(_apart(left.select("a", "b", "equal").join(chosen, ["a", "b"], "left_anti"), labels), "left-pairs")
+        if left.isEmpty():
+            return labels
+    links = written(_confirmed(left.select("a", "b"), sets), "confirmed")
+    return labels if links.isEmpty() else _grown(labels, links)
+
+
 def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> DataFrame:
     """Components of the documents under links of shingle-set similarity 0.8 or more.
 
@@ -516,9 +570,8 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
     active = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     # Of all nodes that have a possible link at all.
     sets = _member_sets(active if crowded is None else active.union(crowded).distinct(), nodes, docs, size)
-    links = written(_confirmed(first, sets), "confirmed")
+    labels = _joined(first, sets)
     shelf.drop()
-    labels = components(links)
     again = nodes.join(active, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     again = shelf.put(again, "active")
     regions = shelf.put(_regions(again, limit, deeper=False)[0].drop("sketch"), "regions")
@@ -530,15 +583,17 @@ def near_components(docs: DataFrame, size: int = 5, limit: int = REGION) -> Data
         marked = crowded.withColumn("settled", F.lit(True))
         regions = regions.join(marked, "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     untried = _proposals(regions, across=True)
-    second = written(untried.join(first, ["a", "b"], "left_anti"), "second-proposals")
+    # What was proposed before and still lies between components is no link.
+    second = written(untried.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-proposals")
     shelf.drop("regions")
-    found = [links, written(_confirmed(second, sets), "confirmed")]
+    found = [written(_confirmed(second, sets), "confirmed")]
     if crowded is not None:
         known = nodes.select("node", "n", "signature").join(crowded, "node").join(labels, "node", "left")
-        known = known.withColumn("comp", F.coalesce("comp", "node")).join(sets.select("node", "members"), "node")
+        known = known.withColumn("comp", F.coalesce("comp", "node")).join(_asked_for(sets.select("node", "members"), crowded), "node")
         found.append(written(_met_in_crowds(known, spanning=True), "crowd-links"))
-    if any(not f.isEmpty() for f in found[1:]):
-        labels = components(reduce(DataFrame.union, found))
+    further = [f for f in found if not f.isEmpty()]
+    if further:
+        labels = _grown(labels, reduce(DataFrame.union, further))
     joined = nodes.select("node", "k1", "k2", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Written, so that the join's large parts can be split at run time.
     smallest = written(joined.groupBy("comp").agg(F.min("doc_id").alias("component")), "smallest")

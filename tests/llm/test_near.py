@@ -171,3 +171,25 @@ def test_deeper_keys_join_a_node_once(spark):
     assert joined.count() == rows.count() and deeper.select("key").distinct().count() >= rows.select("key").distinct().count()
     plan = deeper._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("collect_list")  # nodes are gathered below the join
+
+
+def test_a_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """The trees propose dozens of pairs of each of many near copies; a few of them are enough, and no link is lost."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(600):
+        copy = list(base)
+        copy[rng.randrange(200)], copy[rng.randrange(200)] = f"x{i}", f"y{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"o{rng.getrandbits(50)}" for _ in range(60)) for _ in range(40)]
+    asked, confirmed = [], near._confirmed
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(near, "_confirmed", counted)
+    found = {r["doc_id"]: r["component_id"] for r in near.near_components(documents(spark, texts), size=2).collect()}
+    assert found == {i: 1 if i <= 600 else i for i in range(1, 641)}
+    assert 599 <= sum(asked) <= 4 * 600
