@@ -12,9 +12,10 @@ from loggrove.schema import ARRIVAL_SEQ
 from loggrove.sources.tables import read_table
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    return read_table(spark, folder, "events").select(
+def events(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """The fields that lines are worded by; ``dealt`` over all tasks first, as one task reads a whole row group."""
+    kind, rows = F.col("event_type"), read_table(spark, folder, "events")
+    return (rows.repartition("event_id") if dealt else rows).select(
         F.col("event_id").alias(ARRIVAL_SEQ), "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.when(kind == "error", "ERROR").when(kind == "signup", "WARN").otherwise("INFO").alias("level"),
@@ -29,7 +30,7 @@ def _lines(frame: DataFrame, value: Column) -> DataFrame:
     return frame.select(ARRIVAL_SEQ, value.alias("value"))
 
 
-def hdfs_lines(spark: SparkSession, folder: str) -> DataFrame:
+def hdfs_lines(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
     block = F.concat(F.lit("blk_"), F.when(F.col("k") % 2 == 1, "-").otherwise(""), F.col("user_id"))
     wording = [
         F.concat(F.lit("Receiving block "), block, F.lit(" src: /"), "src", F.lit(":50010 dest: /"), "dst", F.lit(":50010")),
@@ -47,7 +48,7 @@ def hdfs_lines(spark: SparkSession, folder: str) -> DataFrame:
     message = F.element_at(F.array(*wording), F.col("k") % 10 + 1)
     header = F.concat(F.date_format("ts", "yyMMdd HHmmss"), F.lit(" "), F.col("user_id") % 500, F.lit(" "), "level",
                       F.lit(" dfs.Node$"), F.col("k") % 5, F.lit(": "))
-    return _lines(events(spark, folder), F.when(F.col("k") == 99, F.concat(F.lit("java.io.IOException: lost "), block))
+    return _lines(events(spark, folder, dealt), F.when(F.col("k") == 99, F.concat(F.lit("java.io.IOException: lost "), block))
                   .otherwise(F.concat(header, message)))
 
 

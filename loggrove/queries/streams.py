@@ -27,6 +27,7 @@ from loggrove.sources.tables import events_log, read_table
 from loggrove.streaming import blocks as stream_blocks, jobs, replay
 
 DELIVERIES, FILES = 3, 4  # deliveries follow each other, each of a few files
+FILE_LINES = 100_000  # a delivery of raw lines comes in more files than FILES where they would hold more lines
 KS = (3, 5, 10)
 
 
@@ -49,27 +50,35 @@ def event_stream(spark, folder, block):
     return drop_invalid(coerce(stream))
 
 
-def deliveries(rows):
-    """The rows in DELIVERIES parts of consecutive arrival, each in FILES ranges: a file stream takes the oldest files first."""
+def files_of(lines):
+    """In how many files a delivery of raw lines comes: each is written by one task."""
+    last = lines.agg(F.max(ARRIVAL_SEQ)).first()[0]
+    return max(FILES, -(-((last or 0) + 1) // (DELIVERIES * FILE_LINES)))
+
+
+def deliveries(rows, files=FILES):
+    """The rows in DELIVERIES parts of consecutive arrival, each in ``files`` ranges: a file stream takes the oldest files first."""
     last = rows.agg(F.max(ARRIVAL_SEQ)).first()[0]
     for number in range(DELIVERIES):
         part = rows.where(F.floor(F.col(ARRIVAL_SEQ) * DELIVERIES / F.lit((last or 0) + 1)) == number)
-        yield part.repartitionByRange(FILES, ARRIVAL_SEQ).sortWithinPartitions(ARRIVAL_SEQ)
+        yield part.repartitionByRange(files, ARRIVAL_SEQ).sortWithinPartitions(ARRIVAL_SEQ)
 
 
 def streamed_lines(spark, folder, rejects=False):
     """All rows that a stream of raw HDFS lines gives. Every tenth line is delivered a second time, a delivery later."""
-    lines = hdfs_lines(spark, folder)
+    lines = written(hdfs_lines(spark, folder, dealt=True), "rendered-lines")
+    files = files_of(lines)
     path, checkpoint, out = (scratch_path(spark, x) for x in ("line-stream-in", "line-stream-state", "line-stream-out"))
     before = None
-    for part in deliveries(lines):
+    for part in deliveries(lines, files):
         again = part if before is None else part.unionByName(before)
         before = part.where(F.col(ARRIVAL_SEQ) % 10 == 0)
         again.select("value").write.mode("append").text(path)
     before.select("value").write.mode("append").text(path)
-    batch = written(drop_invalid(coerce(recognized(parse(lines, "hdfs")))), "lines")
-    vocab = written(append_codes(batch.select(ARRIVAL_SEQ, *[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS])), "vocab")
-    events = stream_blocks.encoded_events(stream_lines(spark, path, 2 * FILES), "hdfs", vocab, rejects)
+    batch = drop_invalid(coerce(recognized(parse(lines, "hdfs"))))
+    values = written(batch.select(*[known(F.col(c)).alias(c) for c in ENCODED_COLUMNS]).distinct(), "values")
+    vocab = written(append_codes(values), "vocab")
+    events = stream_blocks.encoded_events(stream_lines(spark, path, 2 * files), "hdfs", vocab, rejects)
     stream_blocks.block_stream(events, "hdfs", KS, timeout_seconds=None, vocab=vocab).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream_blocks.OUTPUT_SCHEMA).parquet(out), stream_blocks.open_blocks(spark, checkpoint)

@@ -78,3 +78,28 @@ def test_ranges_of_growing_files(tmp_path):
     os.remove(tmp_path / "a")
     assert reader.partitions(again, reader.latestOffset()) == []
     assert TailReader({"path": str(tmp_path / "none")}).latestOffset() == {}
+
+
+def test_deliveries_are_spread_as_they_grow(spread, tmp_path, monkeypatch):
+    """Rows of one row group are worded by several tasks, and a delivery of many lines is written by more tasks; nothing else changes."""
+    from loggrove.queries import rendered, streams
+
+    spark = spread
+
+    spark.range(4_000, numPartitions=1).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 7) AS ts", "id % 13 AS user_id",
+        "element_at(array('click', 'error', 'signup'), CAST(id % 3 AS INT) + 1) AS event_type", "id / 3 AS value",
+        "concat('{\"k\": ', id % 100, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path)
+    lines = rendered.hdfs_lines(spark, folder, dealt=True)
+    with_task = lines.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in with_task}) > 1 and sorted((r[0], r[1]) for r in with_task) == sorted(tuple(r) for r in rendered.hdfs_lines(spark, folder).collect())
+    assert streams.files_of(lines) == streams.FILES
+    before = sorted(map(tuple, streams.stream_duplicates_by_block(spark, folder).collect()))
+    monkeypatch.setattr(streams, "FILE_LINES", 200)
+    files = streams.files_of(lines)
+    assert files == 7
+    parts = list(streams.deliveries(lines, files))
+    assert [p.rdd.getNumPartitions() for p in parts] == [7] * streams.DELIVERIES
+    assert sorted(map(tuple, streams.stream_duplicates_by_block(spark, folder).collect())) == before
+    assert sum(r[1] for r in before) + sum(r[2] for r in before) == 4_000 - 40 + 400
