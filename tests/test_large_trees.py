@@ -47,7 +47,7 @@ def test_a_share_can_be_one_of_all_rows():
     assert ForestParams(share_of=None).sample_rows(10**9) == forests.DEFAULT_ROWS  # a count stays one
 
 
-@pytest.mark.parametrize("query", [models.versions_over_split_seeds])
+@pytest.mark.parametrize("query", [models.version_summary_over_seeds, models.versions_over_split_seeds])
 def test_versions_are_fitted_on_shares_of_all_training_rows(monkeypatch, query):
     asked = []
     monkeypatch.setattr(models, "labeled_orders", lambda spark, folder: None)
